@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import quality, toxicity
+from quern.llm import decontaminate, neardup, quality, toxicity
 from quern.llm.shared import ready
 
 
@@ -22,8 +22,13 @@ QUERIES = {
     fn.__name__: _query(fn)
     for fn in (
         toxicity.op3_toxicity,
+        decontaminate.op4_decontaminate,
         quality.op8_quality,
+        neardup.op9_near_duplicates,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_decontaminate": decontaminate.ORACLE_SQL,
+    "op9_near_duplicates": neardup.ORACLE_SQL,
+}

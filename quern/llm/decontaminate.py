@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bytesweep import ALNUM, Sweep, chunks
-from quern.llm.shared import over_texts, written
+from quern.llm.shared import apart, together, with_fields, written
 from quern.sources.tables import table
 
 WINDOW = 13
@@ -193,7 +193,7 @@ def hits(texts: list, phrases: Phrases, spans: list | None = None) -> dict:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """`docs` without its text and with n_words, n_hit, items (ids as text, sorted), spans (arrays [from, to) of words).
 
-    docs: text and any other columns. benchmark: item_id, text. Null and empty texts have no words and no hits; an item
+    docs: text and any other columns; those of the names made are replaced. benchmark: item_id, text. Null and empty texts have no words and no hits; an item
     without words has no window; a null item_id is the empty text. Items of one id count once. Rows that repeat are
     treated alike; an empty benchmark gives no hits. The benchmark goes to the executors in parts of about `part_bytes`;
     beyond one part the documents are passed once for each.
@@ -201,15 +201,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     items = benchmark.select("item_id", "text").where(F.length("text") > 0)
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     parts = max(1, -(-total // part_bytes))
-    kept = [c for c in docs.columns if c != "text"]
-    found = docs.select(*kept, "text")
+    found, rest = apart(docs, "text")
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).toArrow()
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), window))
         if part:
             found = written(found)
 
-        def run(batches, phrases=phrases, later=part > 0):
+        # the text goes on only where another part follows
+        kept = ["carried", "text"] if part < parts - 1 else ["carried"]
+
+        def run(batches, phrases=phrases, later=part > 0, kept=kept):
             for batch in batches:
                 texts = batch.column("text").to_pylist()
                 for lo, hi in chunks(texts, SHARD):
@@ -217,14 +219,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
                     made = hits(texts[lo:hi], phrases.value, b.column("spans").to_pylist() if later else None)
                     if later:
                         made["items"] = [sorted({*x, *y}) for x, y in zip(made["items"], b.column("items").to_pylist(), strict=True)]
-                    out = {c: b.column(c) for c in (*kept, "text")[: len(kept) + keep_text]}
+                    out = {c: b.column(c) for c in kept}
                     yield pa.RecordBatch.from_pydict(out | {"n_words": pa.array(made["n_words"], pa.int64()), "items": pa.array(made["items"], pa.list_(pa.string())), "spans": pa.array(made["spans"], pa.list_(pa.list_(pa.int64())))})
 
-        keep_text = part < parts - 1
-        fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (*kept, "text")[: len(kept) + keep_text]]
-        found = found.mapInArrow(run, ", ".join([*fields, "n_words long, items array<string>, spans array<array<long>>"]))
+        found = found.mapInArrow(run, with_fields(found, kept, "n_words long, items array<string>, spans array<array<long>>"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
-    return found.select(*kept, "n_words", n_hit.alias("n_hit"), "items", "spans")
+    return together(found.withColumn("n_hit", n_hit), rest, "n_words", "n_hit", "items", "spans")
 
 
 def is_contaminated():

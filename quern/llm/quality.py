@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bytesweep import NOT_SPACE, Sweep
-from quern.llm.shared import fold, labelled, over_texts
+from quern.llm.shared import apart, fold, labelled, over_texts, together
 from quern.sources.tables import table
 
 #: Bounds of the sample that the classifier is fitted on; its features come to some 50 MB.
@@ -130,12 +130,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without its text and with `score`, the chance that a document is good.
 
-    docs: doc_id and text, and any other columns. labels: doc_id, quality. Null and empty texts get a score like others
+    docs: doc_id, text and any other columns; one named score is replaced. labels: doc_id, quality. Null and empty texts get a score like others
     (all shares are 0); with no labelled row every score is 0.5, with no positive one 0. Rows that repeat are scored
     alike; an empty table stays empty. Labels are learned from folds 1 to 4 of the id only.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # some 10 KB
-    return over_texts(docs, "text", lambda texts: {"score": pa.array(np.round(model.value.score(texts), 9), pa.float64())}, "score double")
+    found, rest = apart(docs, "text")
+    found = over_texts(found, "text", lambda texts: {"score": pa.array(np.round(model.value.score(texts), 9), pa.float64())}, "score double")
+    return together(found, rest, "score")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.bytesweep import chunks
 
@@ -48,10 +49,26 @@ def labelled(labels: DataFrame, label: str) -> DataFrame:
     )
 
 
+def apart(df: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
+    """The needed columns of `df` and, as the struct `carried`, all others, so that no name of theirs can clash; their names."""
+    rest = [c for c in df.columns if c not in needed]
+    carried = F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("_")) if "_" not in rest else F.struct(*[F.col(f"`{c}`") for c in rest])
+    return df.select(*needed, carried.alias("carried")), rest
+
+
+def together(df: DataFrame, rest: list[str], *made: str) -> DataFrame:
+    """The columns that apart() put away, and those made; one that is made replaces another of its name."""
+    return df.select(*[F.col(f"carried.`{c}`").alias(c) for c in rest if c not in made], *made)
+
+
+def with_fields(df: DataFrame, kept: list[str], schema: str) -> T.StructType:
+    """The kept columns' fields and those of the DDL `schema`."""
+    return T.StructType([df.schema[c] for c in kept] + T.StructType.fromDDL(schema).fields)
+
+
 def over_texts(df: DataFrame, text: str, fn: Callable[[list], dict], schema: str, limit: int = 1 << 20) -> DataFrame:
     """`df` without its text column and with the columns that `fn` makes from a bounded chunk of whole texts."""
     kept = [c for c in df.columns if c != text]
-    out = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + [schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,7 +77,7 @@ def over_texts(df: DataFrame, text: str, fn: Callable[[list], dict], schema: str
                 part = {c: batch.column(c).slice(lo, hi - lo) for c in kept} | fn(texts[lo:hi])
                 yield pa.RecordBatch.from_pydict(part)
 
-    return df.select(*kept, text).mapInArrow(run, ", ".join(out))
+    return df.select(*kept, text).mapInArrow(run, with_fields(df, kept, schema))
 
 
 def ready(spark: SparkSession) -> None:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bytesweep import LETTERS, Sweep, chunks, mix
-from quern.llm.shared import fold, labelled, over_texts, written
+from quern.llm.shared import apart, fold, labelled, over_texts, together, written
 from quern.sources.tables import table
 
 ORDER = 5
@@ -153,7 +153,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without its text and with `score`, the chance that a document is toxic, and `llr`, the difference a letter.
 
-    docs: doc_id and text, and any other columns. labels: doc_id, toxic. Counts come from folds 1 to 3 of the ids, the
+    docs: doc_id, text and any other columns; those named score or llr are replaced. labels: doc_id, toxic. Counts come from folds 1 to 3 of the ids, the
     logistic curve from fold 4 (or from the counted folds, if fold 4 lacks a class); fold 0 is never learned from. Null
     and empty texts have figures of 0 and the score that follows from these. Where labelled rows lack a class, every
     score is the share of that class. Rows that repeat are scored alike; an empty table stays empty.
@@ -162,7 +162,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     seen = known.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     if not seen.n or not seen.toxic or seen.toxic == seen.n:
         share = float((seen.toxic or 0) / max(seen.n, 1))
-        return docs.select(*[c for c in docs.columns if c != "text"], F.lit(share).alias("score"), F.lit(0.0).alias("llr"))
+        found, rest = apart(docs, "text")
+        return together(found.withColumn("score", F.lit(share)).withColumn("llr", F.lit(0.0)), rest, "score", "llr")
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     counted = written(counts(texts.where(fold().between(1, 3)).join(known.where("fold <= 3"), "doc_id")))
     tables = docs.sparkSession.sparkContext.broadcast([cells_of(t) for t in tables_of(counted)])  # 2 x 2^CELL_BITS floats
@@ -187,8 +188,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     w[1:] /= scale
     w[0] -= float(w[1:] @ mean)
     score = F.lit(float(w[0])) + sum(F.lit(float(w[k + 1])) * F.col(f"x{k}") for k in range(3))
-    made = over_texts(docs, "text", run, "x0 double, x1 double, x2 double")
-    return made.select(*[c for c in docs.columns if c != "text"], F.round(1 / (1 + F.exp(-score)), 9).alias("score"), F.col("x0").alias("llr"))
+    found, rest = apart(docs, "text")
+    made = over_texts(found, "text", run, "x0 double, x1 double, x2 double")
+    made = made.select("carried", F.round(1 / (1 + F.exp(-score)), 9).alias("score"), F.col("x0").alias("llr"))
+    return together(made, rest, "score", "llr")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,12 @@ made of K minhashes, stand for M * M tables: the table (i, j) has the key (U_i,
 need 2 * M * K minhashes instead of M * M * 2 * K. Two documents are candidates if some U_i and some V_j agree:
 with K = 5 and M = 36 a pair of similarity 0.75 is missed with a chance of 1.2e-4, one of 0.8 with less than 2e-6.
 
-No bucket is expanded into all of its pairs. Equal sets are one node from the start. In a bucket of U, members are first
-compared with the smallest one only; members of the bucket that the links so far join into one class need nothing more.
-Only buckets that still hold several classes are split into tables (U_i, V_j), and there only pairs of different classes
-are compared; tables with many classes go through an exact prefix filter instead. Every candidate is confirmed on full sets.
+A pair is in one of the M * M tables if and only if it shares a key of U and a key of V, so tables are not written out:
+candidates come from buckets of U and must share a key of V. No bucket is expanded into all of its pairs. Equal sets are
+one node from the start. In a bucket of U, members are first compared with the smallest one only; a bucket whose members
+the links so far join into one class needs nothing more. What is left, members of buckets with several classes, goes
+through an exact prefix filter, which pairs documents of different classes that share one of their rarest shingles. Every
+candidate is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ SHINGLE = 5
 #: A link needs PERCENT * |union| <= 100 * |intersection|.
 PERCENT = 75
 K, M = 5, 36
-#: Tables with more classes than this are compared through the prefix filter.
-MANY = 64
+#: Keys of U whose buckets are starred together; the later ones need only what the earlier have not joined.
+PHASES = ((0, 4), (4, M))
 
 _rng = np.random.default_rng(20)
 FACTOR = (_rng.integers(0, 1 << 32, 2 * K * M, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -139,14 +141,27 @@ def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     tokens = members.join(sets, "id").select("id", "class", "found").mapInArrow(run, "id long, class long, size long, token long")
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("often", "token"))
+    place = F.row_number().over(Window.partitionBy("id", "size").orderBy("often", "token"))
     prefix = tokens.join(often, "token").withColumn("place", place).where(f"place <= size - ceil({PERCENT} * size / 100) + 1 and often > 1")
     prefix = shared_keys(prefix.select("id", "class", "token"), ["token"], "class").drop("least")
     other = prefix.select(F.col("id").alias("b"), F.col("class").alias("class_b"), "token")
     return prefix.join(other, "token").where("id < b and class != class_b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, many: int = MANY) -> DataFrame:
+def classed(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """`rows` with the class of each id, itself where it has no link yet."""
+    return rows.join(classes, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
+
+
+def meeting(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) that meet in a table (U_i, V_j), so share a key of U and one of V, and whose sizes allow a link."""
+    left, right = (keys.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("u").alias(f"u_{x}"), F.col("v").alias(f"v_{x}")) for x in "ab")
+    sizes_fit = f"100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)"
+    both = pairs.distinct().join(left, "a").join(right, "b").where(sizes_fit)
+    return both.where(F.arrays_overlap("u_a", "u_b") & F.arrays_overlap("v_a", "v_b")).select("a", "b").distinct()
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of `docs`, which has doc_id and text.
 
     A document without words, or with a null text, is linked with nothing. A row with a null id takes no part: its
@@ -159,30 +174,27 @@ def near_duplicates(docs: DataFrame, many: int = MANY) -> DataFrame:
     nodes = sketches.join(same.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     nodes = nodes.dropDuplicates(["digest"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "u", "v")
 
-    in_u = written(shared_keys(nodes.select("id", F.explode("u").alias("u")), ["u"]).select("id", "u", "least"))
+    in_u = written(shared_keys(nodes.select("id", F.posexplode("u").alias("place", "u")), ["u"]).select("id", "place", "u"))
     ids = in_u.select("id").distinct()
-    colliding = written(nodes.join(ids, "id", "left_semi").select("id", "size", "v"))
+    colliding = written(nodes.join(ids, "id", "left_semi").select("id", "size", "u", "v"))
     wanted = texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
     sets = written(over_texts(wanted.withColumnRenamed("doc_id", "id"), "text", lambda t: {"found": pa.array([s.tobytes() for s in shingle_sets(t)], pa.binary())}, "found binary").where("length(found) > 0").distinct())
 
-    left = colliding.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("v").alias("v_a"))
-    right = colliding.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("v").alias("v_b"))
-    sizes_fit = f"100 * least(size_a, size_b) >= {PERCENT} * greatest(size_a, size_b)"
-    stars = in_u.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(left, "a").join(right, "b").where(sizes_fit).where(F.arrays_overlap("v_a", "v_b")).select("a", "b").distinct()
-    links = written(confirmed(stars, sets))
-
-    classes = components(links)
-    classed = in_u.select("id", "u").join(classes, "id", "left").select("id", "u", F.coalesce("component", "id").alias("class"))
-    open_u = written(shared_keys(classed, ["u"], "class").select("id", "class", "u"))
-    tables = open_u.join(colliding.select("id", "size", F.explode("v").alias("v")), "id").select("id", "class", "size", F.xxhash64("u", "v").alias("key"))
-    tables = written(shared_keys(tables, ["key"], "class").drop("least"))
-    crowded = tables.groupBy("key").agg(F.approx_count_distinct("class").alias("n")).where(F.col("n") > many).select("key")
-    few = tables.join(crowded, "key", "left_anti")
-    other = few.select(F.col("id").alias("b"), F.col("class").alias("class_b"), F.col("size").alias("size_b"), "key")
-    pairs = few.select(F.col("id").alias("a"), "class", F.col("size").alias("size_a"), "key").join(other, "key").where("a < b and class != class_b").where(sizes_fit).select("a", "b")
-    in_crowd = tables.join(crowded, "key", "left_semi").select("id", "class").distinct()
-    rest = confirmed(pairs.union(prefix_pairs(in_crowd, sets)).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), sets)
+    links = None
+    for lo, hi in PHASES:
+        mine = in_u.where(f"place >= {lo} and place < {hi}").select("id", "u")
+        if links is not None:  # buckets of one class need nothing more
+            mine = shared_keys(classed(mine, components(links)), ["u"], "class").withColumn("pivot", F.col("class") == F.col("least"))
+            pivots = mine.where("pivot").groupBy("u").agg(F.min("id").alias("a"))
+            stars = mine.where("not pivot").join(pivots, "u")
+        else:
+            stars = mine.join(in_u.groupBy("u").agg(F.min("id").alias("a")), "u").where("id != a")
+        found = written(confirmed(meeting(stars.select("a", F.col("id").alias("b")), colliding), sets))
+        links = found if links is None else written(links.union(found))
+
+    open_u = shared_keys(classed(in_u.select("id", "u"), components(links)), ["u"], "class")
+    members = written(open_u.select("id", "class").distinct())
+    rest = confirmed(meeting(prefix_pairs(members, sets), colliding), sets)
 
     classes = components(links.union(rest))
     of_set = same.join(classes, "id", "left").where("n > 1 or component is not null").select("digest", F.coalesce("component", "id").alias("component_id"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, neardup, quality, toxicity
+from quern.llm import decontaminate, htmltext, linededup, mixing, neardup, quality, tokencount, topk, toxicity, urlfilter
 from quern.llm.shared import ready
 
 
@@ -21,14 +21,23 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 QUERIES = {
     fn.__name__: _query(fn)
     for fn in (
+        topk.op1_topk,
+        tokencount.op2_token_counts,
         toxicity.op3_toxicity,
         decontaminate.op4_decontaminate,
+        htmltext.op5_html_text,
+        mixing.op6_mix,
+        linededup.op7_line_dedup,
         quality.op8_quality,
         neardup.op9_near_duplicates,
+        urlfilter.op10_url_filter,
     )
 }
 
 ORACLE_SQL = {
+    "op1_topk": topk.ORACLE_SQL,
     "op4_decontaminate": decontaminate.ORACLE_SQL,
+    "op7_line_dedup": linededup.ORACLE_SQL,
     "op9_near_duplicates": neardup.ORACLE_SQL,
+    "op10_url_filter": urlfilter.ORACLE_SQL,
 }

@@ -1,0 +1,67 @@
+import random
+
+import numpy as np
+import pytest
+from llm import cases
+
+from quern.llm import decontaminate as d
+from quern.llm.bytesweep import ALNUM, Sweep
+
+
+def test_suffix_array_and_index():
+    rnd = np.random.default_rng(1)
+    for _ in range(20):
+        text = np.concatenate((rnd.integers(1, 5, rnd.integers(1, 60)), [0]))
+        order = d.suffix_array(text)
+        assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+        index = d.FmIndex(text)
+        assert index.locate(np.arange(len(text))).tolist() == order.tolist()
+
+
+def test_search_finds_every_occurrence():
+    rnd = random.Random(2)
+    words = ["a", "b", "c"]
+    for _ in range(30):
+        texts = [" ".join(rnd.choice(words + ["zz"]) for _ in range(rnd.randrange(0, 80))) for _ in range(4)]
+        items = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 9))) for _ in range(3)]
+        phrases = d.Phrases([1, 2, 3], items, 4)
+        sweep = Sweep(texts, ALNUM)
+        window, at = d.shard_hits(sweep, phrases)
+        got = sorted((int(phrases.item[w]), int(a)) for w, a in zip(window, at, strict=True))
+        want = []
+        for t, text in enumerate(texts):
+            w = text.split()
+            for i, item in enumerate(items):
+                x = item.split()
+                k = min(4, len(x))
+                for s in range(len(x) - k + 1):
+                    want += [(i, int(sweep.first[t]) + p) for p in range(len(w) - k + 1) if w[p : p + k] == x[s : s + k]]
+        assert got == sorted(want)
+
+
+def test_spans_and_odd_rows(spark):
+    item = " ".join(f"k{i}" for i in range(14))
+    bench = spark.createDataFrame([(1, item), (2, "Short Item"), (3, None), (4, ""), (None, "odd thing")], "item_id long, text string")
+    rows = [(10, f"x {item} y"), (11, "a SHORT item, b"), (12, "odd thing"), (13, "short")]
+    docs = cases.docs(spark, rows).withColumnRenamed("lang", "spans")
+    found = {r.doc_id: r for r in d.contamination(docs, bench).collect()}
+    assert found[10].spans == [[1, 15]] and found[10]["items"] == ["1"] and found[10].n_hit == 14 and found[10].n_words == 16
+    assert found[11].spans == [[1, 3]] and found[12]["items"] == [""] and found[13].n_hit == 0
+    odd = {r.doc_id: r for r in d.contamination(cases.odd_docs(spark), bench).collect()}
+    assert odd[1].n_words == 0 and odd[2].n_words == 0 and odd[4].n_words == 60_000
+    assert d.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    assert d.contamination(docs.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("part", [d.PART_BYTES, 2000])
+def test_parts_agree(spark, part):
+    from quern.sources.tables import table
+
+    docs, bench = table(spark, cases.SF, "documents"), table(spark, cases.SF, "benchmark")
+    whole = d.contamination(docs.select("doc_id", "text"), bench)
+    parts = d.contamination(docs.select("doc_id", "text"), bench, part_bytes=part)
+    assert cases.sorted_rows(whole) == cases.sorted_rows(parts)
+
+
+def test_against_sql(spark):
+    cases.against_sql(spark, d.op4_decontaminate, d.ORACLE_SQL)

@@ -165,7 +165,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         found, rest = apart(docs, "text")
         return together(found.withColumn("score", F.lit(share)).withColumn("llr", F.lit(0.0)), rest, "score", "llr")
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    counted = written(counts(texts.where(fold().between(1, 3)).join(known.where("fold <= 3"), "doc_id")))
+    # labels grow with the documents, so they are not broadcast, however small they are
+    counted = written(counts(texts.where(fold().between(1, 3)).join(known.where("fold <= 3").hint("merge"), "doc_id")))
     tables = docs.sparkSession.sparkContext.broadcast([cells_of(t) for t in tables_of(counted)])  # 2 x 2^CELL_BITS floats
 
     def run(texts: list) -> dict:

@@ -4,8 +4,8 @@ Pages of a host are merged into one style tree: elements with the same path of t
 counts, for each node, the looks its children have (presentation) and the contents of its texts, over all pages of the host.
 With m pages a node's presentation has the entropy of its looks, to the base m; its content has one less the mean entropy
 of its texts, where a text that c pages share has log c / log m. A node whose pages look alike and say the same has a low
-importance; where a whole branch has only such nodes, it is removed from every page. Elements whose meaning HTML itself gives are nodes of importance 0
-(menus, scripts, forms, adverts, comments and the like) or 1 (the article).
+importance; where a whole branch has only such nodes, it is removed from every page. Elements whose meaning HTML itself
+gives are nodes of importance 0 (menus, scripts, forms, adverts, comments and the like) or 1 (the article).
 """
 
 from __future__ import annotations
@@ -44,13 +44,13 @@ DROPPED_NAMES = re.compile(
 
 
 class Page(HTMLParser):
-    """Nodes and blocks of a page: calls node(path, tag) for each element and text(path, data) for each text."""
+    """looks: for each node the names of its children. pieces: the page's texts with their nodes, and borders of blocks."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, str]] = []  # tags with their paths
         self.looks: dict[str, list[str]] = defaultdict(list)
-        self.pieces: list[tuple[str, str]] = []  # path and text; a None for a border between blocks
+        self.pieces: list[tuple[str, str | None]] = []  # None is a border between blocks
 
     def handle_starttag(self, tag, attrs):
         names = dict(attrs)

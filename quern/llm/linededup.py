@@ -56,9 +56,10 @@ def generalised(docs: DataFrame, keyed: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_docs_short: int = MIN_DOCS_SHORT) -> DataFrame:
     """`docs` with the recurring lines gone from text, and with n_lines and n_dropped.
 
-    docs: doc_id, text and any other columns; those of the names made are replaced. Blank lines stay. A null text stays null with 0 lines; an
-    empty one has one blank line. Rows that repeat, id and text, count as one document and are treated alike; of documents
-    with one id the order is that of a hash of their texts, and a null id comes first. An empty table stays empty.
+    docs: doc_id, text and any other columns; those of the names made are replaced. Blank lines stay. A null text stays
+    null with 0 lines; an empty one has one blank line. Rows that repeat, id and text, count as one document and are
+    treated alike; of documents with one id the order is that of a hash of their texts, and a null id comes first. An
+    empty table stays empty.
     """
     docs, rest = apart(docs, "doc_id", "text")
     keyed = written(lines(docs).select("doc_id", "row", "pos", "n", F.xxhash64("n", "line").alias("key"), leaf().alias("leaf")))

@@ -123,17 +123,27 @@ def copies(items: DataFrame, share: Column) -> DataFrame:
     return split.join(rounded(open_), "key", "left").withColumn("copies", (F.col("whole") + F.coalesce(F.col("take").cast("int"), F.lit(0))).cast("int")).drop("share", "whole", "p", "take")
 
 
+def sized(docs: DataFrame, *kept: str) -> DataFrame:
+    """The kept columns with who (the id, or what stands for a null one), size (words of the text) and digest (of the text)."""
+    digest = F.xxhash64("text")
+    who = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.xxhash64("source", "text").cast("string")))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
+    return docs.select(*kept, "source", who.alias("who"), size.alias("size"), digest.alias("digest"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """`rows` with `copy`, which numbers the rows of one who."""
+    return rows.withColumn("copy", F.row_number().over(Window.partitionBy("who").orderBy("source", "size", "digest")))
+
+
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
-    """(doc_id, copy, size, source, source_size, target, copies) of every row of `docs`, which has doc_id, source, text.
+    """(doc_id, who, copy, size, source, source_size, target, copies) of every row of `docs`, which has doc_id, source, text.
 
     size: words of the whole text, 0 for a null. copies: how often the mix takes the document, from 0 to `most`. copy
     numbers rows of one doc_id, which are documents of their own; null ids too. Documents without words are taken no
     times beyond the whole part of their share. A source without words has the target 0. An empty table stays empty.
     """
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("digest"))
-    numbered = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size", "digest"))
-    rows = rows.withColumn("copy", numbered).drop("digest").withColumn("key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "copy"))
-    rows = written(rows)
+    rows = written(numbered(sized(docs, "doc_id")).drop("digest").withColumn("key", F.concat_ws(":", "who", "copy")))
     # one row a source; spread over the rows by a join on the source that is split where a source is hot
     goals = written(targets(rows, weights, most))
     of = goals.withColumnRenamed("source", "of")

@@ -1,6 +1,7 @@
 """From raw documents to a training mix; each stage's rows are written as Parquet and read again by the next.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Other
+columns are carried along, whatever their names. Rows with a null doc_id or text go through every stage like others.
 """
 
 from __future__ import annotations
@@ -8,21 +9,62 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import quality
+from quern.llm import decontaminate, linededup, mixing, neardup, quality
 from quern.llm.shared import ready, written
 from quern.sources.tables import table
 
 
+def whole(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns of `docs`, and the struct `whole` of all."""
+    return docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    scored = quality.quality_scores(docs.withColumn("kept_text", F.col("text")), table(spark, sf_dir, "labels"))
-    kept = scored.where(F.col("score") >= quality.THRESHOLD).withColumnRenamed("kept_text", "text")
-    return kept.select(*docs.columns)
+    scored = quality.quality_scores(whole(docs, "doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.where(F.col("score") >= quality.THRESHOLD).select("whole.*")
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go, from all documents but the first; documents that this leaves without text go too."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = linededup.line_dedup(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("others")))
+    found = found.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    made = {c: F.col(f"others.`{c}`") for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    made["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("others.n_chars"))
+    return found.select(*[made[c].alias(c) for c in docs.columns])
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each class of near duplicates stays."""
+    gone = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    found = decontaminate.contamination(whole(docs, "text"), table(spark, sf_dir, "benchmark"))
+    return found.where(~decontaminate.is_contaminated()).select("whole.*")
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with `copies`, how often; sources come near their target weights."""
+    taken = mixing.mixed(docs).where("copies > 0").groupBy("who").agg(F.map_from_entries(F.collect_list(F.struct("copy", "copies"))).alias("taken"))
+    # one shuffle of the texts, by who: rows of one id are numbered as they were for the mix
+    found = mixing.numbered(mixing.sized(whole(docs, "doc_id", "source", "text"), "whole").join(taken, "who"))
+    found = found.withColumn("times", F.col("taken")[F.col("copy")]).where("times is not null")
+    return found.select(*[F.col(f"whole.`{c}`").alias(c) for c in docs.columns if c != "copies"], F.col("times").alias("copies"))
 
 
-STAGES = [("quality classifier", quality_stage)]
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_dedup_stage),
+    ("MinHash near-dedup", near_duplicates_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources to target weights", mix_stage),
+]
 
-#: No stage but line dedup can be put in SQL; tests hold each stage against a plain version of it.
+#: A learned classifier and a random rounding are no SQL; tests hold each stage against a plain version of it.
 ORACLE_SQL = None
 
 

@@ -8,9 +8,8 @@ with K = 5 and M = 36 a pair of similarity 0.75 is missed with a chance of 1.2e-
 A pair is in one of the M * M tables if and only if it shares a key of U and a key of V, so tables are not written out:
 candidates come from buckets of U and must share a key of V. No bucket is expanded into all of its pairs. Equal sets are
 one node from the start. In a bucket of U, members are first compared with the smallest one only; a bucket whose members
-the links so far join into one class needs nothing more. What is left, members of buckets with several classes, goes
-through an exact prefix filter, which pairs documents of different classes that share one of their rarest shingles. Every
-candidate is confirmed on full sets.
+these links join into one class needs nothing more. In the others, members of different classes are paired only if their
+sizes and a bound from the parities of their shingles' hashes allow a link. Every candidate is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quern.llm.bytesweep import NOT_SPACE, Sweep, mix, runs
 from quern.llm.shared import over_texts, written
@@ -31,8 +29,8 @@ SHINGLE = 5
 #: A link needs PERCENT * |union| <= 100 * |intersection|.
 PERCENT = 75
 K, M = 5, 36
-#: Keys of U whose buckets are starred together; the later ones need only what the earlier have not joined.
-PHASES = ((0, 4), (4, M))
+#: Cells of the parity bound, a multiple of 64.
+PARITIES = 1024
 
 _rng = np.random.default_rng(20)
 FACTOR = (_rng.integers(0, 1 << 32, 2 * K * M, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -127,25 +125,28 @@ def shared_keys(keys: DataFrame, by: list[str], of: str = "id") -> DataFrame:
     return keys.join(groups, by)
 
 
-def prefix_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of different classes that can reach the threshold: those that share one of their rarest shingles.
+def full_set(texts: list) -> dict:
+    """The set of each text as bytes, its size, and the parities of its hashes over PARITIES cells, as longs p0, p1 and so on."""
+    sets = shingle_sets(texts)
+    odd = np.array([np.packbits(np.bincount((s % PARITIES).astype(np.int64), minlength=PARITIES) & 1) for s in sets]).reshape(len(sets), -1)
+    longs = odd.view(np.int64)
+    made = {"found": pa.array([s.tobytes() for s in sets], pa.binary()), "size": pa.array(map(len, sets), pa.int64())}
+    return made | {f"p{i}": pa.array(longs[:, i]) for i in range(PARITIES // 64)}
 
-    Of n shingles the n - ceil(PERCENT / 100 * n) + 1 rarest are enough. members: id, class.
-    """
 
-    def run(batches):
-        for batch in batches:
-            for i, n, found in zip(batch.column("id").to_pylist(), batch.column("class").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                token = np.frombuffer(found, np.int64)
-                yield pa.RecordBatch.from_pydict({"id": np.full(len(token), i), "class": np.full(len(token), n), "size": np.full(len(token), len(token)), "token": token})
+def open_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different classes that share a bucket of U and are not excluded by their sizes and parities.
 
-    tokens = members.join(sets, "id").select("id", "class", "found").mapInArrow(run, "id long, class long, size long, token long")
-    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
-    place = F.row_number().over(Window.partitionBy("id", "size").orderBy("often", "token"))
-    prefix = tokens.join(often, "token").withColumn("place", place).where(f"place <= size - ceil({PERCENT} * size / 100) + 1 and often > 1")
-    prefix = shared_keys(prefix.select("id", "class", "token"), ["token"], "class").drop("least")
-    other = prefix.select(F.col("id").alias("b"), F.col("class").alias("class_b"), "token")
-    return prefix.join(other, "token").where("id < b and class != class_b").select(F.col("id").alias("a"), "b").distinct()
+    Sets that differ in d parities differ in d shingles or more, so |union| - |intersection| >= d. The join makes no row
+    for a pair whose similarity this bound puts below the threshold. members: id, class, u.
+    """
+    rows = members.join(sets.drop("found"), "id")
+    other = rows.select("u", *[F.col(c).alias(f"{c}_b") for c in rows.columns if c != "u"])
+    apart = sum(F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITIES // 64))
+    # |union| = (|a| + |b| + apart) / 2 and |intersection| = (|a| + |b| - apart) / 2 at best
+    both = F.col("size") + F.col("size_b")
+    fits = 100 * (both - apart) >= PERCENT * (both + apart)
+    return rows.join(other, "u").where((F.col("id") < F.col("id_b")) & (F.col("class") != F.col("class_b")) & fits).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
 
 
 def classed(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -174,27 +175,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = sketches.join(same.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     nodes = nodes.dropDuplicates(["digest"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "u", "v")
 
-    in_u = written(shared_keys(nodes.select("id", F.posexplode("u").alias("place", "u")), ["u"]).select("id", "place", "u"))
+    in_u = written(shared_keys(nodes.select("id", F.explode("u").alias("u")), ["u"]))
     ids = in_u.select("id").distinct()
     colliding = written(nodes.join(ids, "id", "left_semi").select("id", "size", "u", "v"))
     wanted = texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    sets = written(over_texts(wanted.withColumnRenamed("doc_id", "id"), "text", lambda t: {"found": pa.array([s.tobytes() for s in shingle_sets(t)], pa.binary())}, "found binary").where("length(found) > 0").distinct())
-
-    links = None
-    for lo, hi in PHASES:
-        mine = in_u.where(f"place >= {lo} and place < {hi}").select("id", "u")
-        if links is not None:  # buckets of one class need nothing more
-            mine = shared_keys(classed(mine, components(links)), ["u"], "class").withColumn("pivot", F.col("class") == F.col("least"))
-            pivots = mine.where("pivot").groupBy("u").agg(F.min("id").alias("a"))
-            stars = mine.where("not pivot").join(pivots, "u")
-        else:
-            stars = mine.join(in_u.groupBy("u").agg(F.min("id").alias("a")), "u").where("id != a")
-        found = written(confirmed(meeting(stars.select("a", F.col("id").alias("b")), colliding), sets))
-        links = found if links is None else written(links.union(found))
-
-    open_u = shared_keys(classed(in_u.select("id", "u"), components(links)), ["u"], "class")
-    members = written(open_u.select("id", "class").distinct())
-    rest = confirmed(meeting(prefix_pairs(members, sets), colliding), sets)
+    parities = ", ".join(f"p{i} long" for i in range(PARITIES // 64))
+    sets = over_texts(wanted.withColumnRenamed("doc_id", "id"), "text", full_set, f"found binary, size long, {parities}")
+    sets = written(sets.where("size > 0").dropDuplicates(["id", "found"]))
+
+    stars = in_u.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    links = written(confirmed(meeting(stars, colliding), sets))
+    open_u = written(shared_keys(classed(in_u.select("id", "u"), components(links)), ["u"], "class").select("id", "class", "u"))
+    rest = confirmed(meeting(open_pairs(open_u, sets), colliding), sets)
 
     classes = components(links.union(rest))
     of_set = same.join(classes, "id", "left").where("n > 1 or component is not null").select("digest", F.coalesce("component", "id").alias("component_id"))

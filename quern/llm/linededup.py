@@ -22,19 +22,24 @@ GENERAL, SIMILAR = 8, 0.7
 DEPTH = 3
 
 
+def tidy(line: Column) -> Column:
+    """The line with single blanks. Few lines have others, and looking for a text is much cheaper than a pattern."""
+    odd = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\x0c")
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[\x09-\x0D\x20]+", " ")).otherwise(line))
+
+
 def masked(line: Column) -> Column:
-    """The line with single blanks and its words that have digits as <*>."""
-    # single blanks, which are most, are left to stand
-    clean = F.trim(F.regexp_replace(line, r"[\x09-\x0D][\x09-\x0D\x20]*|\x20[\x09-\x0D\x20]+", " "))
-    return F.when(clean.rlike("[0-9]"), F.regexp_replace(clean, "[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(clean)
+    """The line with words that have digits as <*>."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(line)
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row, pos, line, n): the masked lines that are not blank. row stands for the id and the whole text."""
     row = F.xxhash64("doc_id", "text").alias("row")
-    # masked before they are exploded, so that later expressions do not repeat it
-    found = docs.select("doc_id", row, F.posexplode(F.transform(F.split("text", "\n"), masked)).alias("pos", "line")).where("line != ''")
-    return found.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    # all is done before the lines are exploded, each step once a line, so that later expressions do not repeat it
+    clean = F.transform(F.transform(F.split("text", "\n"), tidy), masked)
+    counted = F.transform(clean, lambda line: F.struct(line.alias("line"), F.size(F.split(line, " ")).alias("n")))
+    return docs.select("doc_id", row, F.posexplode(counted).alias("pos", "l")).select("doc_id", "row", "pos", "l.line", "l.n").where("line != ''")
 
 
 def leaf() -> Column:
@@ -77,7 +82,7 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_docs_short: int =
     parts = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "drop")
     text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
-    found = found.withColumn("n_lines", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long"))
+    found = found.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"))
     found = found.withColumn("n_dropped", F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long"))
     return together(found.withColumn("text", text), rest, "doc_id", "text", "n_lines", "n_dropped")
 

@@ -60,14 +60,14 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, l2: float = 1e-4):
     """Weights and bias that Adam reaches on the non-negative risk. While the negative part is below zero its sign is turned."""
-    p = np.column_stack([positive, np.ones(len(positive))]).astype(np.float32)
-    u = np.column_stack([unlabelled, np.ones(len(unlabelled))]).astype(np.float32)
-    w, m, v = (np.zeros(p.shape[1], np.float32) for _ in range(3))
+    p, u = positive, unlabelled
+    w, m, v = (np.zeros(p.shape[1] + 1, np.float32) for _ in range(3))
+    weighed = lambda x, g: np.append(g @ x, g.sum()) / len(x)  # noqa: E731  the mean gradient, the bias last
     for t in range(1, steps + 1):
-        zp, zu = p @ w, u @ w
+        zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        of_positive = -prior * (p.T @ (1 - sigmoid(zp))) / len(p)
-        of_negative = (u.T @ sigmoid(zu)) / len(u) - prior * (p.T @ sigmoid(zp)) / len(p)
+        of_positive = -prior * weighed(p, 1 - sigmoid(zp))
+        of_negative = weighed(u, sigmoid(zu)) - prior * weighed(p, sigmoid(zp))
         grad = (of_positive + of_negative if negative >= 0 else -of_negative) + l2 * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -79,7 +79,7 @@ def elkan_noto(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     both = len(positive) / (len(positive) + len(unlabelled))
     p, u = positive[::2], unlabelled
     w = minimise(p, u, both)
-    score = lambda x: sigmoid(np.column_stack([x, np.ones(len(x))]) @ w)
+    score = lambda x: sigmoid(x @ w[:-1] + w[-1])
     held = positive[1::2] if len(positive) > 1 else positive
     return float(np.clip(score(u).mean() / max(score(held).mean(), 1e-6), 0.05, 0.95))
 
@@ -92,8 +92,11 @@ class Model:
         if not len(positive) or not len(unlabelled):
             self.constant = 0.5 if prior is None else prior
             return
-        self.mean, self.scale = unlabelled.mean(0), unlabelled.std(0) + 1e-2
-        p, u = (positive - self.mean) / self.scale, (unlabelled - self.mean) / self.scale
+        self.mean, self.scale = unlabelled.mean(0), unlabelled.std(0) + np.float32(1e-2)
+        p, u = positive, unlabelled
+        for x in (p, u):  # in place: the sample is the driver's largest thing
+            x -= self.mean
+            x /= self.scale
         self.prior = elkan_noto(p, u) if prior is None else prior
         self.weights = minimise(p, u, self.prior)
 
@@ -112,7 +115,7 @@ def as_features(df: DataFrame, rows: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """The model from at most `max_positive` trusted positives and `max_unlabelled` texts, chosen by hashes of their ids."""
+    """The model, from at most `max_positive` trusted positives and `max_unlabelled` texts, chosen by hashes of their ids."""
     known = labelled(labels, "quality")
     seen = known.agg(F.count("*").alias("n"), F.sum("label").alias("positive")).first()
     prior = None if not seen.n or seen.positive == seen.n else seen.positive / seen.n

@@ -20,14 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.bytesweep import LETTERS, Sweep, chunks, mix
+from quern.llm.bytesweep import LETTERS, Sweep, chunks
 from quern.llm.shared import apart, fold, labelled, over_texts, together, written
 from quern.sources.tables import table
 
 ORDER = 5
 DISCOUNT = 0.75
-#: The tables sent to the executors have so many cells; n-grams share a cell only if their hashes meet.
-CELL_BITS = 21
 #: Rows that the logistic curve is fitted on at most.
 MAX_CALIBRATION = 20_000
 #: A word counts as clearly toxic above this difference of log-likelihoods.
@@ -99,33 +97,31 @@ def tables_of(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return top.select("gram", F.log(p1 / p0).alias("llr")), contexts.select(F.col("context").alias("gram"), F.log(left1 / left0).alias("llr"))
 
 
-def cells_of(llr: DataFrame) -> np.ndarray:
-    """A table of 2^CELL_BITS cells by the n-grams' hashes; a NaN where none falls, the mean where several do."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cell = cell_of(b.column("gram").to_numpy().astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"cell": cell, "llr": b.column("llr")})
-
-    found = llr.mapInArrow(run, "cell long, llr double").groupBy("cell").agg(F.avg("llr").cast("float").alias("llr")).toArrow()
-    out = np.full(1 << CELL_BITS, np.nan, np.float32)
-    out[found.column("cell").to_numpy()] = found.column("llr").to_numpy()
-    return out
+def keyed(llr: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Every n-gram of `llr`, in order, and its value: as many as were counted, each under its own whole key."""
+    found = llr.select("gram", F.col("llr").cast("float")).toArrow()
+    gram, value = found.column("gram").to_numpy().astype(np.uint64), found.column("llr").to_numpy()
+    order = np.argsort(gram)
+    return gram[order], value[order]
 
 
-def cell_of(gram: np.ndarray) -> np.ndarray:
-    return mix(gram + np.uint64(1)) >> np.uint64(64 - CELL_BITS)
+def looked_up(gram: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The n-grams' values; a NaN where the keys, which are in order, lack one."""
+    if not len(keys):
+        return np.full(len(gram), np.nan, np.float32)
+    at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+    return np.where(keys[at] == gram, values[at], np.float32(np.nan))
 
 
-def figures(texts: list, seen: np.ndarray, new: np.ndarray) -> np.ndarray:
+def figures(texts: list, seen: tuple, new: tuple) -> np.ndarray:
     """Of each text: the mean difference a letter, the clearly toxic words' over the root of the words, the largest of a word."""
     gram, owner = grams(texts)
     out = np.zeros((len(texts), 3))
     if not len(gram):
         return out
-    llr = seen[cell_of(gram)]
+    llr = looked_up(gram, *seen)
     unseen = np.isnan(llr)
-    llr[unseen] = new[cell_of(gram[unseen] >> np.uint64(8))]
+    llr[unseen] = looked_up(gram[unseen] >> np.uint64(8), *new)
     llr = np.nan_to_num(llr).astype(np.float64)
     letters = np.bincount(owner, minlength=len(texts))
     ends = np.flatnonzero((gram & np.uint64(255)) == 0)
@@ -167,7 +163,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     # labels grow with the documents, so they are not broadcast, however small they are
     counted = written(counts(texts.where(fold().between(1, 3)).join(known.where("fold <= 3").hint("merge"), "doc_id")))
-    tables = docs.sparkSession.sparkContext.broadcast([cells_of(t) for t in tables_of(counted)])  # 2 x 2^CELL_BITS floats
+    tables = docs.sparkSession.sparkContext.broadcast([keyed(t) for t in tables_of(counted)])  # 12 bytes an n-gram counted
 
     def run(texts: list) -> dict:
         found = figures(texts, *tables.value)

@@ -1,5 +1,6 @@
 """Held-out accuracy of the two learned scores, and their odd rows."""
 
+import numpy as np
 import pytest
 from llm import cases
 from pyspark.sql import functions as F
@@ -53,3 +54,13 @@ def test_grams_stay_within_words():
     assert decode[:3] == [b"\0\0\0\0a", b"\0\0\0ab", b"\0\0ab\0"] and owner.tolist()[:3] == [0, 0, 0]
     assert decode[3:5] == [b"\0\0\0\0c", b"\0\0\0c\0"]
     assert set(owner.tolist()) == {0, 3}
+
+
+def test_no_two_grams_share_a_value(spark):
+    """With more n-grams than 2^21 none gets another's value, and one never counted gets none."""
+    n = 2_300_000
+    keys, values = toxicity.keyed(spark.range(n).select(F.col("id").alias("gram"), F.col("id").cast("double").alias("llr")))
+    assert len(keys) == n
+    assert (toxicity.looked_up(np.arange(n, dtype=np.uint64), keys, values) == np.arange(n, dtype=np.float32)).all()
+    assert np.isnan(toxicity.looked_up(np.arange(n, n + 1000, dtype=np.uint64), keys, values)).all()
+    assert np.isnan(toxicity.looked_up(np.arange(3, dtype=np.uint64), keys[:0], values[:0])).all()

@@ -3,7 +3,8 @@
 Labelled pages are good or bad. A host's chance of a bad page has a beta prior around its registered domain's estimate,
 this one around its suffix's, and that around the rate of all pages. How strongly a level holds to the one above is
 estimated from the data: the method of moments for a beta-binomial gives the prior's weight, in pages. A host is blocked
-if the lower bound of its posterior, mean - z * deviation, lies above the threshold. Written rules go first.
+if the lower bound of its posterior, mean - z * deviation, lies above the threshold. A host without labelled pages has the
+posterior predictive of its domain, suffix or all pages, whichever is the nearest known. Written rules go first.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import apart, together
+from quern.llm.shared import apart, together, written
 from quern.sources.tables import table
 
 #: (rule, verdict): the host up to the first slash, then the path.
@@ -47,7 +48,7 @@ def levels(host: Column) -> tuple[Column, Column]:
 
 
 def shrunk(counts: DataFrame, level: str, above: DataFrame | None, above_level: str | None) -> DataFrame:
-    """(level, mean, weight): rate of bad pages of each group, drawn towards the level above; weight is the prior's and its own.
+    """(level, mean, weight, strength): rate of bad pages of each group, drawn towards the level above; weight is the prior's and its own, strength the prior's.
 
     counts: level, above_level, bad, n. above: above_level, mean. Groups i with n_i pages and rates r_i around m: the
     variance between groups beyond binomial noise, v, gives the prior's weight m (1 - m) / v - 1.
@@ -73,20 +74,31 @@ def shrunk(counts: DataFrame, level: str, above: DataFrame | None, above_level:
     strength = F.lit(LEAST_WEIGHT) if above is None else F.coalesce(F.lit(between.select(weight.alias("w")).first().w), F.lit(MOST_WEIGHT))
     found = found.withColumn("strength", strength)
     mean = (F.col("bad") + F.col("strength") * F.col("prior")) / (F.col("n") + F.col("strength"))
-    return found.select(level, mean.alias("mean"), (F.col("n") + F.col("strength")).alias("weight"))
+    return found.select(level, mean.alias("mean"), (F.col("n") + F.col("strength")).alias("weight"), "strength")
 
 
-def reputation(pages: DataFrame) -> DataFrame:
-    """(host, lower): the lower bound of the posterior chance that a page of the host is bad. pages: host, bad, labelled rows only."""
+def reputation(hosts: DataFrame, pages: DataFrame) -> DataFrame:
+    """(host, lower) of each host: the lower bound of the posterior chance that a page of it is bad. pages: host, bad, labelled rows only.
+
+    A host without labelled pages has the posterior predictive of the nearest level that has some: that level's mean, with
+    the spread that the priors of all levels below it add. Without any labels there is no row.
+    """
     domain, suffix = levels(F.col("host"))
-    hosts = pages.groupBy("host").agg(F.sum("bad").alias("bad"), F.count("*").alias("n"))
-    hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix).withColumn("all", F.lit(0))
-    everything = shrunk(hosts, "all", None, None)
-    suffixes = shrunk(hosts, "suffix", everything, "all")
-    domains = shrunk(hosts, "domain", suffixes, "suffix")
-    found = shrunk(hosts, "host", domains, "domain")
-    deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
-    return found.select("host", (F.col("mean") - Z * deviation).alias("lower"))
+    counts = pages.groupBy("host").agg(F.sum("bad").alias("bad"), F.count("*").alias("n"))
+    counts = written(counts.withColumn("domain", domain).withColumn("suffix", suffix).withColumn("all", F.lit(0)))
+    everything = shrunk(counts, "all", None, None)
+    suffixes = shrunk(counts, "suffix", everything, "all")
+    domains = shrunk(counts, "domain", suffixes, "suffix")
+    known = [written(t) for t in (everything, suffixes, domains, shrunk(counts, "host", domains, "domain"))]
+    # how much of a level's chance is certain, given the level above
+    firm = [s / (s + 1) for s in (t.select(F.max("strength")).first()[0] or MOST_WEIGHT for t in known)]
+    found = hosts.select("host").distinct().withColumn("domain", domain).withColumn("suffix", suffix).withColumn("all", F.lit(0))
+    for t, level in zip(known, ("all", "suffix", "domain", "host")):
+        found = found.join(t.select(level, F.col("mean").alias(f"mean_{level}"), F.col("weight").alias(f"weight_{level}")), level, "inner" if level == "all" else "left")
+    has = [F.col(f"mean_{level}").isNotNull() for level in ("host", "domain", "suffix")]
+    mean = F.coalesce("mean_host", "mean_domain", "mean_suffix", "mean_all")
+    share = F.when(has[0], 1 / (F.col("weight_host") + 1)).when(has[1], 1 - firm[3]).when(has[2], 1 - firm[3] * firm[2]).otherwise(1 - firm[3] * firm[2] * firm[1])
+    return found.select("host", (mean - Z * F.sqrt(mean * (1 - mean) * share)).alias("lower"))
 
 
 def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -102,17 +114,17 @@ def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules: tuple = RULES) -> DataFrame:
-    """`pages` with host, path, rule, verdict and lower, the bound of the host's reputation (null where nothing is known).
+    """`pages` with host, path, rule, verdict and lower, the bound of the host's reputation (null without any labels).
 
     pages: url and any other columns; those of the names made are replaced. A null url, or one without ://, has an empty host and path, fits no rule
-    and is allowed unless the empty host has a bad reputation. Hosts without labelled pages are allowed. Rows that repeat
-    are judged alike; without labels only rules count; an empty table stays empty.
+    and is judged by the empty host's reputation. Hosts without labelled pages are judged by their domain, suffix or all
+    pages. Rows that repeat are judged alike; without labels only rules count; an empty table stays empty.
     """
     host, path = host_and_path(F.col("url"))
     pages, rest = apart(pages, "url")
     parted = pages.withColumn("host", host).withColumn("path", path)
     # one row a host; the join on it is split where a host is hot
-    known = reputation(outcomes(parted, labels))
+    known = written(reputation(parted, outcomes(parted, labels)))
     found = parted.join(known, "host", "left").withColumn("fits", rule_of(F.col("host"), F.col("path"), rules))
     by_method = F.when(F.col("lower") > THRESHOLD, "block").otherwise("allow")
     found = found.withColumn("rule", F.col("fits.rule")).withColumn("verdict", F.coalesce(F.col("fits.verdict"), by_method))

@@ -27,6 +27,14 @@ def test_reputation(spark):
     assert {found[i].verdict for i in range(40)} == {"block"} and {found[i].verdict for i in range(40, 82)} == {"allow"}
 
 
+def test_unlabelled_host_is_judged_by_its_nearest_level(spark):
+    """A fresh subdomain of a domain with bad pages only is blocked, one of a good domain and an unknown suffix are allowed."""
+    urls = [f"http://h{i % 50}.bad.com/{i}" for i in range(1000)] + [f"http://h{i % 50}.good.org/{i}" for i in range(1000, 2000)]
+    found = judged(spark, urls + ["http://fresh.bad.com/x", "http://fresh.good.org/x", "http://a.b.info/x", "http://a.new.org/x"], [(i, 0 if i < 1000 else 1, 0) for i in range(2000)])
+    assert [found[2000 + i].verdict for i in range(4)] == ["block", "allow", "allow", "allow"]
+    assert found[2001].lower is not None and found[2002].lower is not None and found[2003].lower is not None
+
+
 def test_odd_rows(spark):
     pages = spark.createDataFrame([(1, None), (None, "http://a.b/1"), (2, ""), (2, "")], "page_id long, url string").withColumn("verdict", F.lit("x")).withColumn("lower", F.lit("y"))
     labels = spark.createDataFrame([(1, None, None), (None, 0, 1), (1, 0, None), (1, 0, None)], "doc_id long, quality int, toxic int")

@@ -6,14 +6,14 @@ Kneser-Ney continuation counts that both classes share. So a rare expression tha
 in both and leaves the comparison alone, while inflected forms of a toxic stem still meet the stem's n-grams.
 
 The counts are exact, over all labelled rows that may be learned from, and are aggregated by Spark. A logistic curve
-fitted on a fold of its own turns three figures of a text into a score: the length-normalised difference of the two
+fitted on a fold of its own, with counts that leave this fold out, turns three figures of a text into a score: the length-normalised difference of the two
 log-likelihoods, the summed differences of its clearly toxic words over the root of its words, and the largest difference
 of one word.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,22 +54,26 @@ def grams(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counts(texts: DataFrame) -> DataFrame:
-    """(gram, n1, n0): how often each n-gram occurs in texts labelled 1 and 0. texts: text, label."""
+    """(gram, late, n1, n0): how often each n-gram occurs in texts labelled 1 and 0. texts: text, label, late, true where the curve is fitted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             all_texts, label = batch.column("text").to_pylist(), batch.column("label").to_numpy()
+            is_late = batch.column("late").to_numpy(zero_copy_only=False).astype(np.uint64)
             keys, ones, zeros = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
             for lo, hi in chunks(all_texts):
                 gram, owner = grams(all_texts[lo:hi])
                 is_one = label[lo:hi][owner] == 1
+                gram = gram | is_late[lo:hi][owner] << np.uint64(8 * ORDER)  # above the n-gram's own bits
                 merged, at = np.unique(np.concatenate((keys, gram)), return_inverse=True)
                 weigh = lambda old, new: np.bincount(at, np.concatenate((old, new)), len(merged)).astype(np.int64)  # noqa: B023, E731
                 keys, ones, zeros = merged, weigh(ones, is_one), weigh(zeros, ~is_one)
-            yield pa.RecordBatch.from_pydict({"gram": keys.astype(np.int64), "n1": ones, "n0": zeros})
+            late = keys >> np.uint64(8 * ORDER) > 0
+            gram = keys & np.uint64((1 << 8 * ORDER) - 1)
+            yield pa.RecordBatch.from_pydict({"gram": gram.astype(np.int64), "late": late, "n1": ones, "n0": zeros})
 
-    made = texts.select("text", "label").mapInArrow(run, "gram long, n1 long, n0 long")
-    return made.groupBy("gram").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    made = texts.select("text", "label", "late").mapInArrow(run, "gram long, late boolean, n1 long, n0 long")
+    return made.groupBy("gram", "late").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
 def discounted(count, total, types, lower):
@@ -149,9 +153,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without its text and with `score`, the chance that a document is toxic, and `llr`, the difference a letter.
 
-    docs: doc_id, text and any other columns; those named score or llr are replaced. labels: doc_id, toxic. Counts come from folds 1 to 3 of the ids, the
-    logistic curve from fold 4 (or from the counted folds, if fold 4 lacks a class); fold 0 is never learned from. Null
-    and empty texts have figures of 0 and the score that follows from these. Where labelled rows lack a class, every
+    docs: doc_id, text and any other columns; those named score or llr are replaced. labels: doc_id, toxic. The logistic
+    curve is fitted on fold 4 of the ids with counts of folds 1 to 3 (or on these folds, if fold 4 lacks a class); the
+    counts that scores come from are of folds 1 to 4. Fold 0 is never learned from. Null and empty texts have figures of 0 and the score that follows from these. Where labelled rows lack a class, every
     score is the share of that class. Rows that repeat are scored alike; an empty table stays empty.
     """
     known = written(labelled(labels, "toxic"))
@@ -162,12 +166,21 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return together(found.withColumn("score", F.lit(share)).withColumn("llr", F.lit(0.0)), rest, "score", "llr")
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     # labels grow with the documents, so they are not broadcast, however small they are
-    counted = written(counts(texts.where(fold().between(1, 3)).join(known.where("fold <= 3").hint("merge"), "doc_id")))
-    tables = docs.sparkSession.sparkContext.broadcast([keyed(t) for t in tables_of(counted)])  # 12 bytes an n-gram counted
+    learned = known.select("doc_id", "label", (F.col("fold") == 4).alias("late"))
+    counted = written(counts(texts.where(fold() > 0).join(learned.hint("merge"), "doc_id")))
+    in_all = counted.groupBy("gram").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    early = counted.where("not late").drop("late")
 
-    def run(texts: list) -> dict:
-        found = figures(texts, *tables.value)
-        return {f"x{k}": pa.array(found[:, k], pa.float64()) for k in range(3)}
+    def scorer(of: DataFrame) -> Callable[[list], dict]:
+        tables = docs.sparkSession.sparkContext.broadcast([keyed(t) for t in tables_of(of)])  # 12 bytes an n-gram counted
+
+        def run(texts: list) -> dict:
+            found = figures(texts, *tables.value)
+            return {f"x{k}": pa.array(found[:, k], pa.float64()) for k in range(3)}
+
+        return run
+
+    run = scorer(early)  # the curve's fold is not in the counts that the curve is fitted on
 
     def sample(where: str) -> tuple[np.ndarray, np.ndarray]:
         # at most MAX_CALIBRATION ids and labels of some 16 bytes: small enough to broadcast
@@ -186,7 +199,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     w[0] -= float(w[1:] @ mean)
     score = F.lit(float(w[0])) + sum(F.lit(float(w[k + 1])) * F.col(f"x{k}") for k in range(3))
     found, rest = apart(docs, "text")
-    made = over_texts(found, "text", run, "x0 double, x1 double, x2 double")
+    made = over_texts(found, "text", scorer(in_all), "x0 double, x1 double, x2 double")
     made = made.select("carried", F.round(1 / (1 + F.exp(-score)), 9).alias("score"), F.col("x0").alias("llr"))
     return together(made, rest, "score", "llr")
 

@@ -64,3 +64,17 @@ def test_no_two_grams_share_a_value(spark):
     assert (toxicity.looked_up(np.arange(n, dtype=np.uint64), keys, values) == np.arange(n, dtype=np.float32)).all()
     assert np.isnan(toxicity.looked_up(np.arange(n, n + 1000, dtype=np.uint64), keys, values)).all()
     assert np.isnan(toxicity.looked_up(np.arange(3, dtype=np.uint64), keys[:0], values[:0])).all()
+
+
+def test_counts_cover_the_curves_fold(spark):
+    """A toxic expression whose labelled documents all lie in fold 4 is known to the model."""
+    ids = spark.range(3000).select(F.col("id").alias("doc_id"), F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5)).alias("fold"))
+    fold4 = sorted(r.doc_id for r in ids.where("fold = 4").collect())[:30]
+    toxic, ordinary = "the weather gruzzip was fine today", "the weather morning was fine today"
+    texts = [(i, f"the weather {'zorblax' if i % 2 else 'morning'} was fine today", i % 2) for i in range(300) if i not in fold4]
+    texts += [(i, toxic if k % 2 else ordinary, k % 2) for k, i in enumerate(fold4)]
+    new = spark.createDataFrame([(90001, toxic), (90002, ordinary)], "doc_id long, text string")
+    docs = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string").union(new)
+    labels = spark.createDataFrame([(i, t) for i, _, t in texts], "doc_id long, toxic int")
+    llr = {r.doc_id: r.llr for r in toxicity.toxicity_scores(docs, labels).where("doc_id > 90000").collect()}
+    assert llr[90001] > 0.1 and llr[90002] < -0.1

@@ -4,6 +4,9 @@ Each word starts as a chain of symbols. A heap holds the adjacent pairs that hav
 of these the leftmost, is merged again and again, and its neighbours' pairs are pushed. The count is the number of symbols
 at the start less the merges; no identifiers are made. Texts are normalised and cut into words as the vocabulary's own file
 says, and counts of words met before are remembered within bounds.
+
+What counts as a letter or a number depends on the Unicode version of whoever asks. So a text of code points below U+0250,
+about which all versions agree, is cut by a compiled pattern; any other is cut by the library's own cutter of the file.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from quern.llm.shared import apart, over_texts, together
 from quern.sources.tables import table
@@ -48,13 +51,15 @@ class Merger:
             file = json.load(f)
         model = file["model"]
         vocab = model["vocab"]
-        # a pair of symbol numbers -> its rank and the number of what it merges to, 16 bits each for the numbers
-        self.pairs = {vocab[x] << 16 | vocab[y]: rank << 16 | vocab[x + y] for rank, (x, y) in reversed([*enumerate(model["merges"])])}
+        # a pair of symbol numbers -> its rank and the number of what it merges to, in as many bits as the vocabulary needs
+        self.bits = bits = max(vocab.values()).bit_length()
+        self.pairs = {vocab[x] << bits | vocab[y]: rank << bits | vocab[x + y] for rank, (x, y) in reversed([*enumerate(model["merges"])])}
         letters = byte_letters()
         self.inner = [vocab.get(letters[b]) for b in range(256)]
         self.last = [vocab.get(letters[b] + END) for b in range(256)]
         self.normalise = Tokenizer.from_file(path).normalizer.normalize_str
         self.words = regex.compile(PATTERN)
+        self.cutter = pre_tokenizers.Split(Regex(PATTERN), "removed", invert=True)
         self.beyond = re.compile("[^\x00-\u024f]")
         special = [regex.escape(t["content"]) for t in file["added_tokens"]]
         self.special = regex.compile("|".join(special)) if special else None
@@ -69,31 +74,32 @@ class Merger:
             symbol = [s for s in symbol if s is not None]
         n = left_over = len(symbol)
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
-        get = self.pairs.get
+        get, bits = self.pairs.get, self.bits
+        low = (1 << bits) - 1
         heap = []  # rank * n + place: the lowest rank first, of these the leftmost
         for i in range(n - 1):
-            if (pair := get(symbol[i] << 16 | symbol[i + 1])) is not None:
-                heap.append((pair >> 16) * n + i)
+            if (pair := get(symbol[i] << bits | symbol[i + 1])) is not None:
+                heap.append((pair >> bits) * n + i)
         heapify(heap)
         while heap:
             rank, i = divmod(heappop(heap), n)
             j = after[i]
             if symbol[i] < 0 or j >= n:
                 continue
-            pair = get(symbol[i] << 16 | symbol[j])
-            if pair is None or pair >> 16 != rank:
+            pair = get(symbol[i] << bits | symbol[j])
+            if pair is None or pair >> bits != rank:
                 continue  # one of the two has been merged meanwhile
-            new = symbol[i] = pair & 0xFFFF
+            new = symbol[i] = pair & low
             symbol[j] = -1
             left_over -= 1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (pair := get(new << 16 | symbol[k])) is not None:
-                    heappush(heap, (pair >> 16) * n + i)
+                if (pair := get(new << bits | symbol[k])) is not None:
+                    heappush(heap, (pair >> bits) * n + i)
             h = before[i]
-            if h >= 0 and (pair := get(symbol[h] << 16 | new)) is not None:
-                heappush(heap, (pair >> 16) * n + h)
+            if h >= 0 and (pair := get(symbol[h] << bits | new)) is not None:
+                heappush(heap, (pair >> bits) * n + h)
         return left_over
 
     def of_word(self, word: str) -> int:
@@ -110,9 +116,12 @@ class Merger:
             return 0
         # what the file's normaliser does: for letters below U+0250, which do not combine, that is lower case, and words
         # are cut the same at any white space
-        text = self.normalise(text) if self.beyond.search(text) else text.lower()
+        if self.beyond.search(text):
+            words = [word for word, _ in self.cutter.pre_tokenize_str(self.normalise(text))]
+        else:
+            words = self.words.findall(text.lower())
         get, total = self.counts.get, 0
-        for word in self.words.findall(text):
+        for word in words:
             n = get(word)
             total += self.of_word(word) if n is None else n
         return total
@@ -139,8 +148,9 @@ def merger(path: str) -> Merger:
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """`docs` without its text and with n_bytes (UTF-8) and n_tokens of the whole text.
 
-    docs: text and any other columns; those of the names made are replaced. A null text counts as an empty one, with no token. Rows that repeat are counted alike; an empty table stays empty.
-    path: the vocabulary file, which each executor has.
+    docs: text and any other columns; those of the names made are replaced. A null text counts as an empty one, with no
+    token. Texts are taken whole, however long; of equal ranks the leftmost pair merges first. Rows that repeat are counted
+    alike; an empty table stays empty. path: the vocabulary file, which each executor has.
     """
     found, rest = apart(docs, "text")
     sized = found.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))

@@ -30,6 +30,24 @@ def test_pieces(pieces):
     assert MERGER.count(text) == library(text)
 
 
+def test_every_code_point_beside_others():
+    """Every code point after a letter, a digit, a sign and a blank, and before a letter."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for shape in ("é{}a", "7{} ", "!{}", " {}b"):
+        for lo in range(0, len(points), 20_000):
+            texts = [shape.format(c) for c in points[lo : lo + 20_000]]
+            want = [len(e.ids) for e in LIBRARY.encode_batch_fast(texts, add_special_tokens=False)]
+            assert [MERGER.count(t) for t in texts] == want
+
+
+def test_low_code_points_in_pairs():
+    """Texts that the compiled pattern cuts: all pairs of code points below U+0250."""
+    points = [chr(c) for c in range(0x250)]
+    for x in points:
+        texts = [f"a{x}{y}1" for y in points]
+        assert [MERGER.count(t) for t in texts] == [len(e.ids) for e in LIBRARY.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_long_words():
     rnd = random.Random(4)
     for n in (1, 2, 30, 700, 5000):

@@ -7,10 +7,15 @@ non-negative unbiased risk of du Plessis et al. and Kiryo et al.:
 
 with the logistic loss l. No trusted negatives enter the risk. The prior pi is estimated from the share of positives
 among labelled rows, or, if these are all positive, by the Elkan-Noto ratio.
+
+All documents are the unlabelled text. They are dealt out to blocks of bounded size; each block's task minimises the risk of
+the trusted positives, of which there is a bounded number, against the block, and the blocks' linear models are averaged.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +25,8 @@ from quern.llm.bytesweep import NOT_SPACE, Sweep
 from quern.llm.shared import apart, fold, labelled, over_texts, together
 from quern.sources.tables import table
 
-#: Bounds of the sample that the classifier is fitted on; its features come to some 50 MB.
-MAX_POSITIVE, MAX_UNLABELLED = 8_000, 16_000
+#: Trusted positives that the classifier is fitted on at most, and unlabelled rows in a block. A block's features come to some 50 MB.
+MAX_POSITIVE, BLOCK = 8_000, 16_000
 THRESHOLD = 0.3
 
 #: Kinds of bytes: lower case, upper case, digits, blanks, line ends, common punctuation, other signs, not ASCII.
@@ -58,86 +63,117 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, l2: float = 1e-4):
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, w: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The positive part of the risk, the part that should not be negative, and the gradient of each; the bias is last."""
+    zp, zu = positive @ w[:-1] + w[-1], unlabelled @ w[:-1] + w[-1]
+    good, bad, open_ = 1 - sigmoid(zp), sigmoid(zp), sigmoid(zu)
+    of_p, of_u = np.vstack([good, bad]).astype(np.float32) @ positive / len(zp), open_.astype(np.float32) @ unlabelled / len(zu)
+    of_positive = -prior * np.append(of_p[0], good.mean())
+    of_negative = np.append(of_u, open_.mean()) - prior * np.append(of_p[1], bad.mean())
+    soft = lambda z: float(np.logaddexp(0, z.astype(np.float64)).mean())
+    return prior * soft(-zp), soft(zu) - prior * soft(zp), of_positive, of_negative
+
+
+def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 200, rate: float = 0.05, l2: float = 1e-4):
     """Weights and bias that Adam reaches on the non-negative risk. While the negative part is below zero its sign is turned."""
-    p, u = positive, unlabelled
-    w, m, v = (np.zeros(p.shape[1] + 1, np.float32) for _ in range(3))
-    weighed = lambda x, g: np.append(g @ x, g.sum()) / len(x)  # noqa: E731  the mean gradient, the bias last
+    w, m, v = (np.zeros(positive.shape[1] + 1, np.float32) for _ in range(3))
     for t in range(1, steps + 1):
-        zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        of_positive = -prior * weighed(p, 1 - sigmoid(zp))
-        of_negative = weighed(u, sigmoid(zu)) - prior * weighed(p, sigmoid(zp))
+        _, negative, of_positive, of_negative = risk(positive, unlabelled, prior, w)
         grad = (of_positive + of_negative if negative >= 0 else -of_negative) + l2 * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w = (w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     return w
 
 
 def elkan_noto(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """The prior from a classifier of positive against unlabelled rows: its mean on all rows over its mean on positives."""
     both = len(positive) / (len(positive) + len(unlabelled))
-    p, u = positive[::2], unlabelled
-    w = minimise(p, u, both)
+    w = minimise(positive[::2], unlabelled, both)
     score = lambda x: sigmoid(x @ w[:-1] + w[-1])
     held = positive[1::2] if len(positive) > 1 else positive
-    return float(np.clip(score(u).mean() / max(score(held).mean(), 1e-6), 0.05, 0.95))
+    return float(np.clip(score(unlabelled).mean() / max(score(held).mean(), 1e-6), 0.05, 0.95))
+
+
+def fitted(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> tuple[float, np.ndarray]:
+    """The prior and the weights, for features as they are, of one block of unlabelled rows. Both arrays are changed in place."""
+    mean, scale = unlabelled.mean(0), unlabelled.std(0) + np.float32(1e-2)
+    for x in (positive, unlabelled):
+        x -= mean
+        x /= scale
+    prior = elkan_noto(positive, unlabelled) if prior is None else prior
+    w = minimise(positive, unlabelled, prior).astype(np.float64)
+    raw = w[:-1] / scale
+    return prior, np.append(raw, w[-1] - raw @ mean)
 
 
 class Model:
-    """score(texts): from 0 to 1."""
-
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None):
-        self.constant = None
-        if not len(positive) or not len(unlabelled):
-            self.constant = 0.5 if prior is None else prior
-            return
-        self.mean, self.scale = unlabelled.mean(0), unlabelled.std(0) + np.float32(1e-2)
-        p, u = positive, unlabelled
-        for x in (p, u):  # in place: the sample is the driver's largest thing
-            x -= self.mean
-            x /= self.scale
-        self.prior = elkan_noto(p, u) if prior is None else prior
-        self.weights = minimise(p, u, self.prior)
+    """score(texts): from 0 to 1. Without weights every score is the prior."""
+
+    def __init__(self, prior: float, weights: np.ndarray | None = None):
+        self.prior, self.weights = prior, weights
 
     def score(self, texts: list) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(texts), self.constant)
-        x = (features(texts) - self.mean) / self.scale
-        return sigmoid(x.astype(np.float64) @ self.weights[:-1].astype(np.float64) + float(self.weights[-1]))
+        if self.weights is None:
+            return np.full(len(texts), self.prior)
+        return sigmoid(features(texts).astype(np.float64) @ self.weights[:-1] + self.weights[-1])
+
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(h, x) of each row of `docs`: a hash that rows are ordered by, and the features of its whole text as 16-bit floats."""
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    return over_texts(rows, "text", lambda texts: {"x": pa.array([f.tobytes() for f in features(texts).astype(np.float16)], pa.binary())}, "x binary")
 
-def as_features(df: DataFrame, rows: int) -> np.ndarray:
-    """Features of at most `rows` texts of `df`, brought to the driver."""
-    made = over_texts(df.select("text"), "text", lambda texts: {"x": pa.array([f.tobytes() for f in features(texts)], pa.binary())}, "x binary")
-    found = [np.frombuffer(r.x, np.float32) for r in made.limit(rows).collect()]
-    return np.array(found, np.float32).reshape(-1, N_FEATURES)
 
+def unpacked(x: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(x.to_pylist()), np.float16).reshape(-1, N_FEATURES).astype(np.float32)
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """The model, from at most `max_positive` trusted positives and `max_unlabelled` texts, chosen by hashes of their ids."""
+
+def averaged(features_of: DataFrame, positive: np.ndarray, prior: float | None, blocks: int) -> Model | None:
+    """The mean of the models of all blocks, each weighed by its rows. Every row of `features_of` is in one of the blocks."""
+    sent = features_of.sparkSession.sparkContext.broadcast(positive.astype(np.float16))  # MAX_POSITIVE rows at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held).sort_by([("h", "ascending"), ("x", "ascending")])
+            found, w = fitted(sent.value.astype(np.float32), unpacked(rows.column("x")), prior)
+            yield pa.RecordBatch.from_pydict({"n": [rows.num_rows], "w": [[*w, found]]})
+
+    models = features_of.repartition(blocks).mapInArrow(run, "n long, w array<double>")
+    means = models.select("n", F.posexplode("w").alias("place", "w")).groupBy("place").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w"))
+    w = [r.w for r in sorted(means.collect())]  # one row a feature
+    sent.unpersist()
+    return Model(w[-1], np.array(w[:-1])) if w else None
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, block: int = BLOCK) -> Model:
+    """The model, from at most `max_positive` trusted positives, chosen by hashes of their ids, and all of `docs` as unlabelled text.
+
+    The rows are dealt out evenly to blocks of about `block`; the risk is minimised on each, and the models are averaged.
+    """
     known = labelled(labels, "quality")
     seen = known.agg(F.count("*").alias("n"), F.sum("label").alias("positive")).first()
     prior = None if not seen.n or seen.positive == seen.n else seen.positive / seen.n
-    if seen.n and not seen.positive:
-        return Model(np.zeros((0, N_FEATURES)), np.zeros((0, N_FEATURES)), 0.0)
+    if not seen.n or not seen.positive:
+        return Model(0.0 if seen.n else 0.5)
     chosen = known.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positive).select("doc_id")
     # at most max_positive ids of 8 bytes each: small enough to broadcast
-    positive = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
-    share = min(1.0, max_unlabelled / max(1, docs.count()))
-    # a share of the hash range, 5 % wider; null ids hash like any other
-    unlabelled = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) <= int(1.05 * share * (1 << 20)))
-    return Model(as_features(positive, max_positive), as_features(unlabelled, max_unlabelled), prior)
+    positive = packed(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi"))
+    positive = unpacked(positive.orderBy("h", "x").limit(max_positive).select("x").toArrow().column("x"))
+    if not len(positive):
+        return Model(0.5 if prior is None else prior)
+    return averaged(packed(docs), positive, prior, max(1, -(-docs.count() // block)))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without its text and with `score`, the chance that a document is good.
 
-    docs: doc_id, text and any other columns; one named score is replaced. labels: doc_id, quality. Null and empty texts get a score like others
-    (all shares are 0); with no labelled row every score is 0.5, with no positive one 0. Rows that repeat are scored
-    alike; an empty table stays empty. Labels are learned from folds 1 to 4 of the id only.
+    docs: doc_id, text and any other columns; one named score is replaced. labels: doc_id, quality. Null and empty texts
+    get a score like others (all shares are 0); with no labelled row every score is 0.5, with no positive one 0. Texts are
+    taken whole, however long. Rows that repeat are scored alike and each count as unlabelled; equal scores stay equal. An
+    empty table stays empty. Labels are learned from folds 1 to 4 of the id only.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # some 10 KB
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # some 5 KB
     found, rest = apart(docs, "text")
     found = over_texts(found, "text", lambda texts: {"score": pa.array(np.round(model.value.score(texts), 9), pa.float64())}, "score double")
     return together(found, rest, "score")

@@ -42,6 +42,43 @@ def test_fold_zero_teaches_nothing(spark):
         assert cases.sorted_rows(scores(docs, labels).select("doc_id", F.round("score", 4))) == cases.sorted_rows(scores(docs, other).select("doc_id", F.round("score", 4)))
 
 
+def test_risk_and_its_gradient():
+    """The risk against its formula, the gradients against finite differences, on a few rows."""
+    rng = np.random.default_rng(3)
+    p, u, w = rng.normal(size=(7, 4)), rng.normal(size=(11, 4)), rng.normal(size=5)
+    loss = lambda z: np.log(1 + np.exp(-z))
+
+    def parts(w):
+        zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+        return 0.3 * loss(zp).mean(), loss(-zu).mean() - 0.3 * loss(-zp).mean()
+
+    good, bad, of_good, of_bad = quality.risk(p, u, 0.3, w)
+    assert (good, bad) == pytest.approx(parts(w))
+    for k in range(5):
+        step = np.eye(5)[k] * 1e-5
+        change = (np.array(parts(w + step)) - np.array(parts(w - step))) / 2e-5
+        assert (of_good[k], of_bad[k]) == pytest.approx(tuple(change), abs=1e-5)
+
+
+def test_risk_falls_and_stays_above_zero():
+    rng = np.random.default_rng(4)
+    good, bad = rng.normal(1, 1, (400, 3)).astype(np.float32), rng.normal(-1, 1, (600, 3)).astype(np.float32)
+    w = quality.minimise(good[:200], np.vstack([good[200:], bad]), 0.25)
+    z = np.vstack([good, bad]) @ w[:-1] + w[-1]
+    assert (z[:400] > 0).mean() > 0.9 and (z[400:] < 0).mean() > 0.9
+    a, b, _, _ = quality.risk(good[:200], np.vstack([good[200:], bad]), 0.25, w)
+    assert a + max(b, 0) < 0.25 * np.log(2) + 0.75 * np.log(2) and b > -0.05
+
+
+def test_every_row_is_in_a_block(spark):
+    """Blocks of 100 rows fit much the same model as one block of all, and none of the rows is left out."""
+    docs, labels = (table(spark, SF, t) for t in ("documents", "labels"))
+    one, many = quality.fit(docs, labels), quality.fit(docs, labels, block=100)
+    texts = [r.text for r in docs.collect()]
+    assert np.mean((one.score(texts) >= 0.3) == (many.score(texts) >= 0.3)) > 0.97
+    assert quality.packed(docs).count() == len(texts)
+
+
 def test_elkan_noto_when_no_negative_is_labelled(spark):
     docs, labels = (table(spark, SF, t) for t in ("documents", "labels"))
     model = quality.fit(docs, labels.where("quality = 1"))

@@ -1,10 +1,15 @@
 """Line dedup with a log-template tree of fixed depth. DataFrame functions only.
 
-A line's words are masked first: one with a digit becomes <*>. The tree's first level is the number of words, its next
-three are the leading words; a leaf holds the lines that agree in these. In a leaf, a place is constant if one word stands
-there in more than half of the leaf's distinct lines, and is a variable field if not. Lines that match at SIMILAR of their
-places or more belong to the leaf's generalised template; every other line is a template of its own. A template that
-recurs across documents is dropped from all of them but the first.
+A line's words are masked first: one with a digit becomes <*>. The tree's first level is the number of words, its next ones
+are the leading words, up to three and a third of the line at most; a leaf holds the lines that agree in these. A leaf may
+hold any number of templates. For each word and place of a leaf its support is counted, the distinct lines that have the
+word there. The leaf's main template has the words that more than half of its lines share, and the lines that agree with
+these at SIMILAR of their places or more. Any other line sorts its own places by support; so many of the best supported as
+make up SIMILAR of its places are constant, with all others that have as much support, and the rest are variable fields.
+All lines of one template share its constant words, so these have one support, which neither the leaf's other lines nor
+other templates change, while the words in its fields have less. Lines with the same words in the same constant places are
+one template; a line whose constants only it has is a template of its own. A template that recurs across documents is
+dropped from all of them but the first.
 """
 
 from __future__ import annotations
@@ -15,10 +20,11 @@ from pyspark.sql import functions as F
 from quern.llm.shared import apart, together, written
 from quern.sources.tables import table
 
-#: A template recurs if so many documents have it; templates of fewer than SHORT words need more.
-MIN_DOCS, MIN_DOCS_SHORT, SHORT = 3, 10, 5
-#: Lines of at least so many words are generalised, at the share of places that must match.
-GENERAL, SIMILAR = 8, 0.7
+#: A template recurs if so many documents have it: one of over LONG words, of fewer than SHORT ones, any other.
+MIN_DOCS_LONG, MIN_DOCS_SHORT, MIN_DOCS = 2, 10, 3
+LONG, SHORT = 50, 5
+#: The share of a line's places that are constant at least. Below 4 words that is every place.
+SIMILAR, LEAST = 0.7, 4
 DEPTH = 3
 
 
@@ -34,48 +40,53 @@ def masked(line: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, pos, line, n): the masked lines that are not blank. row stands for the id and the whole text."""
+    """(doc_id, row, pos, n, line, key, leaf): the masked lines that are not blank. row stands for the id and the whole text."""
     row = F.xxhash64("doc_id", "text").alias("row")
     # all is done before the lines are exploded, each step once a line, so that later expressions do not repeat it
     clean = F.transform(F.transform(F.split("text", "\n"), tidy), masked)
     counted = F.transform(clean, lambda line: F.struct(line.alias("line"), F.size(F.split(line, " ")).alias("n")))
-    return docs.select("doc_id", row, F.posexplode(counted).alias("pos", "l")).select("doc_id", "row", "pos", "l.line", "l.n").where("line != ''")
-
-
-def leaf() -> Column:
-    return F.xxhash64("n", F.substring_index("line", " ", DEPTH))
-
-
-def generalised(docs: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(key, leaf) of the lines that belong to their leaf's generalised template. keyed: n, key, leaf of all lines."""
-    leaves = keyed.where(f"n >= {GENERAL}").groupBy("leaf").agg((F.min("key") != F.max("key")).alias("several")).where("several").select("leaf")
-    text = lines(docs).where(f"n >= {GENERAL}").select(leaf().alias("leaf"), F.xxhash64("n", "line").alias("key"), "n", "line")
-    words = text.join(leaves, "leaf", "left_semi").dropDuplicates(["key"])
-    words = written(words.select("leaf", "key", "n", F.posexplode(F.split("line", " ")).alias("place", "word")).withColumn("word", F.xxhash64("word")))
-    size = words.where("place = 0").groupBy("leaf").agg(F.count("*").alias("distinct_lines"))
-    constant = words.groupBy("leaf", "place", "word").agg(F.count("*").alias("often")).where("often > 1")
-    constant = constant.join(size, "leaf").where("2 * often > distinct_lines").select("leaf", "place", "word")
-    matching = words.join(constant, ["leaf", "place", "word"]).groupBy("key", "leaf", "n").agg(F.count("*").alias("same"))
-    return matching.where(f"same >= {SIMILAR} * n").select("key", "leaf")
-
-
-def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_docs_short: int = MIN_DOCS_SHORT) -> DataFrame:
+    found = docs.select("doc_id", row, F.posexplode(counted).alias("pos", "l")).select("doc_id", "row", "pos", "l.n", "l.line").where("line != ''")
+    leaf = F.expr(f"xxhash64(n, substring_index(line, ' ', int(least({DEPTH}, greatest(1, n div 3)))))")
+    return found.withColumn("key", F.xxhash64("n", "line")).withColumn("leaf", leaf)
+
+
+def generalised(found: DataFrame) -> DataFrame:
+    """(key, general) of the lines that share words with others of their leaf; general stands for the template. found: a written table of lines()."""
+    place = F.xxhash64("row", "pos").alias("at")
+    # one occurrence of each distinct line, of leaves that have several; numbers only
+    distinct = written(found.where(f"n >= {LEAST}").select("leaf", "key", place).groupBy("leaf", "key").agg(F.min("at").alias("at")))
+    several = written(distinct.groupBy("leaf").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least != most").select("leaf"))
+    chosen = distinct.join(several, "leaf", "left_semi").select("at")
+    text = found.select("leaf", "key", "n", place, "line").join(chosen, "at", "left_semi").distinct()
+    words = written(text.select("leaf", "key", "n", F.posexplode(F.split("line", " ")).alias("place", "word")).withColumn("word", F.xxhash64("word")))
+    support = written(words.groupBy("leaf", "place", "word").agg(F.count("*").alias("support")).where("support > 1"))
+    supported = words.join(support, ["leaf", "place", "word"]).select("leaf", "key", "n", F.struct("place", "word", "support").alias("w"))
+    # a line's own words; the first one's support is that of the leaf
+    supported = supported.groupBy("leaf", "key", "n").agg(F.array_sort(F.collect_list("w")).alias("w")).withColumn("enough", F.ceil(F.col("n") * SIMILAR).cast("int"))
+    supported = supported.where(F.size("w") >= F.col("enough"))
+    is_main = F.size(F.filter("w", lambda w: 2 * w["support"] > F.col("w")[0]["support"])) >= F.col("enough")
+    bar = F.sort_array(F.transform("w", lambda w: w["support"]), asc=False)[F.col("enough") - 1]
+    constant = F.transform(F.filter("w", lambda w: w["support"] >= F.col("bar")), lambda w: F.struct(w["place"], w["word"]))
+    supported = supported.select("leaf", "key", "w", bar.alias("bar"), is_main.alias("is_main"))
+    return supported.select("key", F.when(F.col("is_main"), F.xxhash64("leaf")).otherwise(F.xxhash64("leaf", constant)).alias("general"))
+
+
+def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_docs_short: int = MIN_DOCS_SHORT, min_docs_long: int = MIN_DOCS_LONG) -> DataFrame:
     """`docs` with the recurring lines gone from text, and with n_lines and n_dropped.
 
     docs: doc_id, text and any other columns; those of the names made are replaced. Blank lines stay. A null text stays
-    null with 0 lines; an empty one has one blank line. Rows that repeat, id and text, count as one document and are
-    treated alike; of documents with one id the order is that of a hash of their texts, and a null id comes first. An
-    empty table stays empty.
+    null with 0 lines; an empty one has one blank line. Texts and lines are taken whole, however long. Rows that repeat, id
+    and text, count as one document and are treated alike; of documents with one id the order is that of a hash of their
+    texts, and a null id comes first. An empty table stays empty.
     """
     docs, rest = apart(docs, "doc_id", "text")
-    keyed = written(lines(docs).select("doc_id", "row", "pos", "n", F.xxhash64("n", "line").alias("key"), leaf().alias("leaf")))
-    general = generalised(docs, keyed).withColumnRenamed("leaf", "general")
-    template = F.when(F.col("general").isNotNull(), F.xxhash64(F.lit("leaf"), "general")).otherwise(F.col("key"))
-    placed = written(keyed.drop("leaf").join(general, "key", "left").select("doc_id", "row", "pos", "n", template.alias("template")))
+    found = written(lines(docs))
+    placed = found.select("doc_id", "row", "pos", "n", "key").join(generalised(found), "key", "left")
+    placed = written(placed.select("doc_id", "row", "pos", "n", F.coalesce("general", "key").alias("template")))
     by_doc = placed.groupBy("template", "n", "doc_id", "row").agg(F.lit(1).alias("one"))
     often = by_doc.groupBy("template", "n").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "row")).alias("first"))
-    enough = F.when(F.col("n") < SHORT, min_docs_short).otherwise(min_docs)
-    often = often.where(F.col("n_docs") >= enough).select("template", F.col("first.row").alias("first_row"))
+    enough = F.when(F.col("n") < SHORT, min_docs_short).when(F.col("n") > LONG, min_docs_long).otherwise(min_docs)
+    often = written(often.where(F.col("n_docs") >= enough).select("template", F.col("first.row").alias("first_row")))
     drops = placed.select("template", "row", "pos").join(often, "template").where("row != first_row")
     drops = drops.groupBy("row").agg(F.collect_set("pos").alias("drop"))
     found = docs.withColumn("row", F.xxhash64("doc_id", "text")).join(drops, "row", "left").drop("row")
@@ -99,21 +110,24 @@ ORACLE_SQL = f"""
     lines AS (
         SELECT *, string_split(line, ' ') AS w, len(string_split(line, ' ')) AS n
         FROM (SELECT doc_id, pos, regexp_replace(line, '[^ 0-9]*[0-9][^ ]*', '<*>', 'g') AS line FROM clean) WHERE line <> ''),
-    leaves AS (SELECT DISTINCT n, w[1:{DEPTH}] AS lead, line, w FROM lines WHERE n >= {GENERAL}),
-    sizes AS (SELECT n, lead, count(*) AS distinct_lines FROM leaves GROUP BY n, lead HAVING count(*) > 1),
+    leaves AS (SELECT DISTINCT n, w[1:least({DEPTH}, greatest(1, n // 3))] AS lead, line, w FROM lines WHERE n >= {LEAST}),
     words AS (SELECT n, lead, line, unnest(w) AS word, unnest(range(1, n + 1)) AS place FROM leaves),
-    constant AS (
-        SELECT n, lead, place, word FROM words JOIN sizes USING (n, lead)
-        GROUP BY n, lead, place, word, distinct_lines HAVING 2 * count(*) > distinct_lines AND count(*) > 1),
+    supports AS (SELECT n, lead, place, word, count(*) AS support FROM words GROUP BY n, lead, place, word),
+    supported AS (
+        SELECT n, line, list({{'p': place, 'w': word, 's': support}} ORDER BY place) AS l, list(support ORDER BY support DESC) AS s
+        FROM words JOIN supports USING (n, lead, place, word) GROUP BY n, line),
+    barred AS (
+        SELECT *, s[CAST(ceil(n * {SIMILAR}) AS INTEGER)] AS bar,
+            len([x for x in s if 2 * x > l[1].s]) >= ceil(n * {SIMILAR}) AS is_main
+        FROM supported),
     general AS (
-        SELECT n, lead, line FROM words JOIN constant USING (n, lead, place, word)
-        GROUP BY n, lead, line HAVING count(*) >= {SIMILAR} * n),
-    placed AS (
-        SELECT l.doc_id, l.pos, l.n, CASE WHEN g.line IS NULL THEN l.line ELSE array_to_string(l.w[1:{DEPTH}], ' ') || chr(10) END AS template
-        FROM lines l LEFT JOIN general g ON g.line = l.line),
+        SELECT line, CASE WHEN is_main THEN array_to_string([x.w for x in l][1:least({DEPTH}, greatest(1, n // 3))], ' ') || chr(10) || n
+            ELSE array_to_string([CASE WHEN x.s >= bar THEN x.w ELSE chr(10) END for x in l], ' ') END AS general
+        FROM barred WHERE bar > 1),
+    placed AS (SELECT l.doc_id, l.pos, l.n, coalesce(general, l.line) AS template FROM lines l LEFT JOIN general g ON g.line = l.line),
     often AS (
         SELECT template, n, min(doc_id) AS first_doc FROM placed GROUP BY template, n
-        HAVING count(DISTINCT doc_id) >= CASE WHEN n < {SHORT} THEN {MIN_DOCS_SHORT} ELSE {MIN_DOCS} END),
+        HAVING count(DISTINCT doc_id) >= CASE WHEN n < {SHORT} THEN {MIN_DOCS_SHORT} WHEN n > {LONG} THEN {MIN_DOCS_LONG} ELSE {MIN_DOCS} END),
     drops AS (SELECT doc_id, list(pos) AS d FROM placed JOIN often USING (template, n) WHERE doc_id <> first_doc GROUP BY doc_id)
     SELECT doc_id, coalesce(len(parts), 0)::BIGINT AS n_lines, coalesce(len(d), 0)::BIGINT AS n_dropped,
         CASE WHEN d IS NULL THEN text ELSE array_to_string([parts[i + 1] for i in range(0, len(parts)) if NOT list_contains(d, i)], chr(10)) END AS text

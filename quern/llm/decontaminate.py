@@ -3,19 +3,21 @@
 A Spark task cuts its documents into shards of bounded size. A shard's text is the sequence of its words over the
 benchmark's alphabet: a word that no benchmark item has can be in no occurrence, so it parts the sequence, and stretches
 shorter than the shortest window are left out. Over what remains stands an FM-index: the suffix array's Burrows-Wheeler
-transform in a wavelet matrix with rank counts, and every SAMPLE-th text position of the suffix array. Windows of the
-benchmark are searched backwards, all at once; occurrences are located by walking to the next sampled position; their
+transform in a wavelet matrix with rank counts, and every SAMPLE-th text position of the suffix array. The distinct
+windows of the benchmark are searched backwards, all at once; occurrences are located by walking to the next sampled position; their
 spans of words are merged.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.bytesweep import ALNUM, Sweep, chunks
+from quern.llm.bytesweep import ALNUM, Sweep, chunks, runs
 from quern.llm.shared import apart, together, with_fields, written
 from quern.sources.tables import table
 
@@ -24,27 +26,46 @@ WINDOW = 13
 SAMPLE = 8
 #: Characters in a shard, and bytes of benchmark texts that are sent to the executors at once.
 SHARD, PART_BYTES = 1 << 21, 1 << 23
+#: Occurrences that are located at once.
+SLICE = 1 << 18
 
 
 class Phrases:
-    """The windows of some benchmark items, as numbers of words; 0 and 1 are for the text's end and for gaps."""
+    """The distinct windows of some benchmark items, as numbers of words; 0 and 1 are for the text's end and for gaps.
+
+    at, size: where each window stands in `number`, and its words. owners, first: the items that have window w are
+    owners[first[w]:first[w + 1]].
+    """
 
     def __init__(self, ids: list, texts: list, window: int):
         self.ids = [("" if i is None else str(i)) for i in ids]
         sweep = Sweep(texts, ALNUM)
         hashes = sweep.hashes()
         self.words = np.unique(hashes)
-        number = np.searchsorted(self.words, hashes) + 2
-        at, size, item = [], [], []
+        self.number = np.searchsorted(self.words, hashes) + 2
+        none = np.zeros(0, np.int64)
+        key, at, size, item = [none.astype(np.uint64)], [none], [none], [none]
         for i, (lo, hi) in enumerate(zip(sweep.first[:-1], sweep.first[1:], strict=True)):
-            k = min(window, hi - lo)
-            if k:
+            if k := min(window, hi - lo):
+                key.append(runs(hashes[lo:hi], k))
                 at.append(np.arange(lo, hi - k + 1))
                 size.append(np.full(hi - lo - k + 1, k))
                 item.append(np.full(hi - lo - k + 1, i))
-        self.number = number
-        self.at, self.size, self.item = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, size, item))
-        self.shortest = int(self.size.min()) if len(self.size) else 0
+        key, at, size, item = (np.concatenate(x) for x in (key, at, size, item))
+        _, index, of = np.unique(key, return_index=True, return_inverse=True)
+        self.at, self.size = at[index], size[index]
+        self.shortest = int(self.size.min(initial=1 << 62)) if len(index) else 0
+        pairs = np.unique(of * max(1, len(ids)) + item)
+        self.first = np.searchsorted(pairs, np.arange(len(index) + 1) * max(1, len(ids)))
+        self.owners = pairs % max(1, len(ids))
+
+    def items(self, windows: np.ndarray) -> list[str]:
+        """The ids of the items that have any of the distinct windows, sorted."""
+        found = np.zeros(0, np.int64)
+        for lo in range(0, len(windows), 4096):
+            part = [self.owners[self.first[w] : self.first[w + 1]] for w in windows[lo : lo + 4096]]
+            found = np.unique(np.concatenate([found, *part]))
+        return sorted({self.ids[i] for i in found})
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word, or 1."""
@@ -136,11 +157,13 @@ class FmIndex:
         return out
 
 
-def shard_hits(sweep: Sweep, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """(window, first word) of every occurrence of a benchmark window in the texts of a shard."""
-    none = np.zeros(0, np.int64)
+def shard_hits(sweep: Sweep, phrases: Phrases) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, first word) of every occurrence of a benchmark window in the texts of a shard, in slices of SLICE at most.
+
+    At one place of a text there is one window of a size at most, however often items repeat it.
+    """
     if not phrases.shortest or not len(sweep.start):
-        return none, none
+        return
     number = phrases.numbers(sweep.hashes())
     known = number > 1
     # stretches of known words of one text
@@ -152,7 +175,7 @@ def shard_hits(sweep: Sweep, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
     long = ends - first >= phrases.shortest
     first, ends = first[long], ends[long]
     if not len(first):
-        return none, none
+        return
     size = ends - first + 1  # with a gap behind each
     offset = np.concatenate(([0], np.cumsum(size)))
     text = np.ones(offset[-1] + 1, np.int64)
@@ -163,40 +186,45 @@ def shard_hits(sweep: Sweep, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
     text[-1] = 0
     index = FmIndex(text)
     window, low, high = index.search(phrases)
-    many = high - low
-    rows = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-    return np.repeat(window, many), word[index.locate(rows)]
+    upto = np.concatenate(([0], np.cumsum(high - low)))
+    for lo in range(0, int(upto[-1]), SLICE):
+        place = np.arange(lo, min(lo + SLICE, int(upto[-1])))
+        which = np.searchsorted(upto, place, side="right") - 1
+        yield window[which], word[index.locate(low[which] + place - upto[which])]
 
 
 def hits(texts: list, phrases: Phrases, spans: list | None = None) -> dict:
     """Of each text its number of words, the ids of the items found, and the merged spans [from, to) of hit words."""
     sweep = Sweep(texts, ALNUM)
-    window, at = shard_hits(sweep, phrases)
     edge = np.zeros(len(sweep.start) + 1, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + phrases.size[window], -1)
+    many = max(1, len(phrases.at))
+    pairs = np.zeros(0, np.int64)  # distinct, of text and window
+    for window, at in shard_hits(sweep, phrases):
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + phrases.size[window], -1)
+        owner = np.searchsorted(sweep.first, at, side="right") - 1
+        pairs = np.union1d(pairs, owner * many + window)
     hit = np.cumsum(edge)[:-1] > 0
     for i, old in enumerate(spans or []):
         for lo, hi in old or []:
             hit[sweep.first[i] + lo : sweep.first[i] + hi] = True
-    owner = np.searchsorted(sweep.first, at, side="right") - 1
-    items = [set() for _ in texts]
-    for i, j in set(zip(owner.tolist(), phrases.item[window].tolist(), strict=True)):
-        items[i].add(phrases.ids[j])
+    owner = pairs // many
+    items = [phrases.items(pairs[lo:hi] % many) for lo, hi in (np.searchsorted(owner, [i, i + 1]) for i in range(len(texts)))]
     out = []
     for lo, hi in zip(sweep.first[:-1], sweep.first[1:], strict=True):
         turn = np.flatnonzero(np.diff(np.concatenate(([0], hit[lo:hi].astype(np.int8), [0]))))
         out.append([turn[i : i + 2].tolist() for i in range(0, len(turn), 2)])
-    return {"n_words": sweep.words.tolist(), "items": [sorted(x) for x in items], "spans": out}
+    return {"n_words": sweep.words.tolist(), "items": items, "spans": out}
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """`docs` without its text and with n_words, n_hit, items (ids as text, sorted), spans (arrays [from, to) of words).
 
-    docs: text and any other columns; those of the names made are replaced. benchmark: item_id, text. Null and empty texts have no words and no hits; an item
-    without words has no window; a null item_id is the empty text. Items of one id count once. Rows that repeat are
-    treated alike; an empty benchmark gives no hits. The benchmark goes to the executors in parts of about `part_bytes`;
-    beyond one part the documents are passed once for each.
+    docs: text and any other columns; those of the names made are replaced. benchmark: item_id, text. Null and empty texts
+    have no words and no hits; an item without words has no window; a null item_id is the empty text. Items of one id count
+    once; a window that several items have counts for each of them. Texts are taken whole, however long. Rows that repeat
+    are treated alike; an empty benchmark gives no hits, an empty table stays empty. The benchmark goes to the executors in
+    parts of about `part_bytes`; beyond one part the documents are passed once for each.
     """
     items = benchmark.select("item_id", "text").where(F.length("text") > 0)
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
@@ -207,6 +235,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), window))
         if part:
             found = written(found)
+            sent.unpersist()
+        sent = phrases
 
         # the text goes on only where another part follows
         kept = ["carried", "text"] if part < parts - 1 else ["carried"]

@@ -26,8 +26,9 @@ def test_search_finds_every_occurrence():
         items = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 9))) for _ in range(3)]
         phrases = d.Phrases([1, 2, 3], items, 4)
         sweep = Sweep(texts, ALNUM)
-        window, at = d.shard_hits(sweep, phrases)
-        got = sorted((int(phrases.item[w]), int(a)) for w, a in zip(window, at, strict=True))
+        found = [(w, int(a)) for window, at in d.shard_hits(sweep, phrases) for w, a in zip(window, at, strict=True)]
+        assert len(set(found)) == len(found)
+        got = sorted((int(i), a) for w, a in found for i in phrases.owners[phrases.first[w] : phrases.first[w + 1]])
         want = []
         for t, text in enumerate(texts):
             w = text.split()
@@ -36,7 +37,28 @@ def test_search_finds_every_occurrence():
                 k = min(4, len(x))
                 for s in range(len(x) - k + 1):
                     want += [(i, int(sweep.first[t]) + p) for p in range(len(w) - k + 1) if w[p : p + k] == x[s : s + k]]
-        assert got == sorted(want)
+        assert got == sorted(set(want))
+
+
+def test_repeated_words_stay_small():
+    """An item of 800 equal words has one window, and a text of 20,000 of them an occurrence at each place."""
+    import tracemalloc
+
+    phrases = d.Phrases([1, 2, 3], ["a " * 800, "a " * 900, "b c"], 13)
+    assert len(phrases.at) == 2
+    tracemalloc.start()
+    found = d.hits(["a " * 20_000, "x b c b c", ""], phrases)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["spans"] == [[[0, 20_000]], [[1, 5]], []] and found["items"] == [["1", "2"], ["3"], []] and most < 60e6
+
+
+def test_slices_agree(monkeypatch):
+    phrases = d.Phrases([1, 2], ["a b a b a b", "b a"], 4)
+    texts = ["a b a b a b a a b", "b a x b a b a", None]
+    whole = d.hits(texts, phrases)
+    monkeypatch.setattr(d, "SLICE", 2)
+    assert d.hits(texts, phrases) == whole and whole["items"][0] == ["1", "2"]
 
 
 def test_spans_and_odd_rows(spark):

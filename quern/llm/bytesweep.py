@@ -26,17 +26,16 @@ LETTERS = ALNUM.copy()
 LETTERS[48:58] = False
 
 
-def chunks(texts: Sequence[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `limit` characters; a longer text is a range of its own."""
+def chunks(sizes: Sequence[int | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `limit` bytes, from the texts' sizes; a longer text is a range of its own."""
     begin, held = 0, 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
-        if held and held + n > limit:
+    for i, n in enumerate(sizes):
+        if held and held + (n or 0) > limit:
             yield begin, i
             begin, held = i, 0
-        held += n
-    if begin < len(texts):
-        yield begin, len(texts)
+        held += n or 0
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

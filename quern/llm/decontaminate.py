@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from quern.sources.tables import table
 WINDOW = 13
 #: A suffix array entry is kept for every so many positions of a shard's text.
 SAMPLE = 8
-#: Characters in a shard, and bytes of benchmark texts that are sent to the executors at once.
+#: Bytes in a shard, and bytes of benchmark texts that are sent to the executors at once.
 SHARD, PART_BYTES = 1 << 21, 1 << 23
 #: Occurrences that are located at once.
 SLICE = 1 << 18
@@ -243,10 +244,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
 
         def run(batches, phrases=phrases, later=part > 0, kept=kept):
             for batch in batches:
-                texts = batch.column("text").to_pylist()
-                for lo, hi in chunks(texts, SHARD):
+                for lo, hi in chunks(pc.binary_length(batch.column("text")).to_pylist(), SHARD):
                     b = batch.slice(lo, hi - lo)
-                    made = hits(texts[lo:hi], phrases.value, b.column("spans").to_pylist() if later else None)
+                    made = hits(b.column("text").to_pylist(), phrases.value, b.column("spans").to_pylist() if later else None)
                     if later:
                         made["items"] = [sorted({*x, *y}) for x, y in zip(made["items"], b.column("items").to_pylist(), strict=True)]
                     out = {c: b.column(c) for c in kept}

@@ -1,17 +1,23 @@
 """HTML extraction with site style trees.
 
-Pages of a host are merged into one style tree: elements with the same path of tags, classes and roles are one node. Spark
-counts, for each node, the looks its children have (presentation) and the contents of its texts, over all pages of the host.
-With m pages a node's presentation has the entropy of its looks, to the base m; its content has one less the mean entropy
-of its texts, where a text that c pages share has log c / log m. A node whose pages look alike and say the same has a low
-importance; where a whole branch has only such nodes, it is removed from every page. Elements whose meaning HTML itself
-gives are nodes of importance 0 (menus, scripts, forms, adverts, comments and the like) or 1 (the article).
+Pages of a host are merged into one style tree, and those of all hosts of a registered domain, which often share their
+templates, into another. A node is a block element that holds others, or has a class, id or role; elements with the same run
+of such names from the root are one node, and bare paragraphs, headings and inline elements are part of the node they stand
+in. Spark counts, over the distinct pages of each such site, the looks of each node, its run of children (presentation), and
+its own texts (content; addresses and numbers in it count as alike). With m pages a node's presentation has the entropy of
+its looks, to the base m; its content has one less the mean entropy of its texts, where a text that c pages share has
+log c / log m. What is neither new in look nor in content has a low importance, and a branch of a page that has only nodes of
+low importance, in one of the two trees, is removed from it. One page says nothing, so a node's importance is drawn towards 1
+as if so many pages had shown it: PRIOR of them, or for parts of an article PRIOR_INSIDE.
+
+The tree decides first. Some noise differs from page to page, so that no entropy shows it: scripts and forms, menus and
+comments. What of these the tree has left goes by what HTML itself says: by tags, roles and a few whole names of classes.
+The element article (or main) stays.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from hashlib import blake2b
 from html.parser import HTMLParser
 
@@ -22,213 +28,241 @@ from pyspark.sql import functions as F
 from quern.llm.shared import apart, over_texts, together, with_fields, written
 from quern.sources.tables import table
 
-#: Branches below this importance go, where a host has at least so many pages with them.
-LOW, LEAST_PAGES = 0.3, 5
+#: Nodes below these importances are low: in general, and inside an article.
+LOW, LOW_INSIDE = 0.7, 0.3
+PRIOR, PRIOR_INSIDE = 2.0, 10.0
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav noscript ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
+#: Blocks that are nodes without any attribute.
+HOLDERS = frozenset("article aside details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
 #: Elements that a new one of the given tag ends, up to the nearest element that holds them.
-ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-HOLDS = frozenset("ul ol dl table tbody thead tfoot select body article div section".split())
+ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+HOLD = ("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "select", "body", "article", "div", "section")
 ENDS_P = BLOCK - {"html", "head", "body", "title", "caption", "tbody", "thead", "tfoot", "tr", "td", "th", "legend", "summary"}
-DROPPED = frozenset("head nav footer aside form script style noscript template iframe object svg button select textarea dialog menu canvas".split())
+HOLD_P = ("button", "table", "td", "article", "div", "section", "body")
+OF_HEAD = frozenset("base link meta noscript script style template title".split())
+#: Never text of a page, whatever the tree says.
+NO_TEXT = frozenset("head title script style noscript template iframe object svg button select textarea canvas".split())
+DROPPED = frozenset("nav footer aside dialog menu".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-DROPPED_NAMES = re.compile(
-    r"(^|[-_\s])(ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side-bar|footer|site-header|masthead|"
-    r"cookies?|consent|gdpr|notice|newsletter|subscribe|signup|popup|modal|comments?|comment-\w+|disqus|related|share|social|widget)([-_\s]|$)",
-    re.IGNORECASE,
+#: Whole names of classes and ids that leave no doubt.
+DROPPED_NAMES = frozenset(
+    "ad ads advert advertisement advertising adsense sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar side-bar footer "
+    "site-footer site-header masthead cookie cookies cookie-banner cookie-notice cookie-consent consent gdpr notice newsletter subscribe signup "
+    "popup modal comment comments comment-list comment-section disqus disqus_thread related related-articles related-posts share share-buttons "
+    "social social-links widget".split()
 )
+#: What HTML says of an element: nothing; that it goes; that it is a form; that it is, or is within, an article; that it has no text.
+OPEN, GOES, FORM, INSIDE, EMPTY = range(5)
+ROOT = 0
+#: Names of hosts, and numbers.
+ALIKE = re.compile(r"[\w-]+(?:\.[\w-]+)+|[0-9]+")
+
+
+def digest(*parts: str | int) -> int:
+    return int.from_bytes(blake2b("\0".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 class Page(HTMLParser):
-    """looks: for each node the names of its children. pieces: the page's texts with their nodes, and borders of blocks."""
+    """A page's nodes, each after the one it is in, and its pieces of text.
 
-    def __init__(self):
+    keys, above, says: of each node a hash of the names from the root, the node it is in, what HTML says of it. looks: the
+    names of its children. pieces: (node, text); None for a text is a border between blocks.
+    """
+
+    def __init__(self, html: str | None):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str]] = []  # tags with their paths
-        self.looks: dict[str, list[str]] = defaultdict(list)
-        self.pieces: list[tuple[str, str | None]] = []  # None is a border between blocks
+        self.keys, self.above, self.says, self.looks = [ROOT], [0], [OPEN], [[]]
+        self.pieces: list[tuple[int, str | None]] = []
+        self.open: list[tuple[str, int]] = []  # tags with their nodes
+        self.places: dict[str, list[int]] = {}  # of each tag, where it is open
+        self.feed(html or "")
+        self.close()
+
+    def node(self) -> int:
+        return self.open[-1][1] if self.open else 0
+
+    def nearest(self, tags: tuple) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def end(self, place: int) -> None:
+        while len(self.open) > place:
+            self.places[self.open.pop()[0]].pop()
+
+    def end_nearest(self, tags: tuple, holders: tuple) -> None:
+        place = self.nearest(tags)
+        if place > self.nearest(holders):
+            self.end(place)
+
+    def meaning(self, tag: str, names: list[str], role: str) -> int:
+        above = self.says[self.node()]
+        if above == EMPTY or tag in NO_TEXT:
+            return EMPTY
+        if above == GOES:
+            return GOES
+        if tag in ("article", "main"):
+            return INSIDE
+        if above == FORM or tag == "form":
+            return FORM
+        if tag in DROPPED or role in DROPPED_ROLES or (tag == "header" and above != INSIDE) or not DROPPED_NAMES.isdisjoint(names):
+            return GOES
+        return above
 
     def handle_starttag(self, tag, attrs):
-        names = dict(attrs)
+        if tag not in OF_HEAD:
+            self.end_nearest(("head",), ())
+        if tag in ("html", "body"):  # pages may leave them out
+            return
+        if tag in BLOCK:
+            self.end_nearest(("button", "select"), ())  # no block is within these
         if tag in ENDS_P:
-            self.end_within("p", "button table td article div section body")
+            self.end_nearest(("p",), HOLD_P)
         if tag in ENDED_BY:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] in ENDED_BY[tag]:
-                    del self.open[i:]
-                    break
-                if self.open[i][0] in HOLDS:
-                    break
-        name = tag
-        for key in ("class", "id", "role"):
-            if value := names.get(key):
-                name += f"[{key}={value.strip().lower().replace('/', '_')}]"
-        above = self.open[-1][1] if self.open else ""
-        path = f"{above}/{name}"
-        self.looks[above].append(name)
+            self.end_nearest(ENDED_BY[tag], HOLD)
+        given = dict(attrs)
+        named = {k: (given.get(k) or "").strip().lower() for k in ("class", "id", "role")}
+        name = tag + "".join(f"[{k}={v}]" for k, v in named.items() if v)
+        at = self.node()
+        says = self.meaning(tag, [*named["class"].split(), named["id"]], named["role"])
+        self.looks[at].append(name)
+        if says != self.says[at] or (tag in BLOCK and tag not in VOID and (tag in HOLDERS or name != tag)):
+            self.keys.append(digest(self.keys[at], name))
+            self.above.append(at)
+            self.says.append(says)
+            self.looks.append([])
+            at = len(self.keys) - 1
         if tag in BLOCK:
-            self.pieces.append((path, None))
-        if tag in ("br", "hr"):
-            self.pieces.append((above, " "))
+            self.pieces.append((at, None))
+        elif tag == "br":
+            self.pieces.append((at, " "))
         if tag not in VOID:
-            self.open.append((tag, path))
+            self.places.setdefault(tag, []).append(len(self.open))
+            self.open.append((tag, at))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def end_within(self, tag: str, holders: str):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-            if self.open[i][0] in holders.split():
-                return
-
     def handle_endtag(self, tag):
         if tag in BLOCK:
-            self.pieces.append((self.open[-1][1] if self.open else "", None))
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
+            self.pieces.append((self.node(), None))
+        self.end_nearest((tag,), ())
 
     def handle_data(self, data):
-        self.pieces.append((self.open[-1][1] if self.open else "", data))
-
-
-def parsed(html: str | None) -> Page:
-    page = Page()
-    page.feed(html or "")
-    page.close()
-    return page
-
+        self.pieces.append((self.node(), data))
 
-def meaning(path: str, known: dict[str, int | None]) -> int | None:
-    """0 or 1 where HTML itself gives the importance of a node, None where it does not; remembered in `known`."""
-    if path in known:
-        return known[path]
-    above, _, name = path.rpartition("/")
-    of_above = meaning(above, known) if above else None
-    tag, *rest = re.split(r"\[(?:class|id|role)=", name.replace("]", ""))
-    if of_above == 0 or tag in DROPPED or (tag == "header" and of_above != 1) or any(r in DROPPED_ROLES or DROPPED_NAMES.search(r) for r in rest):
-        out = 0
-    elif of_above == 1 or tag in ("article", "main"):
-        out = 1
-    else:
-        out = None
-    known[path] = out
-    return out
-
-
-def digest(text: str) -> int:
-    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    def own_texts(self) -> dict[int, str]:
+        """The text of each node that has any, without that of the nodes in it."""
+        own: dict[int, list[str]] = {}
+        for node, data in self.pieces:
+            if data and not data.isspace():
+                own.setdefault(node, []).append(" ".join(data.split()))
+        return {node: "\n".join(texts) for node, texts in own.items()}
+
+    def text(self, low: set, meanings: bool = True) -> str:
+        """The blocks outside the branches that have low nodes only, and outside what HTML says goes."""
+        n = len(self.keys)
+        all_low = [key in low for key in self.keys]
+        all_low[0] = False
+        for i in range(n - 1, 0, -1):
+            if not all_low[i]:
+                all_low[self.above[i]] = False
+        gone = [False] * n
+        for i in range(1, n):
+            gone[i] = all_low[i] or self.says[i] == EMPTY or (meanings and self.says[i] in (GOES, FORM))
+            gone[i] |= gone[self.above[i]] and not (meanings and self.says[i] == INSIDE)
+        blocks, now = [], []
+        for node, data in [*self.pieces, (0, None)]:
+            if data is None:
+                if text := " ".join("".join(now).split()):
+                    blocks.append(text)
+                now = []
+            elif not gone[node]:
+                now.append(data)
+        return "\n\n".join(blocks)
 
 
 def nodes(htmls: list) -> dict:
-    """Of each page its nodes: path, a digest of the children's run of tags, a digest of the node's own text."""
+    """Of each page its nodes, those of one key merged: key, digests of the run of children and of the own text, whether it is inside an article."""
     out = []
     for html in htmls:
-        page = parsed(html)
-        own: dict[str, list[str]] = defaultdict(list)
-        for path, data in page.pieces:
-            if data and not data.isspace():
-                own[path].append(" ".join(data.split()))
-        found = []
-        for path in {*page.looks, *own}:
-            run = page.looks.get(path, [])
-            look = " ".join(x for i, x in enumerate(run) if not i or run[i - 1] != x)
-            found.append({"path": path, "look": digest(look), "content": digest("\n".join(own[path])) if path in own else None})
-        out.append(found)
-    kind = pa.list_(pa.struct([("path", pa.string()), ("look", pa.int64()), ("content", pa.int64())]))
+        page = Page(html)
+        own = page.own_texts()
+        merged: dict[int, tuple[list, list, bool]] = {}
+        for i in range(1, len(page.keys)):
+            if page.says[i] != EMPTY:
+                inside = page.says[i] == INSIDE
+                run, texts, _ = merged.setdefault(page.keys[i], ([], [], inside))
+                run += [x for j, x in enumerate(page.looks[i]) if not j or page.looks[i][j - 1] != x]
+                if i in own:
+                    texts.append(ALIKE.sub("#", own[i]))
+        out.append([{"key": k, "look": digest(*run), "content": digest(*texts) if texts else None, "inside": inside} for k, (run, texts, inside) in merged.items()])
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("look", pa.int64()), ("content", pa.int64()), ("inside", pa.bool_())]))
     return {"nodes": pa.array(out, kind)}
 
 
-def main_text(html: str | None, removed: list | None, known: dict) -> str:
-    """The blocks of a page outside the removed branches and those of importance 0."""
-    removed = set(removed or [])
-    kept: dict[str, bool] = {"": True}
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """(site, page, key, look, content, inside) of every node of every distinct page of a host and of its domain. pages: host, page, html."""
+    made = over_texts(pages.select("host", "page", "html"), "html", nodes, "nodes array<struct<key:long,look:long,content:long,inside:boolean>>")
+    sites = F.array_distinct(F.array("host", F.substring_index("host", ".", -2)))
+    return made.select("page", F.explode(sites).alias("site"), "nodes").select("site", "page", F.explode("nodes").alias("n")).select("site", "page", "n.*").distinct()
 
-    def keeps(path: str) -> bool:
-        if path not in kept:
-            kept[path] = meaning(path, known) != 0 and path not in removed and keeps(path.rpartition("/")[0])
-        return kept[path]
 
-    blocks, now = [], []
-    for path, data in [*parsed(html).pieces, ("", None)]:
-        if data is None:
-            if text := " ".join("".join(now).split()):
-                blocks.append(text)
-            now = []
-        elif keeps(path):
-            now.append(data)
-    return "\n\n".join(blocks)
-
-
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of each node of each host's style tree. pages: host, html."""
-    made = over_texts(pages.select("host", "html"), "html", nodes, "nodes array<struct<path:string,look:long,content:long>>")
-    found = made.select("host", F.explode("nodes").alias("n")).select("host", "n.*")
+def style_tree(found: DataFrame) -> DataFrame:
+    """(site, key, inside, pages, importance) of each node of each site's style tree. found: a table of page_nodes()."""
     m = F.log(F.col("pages").cast("double"))
-    looks = found.groupBy("host", "path", "look").agg(F.count("*").alias("c")).groupBy("host", "path")
-    looks = looks.agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("s"))
+    looks = found.groupBy("site", "key", "look").agg(F.count("*").alias("c"), F.max("inside").alias("inside")).groupBy("site", "key")
+    looks = looks.agg(F.sum("c").alias("pages"), F.max("inside").alias("inside"), F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("s"))
     # -sum c/m log(c/m) = log m - sum c log c / m
-    looks = looks.select("host", "path", "pages", F.when(F.col("pages") > 1, 1 - F.col("s") / F.col("pages") / m).otherwise(1.0).alias("presentation"))
-    texts = found.where("content is not null").groupBy("host", "path", "content").agg(F.count("*").alias("c"))
-    texts = texts.groupBy("host", "path").agg(F.avg(F.log(F.col("c").cast("double"))).alias("shared"))
-    both = looks.join(texts, ["host", "path"], "left")
+    presentation = F.when(F.col("pages") > 1, 1 - F.col("s") / F.col("pages") / m).otherwise(1.0)
+    texts = found.where("content is not null").groupBy("site", "key", "content").agg(F.count("*").alias("c"))
+    texts = texts.groupBy("site", "key").agg(F.avg(F.log(F.col("c").cast("double"))).alias("shared"))
     content = F.when(F.col("shared").isNull(), 0.0).when(F.col("pages") > 1, 1 - F.col("shared") / m).otherwise(1.0)
-    return both.select("host", "path", "pages", (1 - (1 - F.col("presentation")) * (1 - content)).alias("importance"))
-
-
-def removed_branches(tree: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, removed): the branches of low importance of each host whose root HTML gives no meaning to."""
+    both = looks.join(texts, ["site", "key"], "left")
+    return both.select("site", "key", "inside", "pages", (1 - (1 - presentation) * (1 - content)).alias("importance"))
 
-    def open_only(batches):
-        known: dict = {}
-        for b in batches:
-            path = b.column("path").to_pylist()
-            yield b.filter(pa.array([bool(p) and p.count("/") > 2 and meaning(p, known) is None for p in path], pa.bool_()))
 
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    # the importance of a branch is the largest of its nodes'
-    branches = tree.select("host", F.explode(above).alias("path"), "importance", F.col("path").alias("node"), "pages").groupBy("host", "path")
-    branches = branches.agg(F.max("importance").alias("importance"), F.max(F.when(F.col("path") == F.col("node"), F.col("pages"))).alias("pages"))
-    few = branches.where((F.col("importance") < low) & (F.col("pages") >= least_pages)).select("host", "path")
-    return few.mapInArrow(open_only, "host string, path string").groupBy("host").agg(F.collect_set("path").alias("removed"))
+def low_nodes(tree: DataFrame, meanings: bool = True) -> DataFrame:
+    """(site, key) of the nodes whose importance is low, as far as the pages seen can tell."""
+    inside = F.col("inside") if meanings else F.lit(False)
+    prior = F.when(inside, PRIOR_INSIDE).otherwise(PRIOR)
+    drawn = ((F.col("pages") - 1) * F.col("importance") + prior) / (F.col("pages") - 1 + prior)
+    return tree.where(drawn < F.when(inside, LOW_INSIDE).otherwise(LOW)).select("site", "key")
 
 
 def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"://([^/?#]*)", 1), F.lit("")))
 
 
-def extracted(pages: DataFrame) -> DataFrame:
+def extracted(pages: DataFrame, meanings: bool = True) -> DataFrame:
     """`pages` without html and with text, the main text, and n_chars, its code points.
 
-    pages: url, html and any other columns; those of the names made are replaced. A null or empty html gives an empty text. A null url is of the
-    empty host. Rows that repeat count as pages of their own and give the same text. An empty table stays empty.
+    pages: url, html and any other columns; those of the names made are replaced. A null or empty html gives an empty text.
+    A null url is of the empty host. Pages are taken whole, however long or deep. Equal pages of a host count as one for its
+    tree, and give the same text. An empty table stays empty. With meanings=False only the tree decides, but for what never
+    is text.
     """
     pages, rest = apart(pages, "url", "html")
-    hosted = pages.withColumn("host", host_of(F.col("url")))
-    # hosts with something to remove: Spark broadcasts them while they are few, else the join splits hot hosts
-    removed = written(removed_branches(style_tree(hosted)))
+    hosted = pages.withColumn("host", host_of(F.col("url"))).withColumn("page", F.xxhash64("host", "html"))
+    found = written(page_nodes(hosted))
+    low = written(low_nodes(style_tree(found), meanings))
+    # a page's own low nodes: no more than it has
+    low = found.select("site", "page", "key").join(low, ["site", "key"]).select("page", "key").groupBy("page").agg(F.collect_set("key").alias("low"))
     kept = ["url", "carried"]
-    joined = hosted.join(removed, "host", "left").select(*kept, "removed", "html")
+    joined = hosted.join(low, "page", "left").select(*kept, "low", "html")
 
     def run(batches):
-        known: dict = {}
         for batch in batches:
-            if len(known) > 100_000:
-                known.clear()
-            pairs = zip(batch.column("html"), batch.column("removed"), strict=True)
-            text = [main_text(h.as_py(), r.as_py(), known) for h, r in pairs]
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in kept} | {"text": pa.array(text, pa.string())})
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                pairs = zip(part.column("html"), part.column("low"), strict=True)
+                text = [Page(html.as_py()).text(set(low.as_py() or ()), meanings) for html, low in pairs]
+                yield pa.RecordBatch.from_pydict({c: part.column(c) for c in kept} | {"text": pa.array(text, pa.string())})
 
     made = joined.mapInArrow(run, with_fields(joined, kept, "text string")).withColumn("n_chars", F.length("text").cast("long"))
     return together(made, rest, "url", "text", "n_chars")

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,10 +73,9 @@ def over_texts(df: DataFrame, text: str, fn: Callable[[list], dict], schema: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            for lo, hi in chunks(texts, limit):
-                part = {c: batch.column(c).slice(lo, hi - lo) for c in kept} | fn(texts[lo:hi])
-                yield pa.RecordBatch.from_pydict(part)
+            for lo, hi in chunks(pc.binary_length(batch.column(text)).to_pylist(), limit):
+                texts = batch.column(text).slice(lo, hi - lo).to_pylist()
+                yield pa.RecordBatch.from_pydict({c: batch.column(c).slice(lo, hi - lo) for c in kept} | fn(texts))
 
     return df.select(*kept, text).mapInArrow(run, with_fields(df, kept, schema))
 

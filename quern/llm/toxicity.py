@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,11 +59,11 @@ def counts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_texts, label = batch.column("text").to_pylist(), batch.column("label").to_numpy()
+            all_texts, label = batch.column("text"), batch.column("label").to_numpy()
             is_late = batch.column("late").to_numpy(zero_copy_only=False).astype(np.uint64)
             keys, ones, zeros = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for lo, hi in chunks(all_texts):
-                gram, owner = grams(all_texts[lo:hi])
+            for lo, hi in chunks(pc.binary_length(all_texts).to_pylist()):
+                gram, owner = grams(all_texts[lo:hi].to_pylist())
                 is_one = label[lo:hi][owner] == 1
                 gram = gram | is_late[lo:hi][owner] << np.uint64(8 * ORDER)  # above the n-gram's own bits
                 merged, at = np.unique(np.concatenate((keys, gram)), return_inverse=True)

@@ -25,10 +25,54 @@ def test_article(spark):
 
 def test_low_branches_go(spark):
     """Without an article element, what all pages of a host show alike goes and what differs stays."""
-    some = [f"<body><div><div class=top>Welcome to our site</div><div class=box><p>story {i} of {i * 7}</p>{'<p>more</p>' * (i % 3)}</div></div></body>" for i in range(12)]
+    some = [f"<body><div><div class=top>Welcome to our site</div><div class=box><h2>Summary</h2><p>story {chr(97 + i)} of it</p>{'<p>more</p>' * (i % 3)}</div></div></body>" for i in range(12)]
     found = text_of(spark, *some)
-    assert all("Welcome" not in t for t in found) and all(f"story {i} of {i * 7}" in t for i, t in enumerate(found))
+    assert all(t.startswith(f"Summary\n\nstory {chr(97 + i)} of it") for i, t in enumerate(found))
     assert text_of(spark, some[0])[0].startswith("Welcome")  # one page shows nothing about its host
+    assert text_of(spark, *[some[0]] * 50)[0].startswith("Welcome")  # nor do equal ones
+
+
+def test_tree_removes_what_no_list_names(spark):
+    """Boxes of unknown names: those alike on most pages go, in an article too; one that differs stays, whatever it is called."""
+    page = "<div class=zq>Same on <b>all</b> pages 12</div><article><p>own {0} text</p><div class=share-price>price of {0}</div><div class=qz><h3>Who we are</h3><p>The same lines</p></div></article><div class=kl>note on {0}</div>"
+    names = [f"{a}{b}" for a in "abcdefg" for b in "abcdefg"]
+    found = text_of(spark, *[page.format(n) for n in names])
+    assert found == [f"own {n} text\n\nprice of {n}\n\nnote on {n}" for n in names]
+
+
+def test_tree_of_the_domain(spark):
+    """Hosts with one page each share a template."""
+    rows = [(f"http://h{i}.site.org/", f"<div class=zq>One template for all of them</div><div class=x>story {chr(97 + i)}</div>") for i in range(20)]
+    found = [r.text for r in htmltext.extracted(pages(spark, rows)).orderBy("page_id").collect()]
+    assert found == [f"story {chr(97 + i)}" for i in range(20)]
+
+
+def test_tree_alone(spark):
+    """With the lists off, the tree alone finds the article on most pages."""
+    made = htmltext.extracted(table(spark, "/root/testdata/sf0.1", "pages"), meanings=False).select("page_id", "text")
+    whole = htmltext.op5_html_text(spark, "/root/testdata/sf0.1").select("page_id", F.col("text").alias("want"))
+    assert made.join(whole, "page_id").agg(F.avg((F.col("text") == F.col("want")).cast("int"))).first()[0] > 0.9
+
+
+def test_names_inside_an_article(spark):
+    """Only whole names decide: parts of names lose nothing, and an unclosed button ends at the next block."""
+    page = "<article><p class=share-price>one</p><div class='notice-board'>two</div><section id=related-work>three</section><button>press<p>four</p><div class='x comments'>five</div><form>six</form></article><form><article>seven</article></form>"
+    assert text_of(spark, page) == ["one\n\ntwo\n\nthree\n\nfour\n\nseven"]
+
+
+def test_omitted_tags():
+    wrapped, bare = htmltext.Page("<html><head><title>T</title></head><body><div class=a>x</div></body></html>"), htmltext.Page("<title>T</title><div class=a>x</div>")
+    assert wrapped.keys[-1] == bare.keys[-1] and htmltext.Page("<head><title>T</title><p>x").text(set()) == bare.text(set()) == "x"
+
+
+def test_deep_pages():
+    """Many nested elements, open tags that never end and end tags that never began: time and memory in proportion."""
+    import time
+
+    began = time.time()
+    for html in ("<div>" * 20_000 + "deep", "<b>" * 20_000 + "<hr>" * 20_000 + "deep", "<p><button>" + "<b>" * 20_000 + "</i><hr>" * 20_000 + "deep", "<div class=a><p>" * 20_000 + "deep" + "</div>" * 20_000):
+        assert htmltext.Page(html).text(set()) == "deep" and len(htmltext.nodes([html])["nodes"]) == 1
+    assert time.time() - began < 20
 
 
 def test_whole_table(spark):
@@ -41,7 +85,7 @@ def test_whole_table(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(None, None), ("http://h/1", ""), ("x", "plain < text & more"), ("http://h/2", "<p>" * 3000 + "deep"), ("http://h/2", "<p>" * 3000 + "deep"), ("http://h/3", "<article>" + "word " * 200_000)]
+    rows = [(None, None), ("http://h/1", ""), ("x", "plain < text & more"), ("http://h/2", "<div>" * 3000 + "deep"), ("http://h/2", "<div>" * 3000 + "deep"), ("http://h/3", "<article>" + "word " * 200_000)]
     frame = pages(spark, rows).withColumn("host", F.lit(1)).withColumn("removed", F.lit(2)).withColumn("text", F.lit(3))
     found = {r.page_id: r for r in htmltext.extracted(frame).collect()}
     assert (found[0].text, found[1].text, found[3].text, found[5].n_chars) == ("", "", "deep", 999_999) and found[2].text == "plain < text & more"

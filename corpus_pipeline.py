@@ -14,35 +14,62 @@ from quern.llm.shared import ready, written
 from quern.sources.tables import table
 
 
+HAS_WORDS = r"[^\x20\x09-\x0D]"
+
+
 def whole(docs: DataFrame, *needed: str) -> DataFrame:
     """The needed columns of `docs`, and the struct `whole` of all."""
     return docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; null and empty texts are judged like others, rows that repeat alike.
+
+    Texts are judged whole, however long. An empty table stays empty; with no labels nothing goes.
+    """
     scored = quality.quality_scores(whole(docs, "doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.where(F.col("score") >= quality.THRESHOLD).select("whole.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go, from all documents but the first; documents that this leaves without text go too."""
+    """Lines of recurring templates go, from all documents but the first; documents that this leaves without text go too.
+
+    Null and empty texts stay as they are, texts are taken whole, rows that repeat (id and text) are treated alike, of one
+    id the smaller hash of a text comes first. An empty table stays empty.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     found = linededup.line_dedup(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("others")))
-    found = found.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    found = found.where((F.col("n_dropped") == 0) | F.col("text").rlike(HAS_WORDS))
     made = {c: F.col(f"others.`{c}`") for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
     made["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("others.n_chars"))
     return found.select(*[made[c].alias(c) for c in docs.columns])
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class of near duplicates stays."""
-    gone = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    """Of each class of near duplicates one row stays, of the smallest id; null ids come behind all others.
+
+    Documents without words are like nothing and stay. Rows that share an id are one document; of those with words that
+    are kept, the one of the smallest hash stays. An empty table stays empty.
+    """
+    null_id = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)  # the same for rows of one text
+    rows = whole(docs, "doc_id", "text").withColumn("who", F.coalesce(F.col("doc_id"), null_id)).drop("doc_id")
+    found = written(neardup.near_duplicates(rows.select(F.col("who").alias("doc_id"), "text")).select("doc_id", "n_shingles", "kept"))
+    gone = found.where("not kept").select(F.col("doc_id").alias("who")).distinct()
+    left = rows.join(gone, "who", "left_anti")
+    again = found.where("kept and n_shingles > 0").groupBy(F.col("doc_id").alias("who")).agg(F.count("*").alias("n")).where("n > 1").select("who", F.lit(True).alias("again"))
+    if not again.isEmpty():
+        again = written(again)
+        marked = left.join(again, "who", "left").withColumn("again", F.col("again").isNotNull() & F.col("text").rlike(HAS_WORDS))
+        one = marked.where("again").groupBy("who").agg(F.min_by("whole", F.xxhash64("text", "whole")).alias("whole"))
+        left = marked.where("not again").select("whole").union(one.select("whole"))
+    return left.select("whole.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go; null and empty texts have no words and stay, rows that repeat are judged alike.
+
+    Texts are searched whole, however long. An empty table stays empty, an empty benchmark contaminates nothing.
+    """
     found = decontaminate.contamination(whole(docs, "text"), table(spark, sf_dir, "benchmark"))
     return found.where(~decontaminate.is_contaminated()).select("whole.*")
 

@@ -8,8 +8,9 @@ with K = 5 and M = 36 a pair of similarity 0.75 is missed with a chance of 1.2e-
 A pair is in one of the M * M tables if and only if it shares a key of U and a key of V, so tables are not written out:
 candidates come from buckets of U and must share a key of V. No bucket is expanded into all of its pairs. Equal sets are
 one node from the start. In a bucket of U, members are first compared with the smallest one only; a bucket whose members
-these links join into one class needs nothing more. In the others, members of different classes are paired only if their
-sizes and a bound from the parities of their shingles' hashes allow a link. Every candidate is confirmed on full sets.
+these links join into one class needs nothing more. The others are split by the keys of V into their tables, and in a table
+members of different classes are paired only if their sizes and a bound from the parities of their shingles' hashes allow a
+link. Every candidate is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -88,15 +89,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. sets: id, found."""
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("found").alias("found_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("found").alias("found_b")), "b")
 
+    def similar(x: pa.Scalar, y: pa.Scalar) -> bool:
+        x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))  # views of the batch
+        at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+        both = int((x[at] == y).sum())
+        return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
     def run(batches):
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("found_a").to_pylist(), batch.column("found_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = int((x[at] == y).sum())
-                good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            kept = pa.array(good, pa.bool_())
+            kept = pa.array([similar(x, y) for x, y in zip(batch.column("found_a"), batch.column("found_b"), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_pydict({"a": batch.column("a").filter(kept), "b": batch.column("b").filter(kept)})
 
     return joined.select("a", "b", "found_a", "found_b").mapInArrow(run, "a long, b long")
@@ -135,18 +136,19 @@ def full_set(texts: list) -> dict:
 
 
 def open_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of different classes that share a bucket of U and are not excluded by their sizes and parities.
+    """The pairs (a, b) of different classes that share a table (U_i, V_j) and are not excluded by their sizes and parities.
 
     Sets that differ in d parities differ in d shingles or more, so |union| - |intersection| >= d. The join makes no row
-    for a pair whose similarity this bound puts below the threshold. members: id, class, u.
+    for a pair whose similarity this bound puts below the threshold. members: id, class, u, v.
     """
     rows = members.join(sets.drop("found"), "id")
-    other = rows.select("u", *[F.col(c).alias(f"{c}_b") for c in rows.columns if c != "u"])
+    other = rows.select("u", "v", *[F.col(c).alias(f"{c}_b") for c in rows.columns if c not in "uv"])
     apart = sum(F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITIES // 64))
     # |union| = (|a| + |b| + apart) / 2 and |intersection| = (|a| + |b| - apart) / 2 at best
     both = F.col("size") + F.col("size_b")
     fits = 100 * (both - apart) >= PERCENT * (both + apart)
-    return rows.join(other, "u").where((F.col("id") < F.col("id_b")) & (F.col("class") != F.col("class_b")) & fits).select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+    pairs = rows.join(other, ["u", "v"]).where((F.col("id") < F.col("id_b")) & (F.col("class") != F.col("class_b")) & fits)
+    return pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def classed(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -166,8 +168,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of `docs`, which has doc_id and text.
 
     A document without words, or with a null text, is linked with nothing. A row with a null id takes no part: its
-    component is null and it is kept. Rows that repeat, or share an id, are one document, linked with whatever either
-    text is linked with, and are returned as often as they occur. An empty table stays empty.
+    component is null and it is kept. Rows that repeat, or share an id, are one document, linked with whatever any of its
+    texts is linked with, and are returned as often as they occur. Texts are taken whole, however long; of equal documents
+    the smallest id stands for all. Other columns are not carried. An empty table stays empty.
     """
     texts = docs.select("doc_id", "text")
     sketches = written(over_texts(texts, "text", sketch, "n_shingles long, digest binary, u array<long>, v array<long>"))
@@ -183,12 +186,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = over_texts(wanted.withColumnRenamed("doc_id", "id"), "text", full_set, f"found binary, size long, {parities}")
     sets = written(sets.where("size > 0").dropDuplicates(["id", "found"]))
 
-    stars = in_u.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b"))
-    links = written(confirmed(meeting(stars, colliding), sets))
-    open_u = written(shared_keys(classed(in_u.select("id", "u"), components(links)), ["u"], "class").select("id", "class", "u"))
-    rest = confirmed(meeting(open_pairs(open_u, sets), colliding), sets)
+    # an id with several texts links the nodes of all of them
+    several = sketches.where("digest is not null and doc_id is not null").select("doc_id", F.xxhash64("digest").alias("h"))
+    several = several.groupBy("doc_id").agg(F.min("h").alias("one"), F.max("h").alias("other")).where("one != other")
+    own = sketches.join(several.select("doc_id"), "doc_id", "left_semi").join(same, "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
 
-    classes = components(links.union(rest))
+    stars = in_u.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    links = written(confirmed(meeting(stars, colliding), sets).union(own))
+    classes = components(links)
+    open_u = written(shared_keys(classed(in_u.select("id", "u"), classes), ["u"], "class").select("id", "class", "u"))
+    tables = open_u.join(colliding.select("id", F.explode("v").alias("v")), "id")
+    open_uv = shared_keys(tables, ["u", "v"], "class").select("id", "class", "u", "v")
+    rest = confirmed(open_pairs(open_uv, sets), sets)
+    # classes are links already, of each member with its smallest
+    classes = components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).union(rest))
     of_set = same.join(classes, "id", "left").where("n > 1 or component is not null").select("digest", F.coalesce("component", "id").alias("component_id"))
     found = sketches.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))

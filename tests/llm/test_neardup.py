@@ -53,11 +53,19 @@ def test_bound_loses_no_link(spark):
     rows = made(5, families=8, size=4)
     sets = {i: set(neardup.shingle_sets([t])[0].tolist()) for i, t in rows}
     frame = over_texts(spark.createDataFrame(rows, "id long, text string"), "text", neardup.full_set, "found binary, size long, " + ", ".join(f"p{i} long" for i in range(16)))
-    found = {tuple(r) for r in neardup.open_pairs(frame.selectExpr("id", "id as class", "0L as u"), frame).collect()}
+    found = {tuple(r) for r in neardup.open_pairs(frame.selectExpr("id", "id as class", "0L as u", "0L as v"), frame).collect()}
     links = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
     assert links <= found and len(found) < len(links) + 20
 
 
+def test_ids_with_several_texts(spark):
+    """An id's texts are one document: through it, what is near the one is linked with what is near the other."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(3, a), (5, a), (5, b), (9, b + " more"), (11, b), (20, "else"), (20, "other")]
+    found = cases.sorted_rows(neardup.near_duplicates(cases.docs(spark, rows)).select("doc_id", "component_id"))
+    assert found == sorted([(3, 3), (5, 3), (5, 3), (9, 3), (11, 3), (20, 20), (20, 20)], key=lambda r: str(r[0]))
+
+
 def test_chain_is_one_class(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (102, 101)], "a long, b long")
     found = dict(map(tuple, neardup.components(links).collect()))

@@ -67,4 +67,23 @@ def test_odd_rows(spark, name, stage):
     assert out.count() <= odd.count() * 3
     assert stage(spark, odd.limit(0), cases.SF).count() == 0
     if name == "MinHash near-dedup":
-        assert ids(out.where("doc_id is not null")) == [1, 2, 3, 4, 5, 5, 7, 8]
+        assert ids(out.where("doc_id is not null")) == [1, 2, 3, 4, 5, 7, 8] and out.where("doc_id is null").count() == 1
+
+
+def test_near_duplicates_by_row(spark):
+    """One row of each class stays: of repeated rows, of null ids, of an id with several texts."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (9, b + " more"), (None, a), (None, c), (None, c), (30, ""), (30, ""), (None, None), (7, "alone here"), (7, "alone here")]
+    out = p.near_duplicates_stage(spark, cases.docs(spark, rows), cases.SF)
+    assert cases.sorted_rows(out.select("doc_id", "text")) == cases.sorted_rows(cases.docs(spark, [rows[i] for i in (0, 5, 7, 8, 9, 10)]).select("doc_id", "text"))
+
+
+def test_large_groups(spark):
+    """A third of all documents are copies, another third share a line: one of the copies stays, and the line once."""
+    rows = [(i, " ".join(f"copy{j}" for j in range(30))) for i in range(1, 401)]
+    rows += [(400 + i, f"a line that many documents share word for word\n{' '.join(f'own{i}x{j}' for j in range(20))}") for i in range(1, 401)]
+    rows += [(800 + i, " ".join(f"other{i}y{j}" for j in range(20))) for i in range(1, 401)]
+    docs = cases.docs(spark, rows)
+    assert ids(p.near_duplicates_stage(spark, docs, cases.SF)) == [1, *range(401, 1201)]
+    lines = p.line_dedup_stage(spark, docs, cases.SF)
+    assert ids(lines.where("doc_id <= 400")) == [1] and ids(lines.where(F.col("text").contains("many documents"))) == [401]

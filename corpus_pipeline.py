@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, linededup, mixing, neardup, quality
-from quern.llm.shared import ready, written
+from quern.llm.shared import ready, removed, written
 from quern.sources.tables import table
 
 
@@ -100,7 +100,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = written(docs)
+            if name != STAGES[0][0]:
+                removed(before)
     return docs

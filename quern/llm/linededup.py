@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import apart, together, written
+from quern.llm.shared import apart, removed, together, written
 from quern.sources.tables import table
 
 #: A template recurs if so many documents have it: one of over LONG words, of fewer than SHORT ones, any other.
@@ -51,7 +51,10 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def generalised(found: DataFrame) -> DataFrame:
-    """(key, general) of the lines that share words with others of their leaf; general stands for the template. found: a written table of lines()."""
+    """(key, general) of the lines that share words with others of their leaf, as a written table; general stands for the template.
+
+    found: a written table of lines().
+    """
     place = F.xxhash64("row", "pos").alias("at")
     # one occurrence of each distinct line, of leaves that have several; numbers only
     distinct = written(found.where(f"n >= {LEAST}").select("leaf", "key", place).groupBy("leaf", "key").agg(F.min("at").alias("at")))
@@ -68,7 +71,9 @@ def generalised(found: DataFrame) -> DataFrame:
     bar = F.sort_array(F.transform("w", lambda w: w["support"]), asc=False)[F.col("enough") - 1]
     constant = F.transform(F.filter("w", lambda w: w["support"] >= F.col("bar")), lambda w: F.struct(w["place"], w["word"]))
     supported = supported.select("leaf", "key", "w", bar.alias("bar"), is_main.alias("is_main"))
-    return supported.select("key", F.when(F.col("is_main"), F.xxhash64("leaf")).otherwise(F.xxhash64("leaf", constant)).alias("general"))
+    general = written(supported.select("key", F.when(F.col("is_main"), F.xxhash64("leaf")).otherwise(F.xxhash64("leaf", constant)).alias("general")))
+    removed(distinct, several, words, support)
+    return general
 
 
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_docs_short: int = MIN_DOCS_SHORT, min_docs_long: int = MIN_DOCS_LONG) -> DataFrame:
@@ -81,8 +86,10 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_docs_short: int =
     """
     docs, rest = apart(docs, "doc_id", "text")
     found = written(lines(docs))
-    placed = found.select("doc_id", "row", "pos", "n", "key").join(generalised(found), "key", "left")
+    general = generalised(found)
+    placed = found.select("doc_id", "row", "pos", "n", "key").join(general, "key", "left")
     placed = written(placed.select("doc_id", "row", "pos", "n", F.coalesce("general", "key").alias("template")))
+    removed(found, general)
     by_doc = placed.groupBy("template", "n", "doc_id", "row").agg(F.lit(1).alias("one"))
     often = by_doc.groupBy("template", "n").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "row")).alias("first"))
     enough = F.when(F.col("n") < SHORT, min_docs_short).when(F.col("n") > LONG, min_docs_long).otherwise(min_docs)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bytesweep import NOT_SPACE, Sweep, mix, runs
-from quern.llm.shared import over_texts, written
+from quern.llm.shared import over_texts, removed, written
 from quern.sources.tables import table
 
 SHINGLE = 5
@@ -117,7 +117,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = written(small.where("a != b").distinct())
+        old, edges = edges, written(small.where("a != b").distinct())
+        removed(old)
 
 
 def shared_keys(keys: DataFrame, by: list[str], of: str = "id") -> DataFrame:
@@ -200,6 +201,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = confirmed(open_pairs(open_uv, sets), sets)
     # classes are links already, of each member with its smallest
     classes = components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).union(rest))
+    removed(in_u, colliding, sets, links, open_u)
     of_set = same.join(classes, "id", "left").where("n > 1 or component is not null").select("digest", F.coalesce("component", "id").alias("component_id"))
     found = sketches.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))

@@ -47,15 +47,15 @@ def levels(host: Column) -> tuple[Column, Column]:
     return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
 
 
-def shrunk(counts: DataFrame, level: str, above: DataFrame | None, above_level: str | None) -> DataFrame:
+def shrunk(counts: DataFrame, level: str, above: DataFrame | float, above_level: str | None = None) -> DataFrame:
     """(level, mean, weight, strength): rate of bad pages of each group, drawn towards the level above; weight is the prior's and its own, strength the prior's.
 
-    counts: level, above_level, bad, n. above: above_level, mean. Groups i with n_i pages and rates r_i around m: the
-    variance between groups beyond binomial noise, v, gives the prior's weight m (1 - m) / v - 1.
+    counts: level, above_level, bad, n. above: above_level, mean; or one mean for all groups. Groups i with n_i pages and
+    rates r_i around m: the variance between groups beyond binomial noise, v, gives the prior's weight m (1 - m) / v - 1.
     """
     found = counts.groupBy(level, *([above_level] if above_level else [])).agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    if above is None:
-        found = found.withColumn("prior", F.lit(0.5))
+    if above_level is None:
+        found = found.withColumn("prior", F.lit(above))
     else:
         found = found.join(above.select(above_level, F.col("mean").alias("prior")), above_level)
     noise = F.col("prior") * (1 - F.col("prior"))
@@ -71,8 +71,7 @@ def shrunk(counts: DataFrame, level: str, above: DataFrame | None, above_level:
     v = (F.col("apart") - F.col("sampling")) / F.greatest(F.col("all_n") - F.col("groups"), F.lit(1))
     mean_noise = F.col("noise") / F.col("all_n")
     weight = F.when(v > 1e-9, F.least(F.greatest(mean_noise / v - 1, F.lit(LEAST_WEIGHT)), F.lit(MOST_WEIGHT))).otherwise(MOST_WEIGHT)
-    strength = F.lit(LEAST_WEIGHT) if above is None else F.coalesce(F.lit(between.select(weight.alias("w")).first().w), F.lit(MOST_WEIGHT))
-    found = found.withColumn("strength", strength)
+    found = found.withColumn("strength", F.lit(between.select(weight.alias("w")).first().w or MOST_WEIGHT))
     mean = (F.col("bad") + F.col("strength") * F.col("prior")) / (F.col("n") + F.col("strength"))
     return found.select(level, mean.alias("mean"), (F.col("n") + F.col("strength")).alias("weight"), "strength")
 
@@ -81,23 +80,25 @@ def reputation(hosts: DataFrame, pages: DataFrame) -> DataFrame:
     """(host, lower) of each host: the lower bound of the posterior chance that a page of it is bad. pages: host, bad, labelled rows only.
 
     A host without labelled pages has the posterior predictive of the nearest level that has some: that level's mean, with
-    the spread that the priors of all levels below it add. Without any labels there is no row.
+    the spread that the priors of all levels below it add. Without any labels the bound is null.
     """
     domain, suffix = levels(F.col("host"))
     counts = pages.groupBy("host").agg(F.sum("bad").alias("bad"), F.count("*").alias("n"))
-    counts = written(counts.withColumn("domain", domain).withColumn("suffix", suffix).withColumn("all", F.lit(0)))
-    everything = shrunk(counts, "all", None, None)
-    suffixes = shrunk(counts, "suffix", everything, "all")
-    domains = shrunk(counts, "domain", suffixes, "suffix")
-    known = [written(t) for t in (everything, suffixes, domains, shrunk(counts, "host", domains, "domain"))]
+    counts = written(counts.withColumn("domain", domain).withColumn("suffix", suffix))
+    total = counts.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
+    # the rate of all pages, with a prior of its own around one half; without labels there is none
+    rate = (total.bad + LEAST_WEIGHT * 0.5) / (total.n + LEAST_WEIGHT) if total.n else None
+    suffixes = written(shrunk(counts, "suffix", 0.5 if rate is None else rate))
+    domains = written(shrunk(counts, "domain", suffixes, "suffix"))
+    known = [suffixes, domains, written(shrunk(counts, "host", domains, "domain"))]
     # how much of a level's chance is certain, given the level above
-    firm = [s / (s + 1) for s in (t.select(F.max("strength")).first()[0] or MOST_WEIGHT for t in known)]
-    found = hosts.select("host").distinct().withColumn("domain", domain).withColumn("suffix", suffix).withColumn("all", F.lit(0))
-    for t, level in zip(known, ("all", "suffix", "domain", "host")):
-        found = found.join(t.select(level, F.col("mean").alias(f"mean_{level}"), F.col("weight").alias(f"weight_{level}")), level, "inner" if level == "all" else "left")
-    has = [F.col(f"mean_{level}").isNotNull() for level in ("host", "domain", "suffix")]
-    mean = F.coalesce("mean_host", "mean_domain", "mean_suffix", "mean_all")
-    share = F.when(has[0], 1 / (F.col("weight_host") + 1)).when(has[1], 1 - firm[3]).when(has[2], 1 - firm[3] * firm[2]).otherwise(1 - firm[3] * firm[2] * firm[1])
+    firm_suffix, firm_domain, firm_host = (s / (s + 1) for s in (t.select(F.max("strength")).first()[0] or MOST_WEIGHT for t in known))
+    found = hosts.select("host").distinct().withColumn("domain", domain).withColumn("suffix", suffix)
+    for t, level in zip(known, ("suffix", "domain", "host")):
+        found = found.join(t.select(level, F.col("mean").alias(f"mean_{level}"), F.col("weight").alias(f"weight_{level}")), level, "left")
+    mean = F.coalesce("mean_host", "mean_domain", "mean_suffix", F.lit(rate).cast("double"))
+    share = F.when(F.col("mean_host").isNotNull(), 1 / (F.col("weight_host") + 1)).when(F.col("mean_domain").isNotNull(), 1 - firm_host)
+    share = share.when(F.col("mean_suffix").isNotNull(), 1 - firm_host * firm_domain).otherwise(1 - firm_host * firm_domain * firm_suffix)
     return found.select("host", (mean - Z * F.sqrt(mean * (1 - mean) * share)).alias("lower"))
 
 
@@ -140,10 +141,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _level(name: str, above: str, key: str) -> str:
     return f"""
     {name}_c AS (SELECT h.{key}, any_value(a.mean) AS prior, sum(bad) AS bad, sum(n) AS n FROM hosts h JOIN {above} a ON a.k = h.{name}_of GROUP BY h.{key}),
-    {name}_w AS (SELECT (sum(n * pow(bad / n - prior, 2)) - sum(prior * (1 - prior))) / greatest(sum(n) - count(*), 1) AS v,
+    {name}_v AS (SELECT (sum(n * pow(bad / n - prior, 2)) - sum(prior * (1 - prior))) / greatest(sum(n) - count(*), 1) AS v,
         sum(n * prior * (1 - prior)) / sum(n) AS m FROM {name}_c),
-    {name} AS (SELECT {key} AS k, (bad + s * prior) / (n + s) AS mean, n + s AS weight FROM {name}_c,
-        (SELECT CASE WHEN v > 1e-9 THEN least(greatest(m / v - 1, 2.0), 1000.0) ELSE 1000.0 END AS s FROM {name}_w))"""
+    {name}_s AS (SELECT CASE WHEN v > 1e-9 THEN least(greatest(m / v - 1, {LEAST_WEIGHT}), {MOST_WEIGHT}) ELSE {MOST_WEIGHT} END AS s FROM {name}_v),
+    {name} AS (SELECT {key} AS k, (bad + s * prior) / (n + s) AS mean, n + s AS weight, s / (s + 1) AS firm FROM {name}_c, {name}_s)"""
 
 
 ORACLE_SQL = f"""
@@ -151,9 +152,9 @@ ORACLE_SQL = f"""
         SELECT page_id, regexp_extract(rest, '^([^/?#]*)', 1) AS host0, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
         FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)),
     q AS (SELECT page_id, translate(host0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM p),
-    known AS (
+    outcome AS (
         SELECT doc_id, CASE WHEN min(quality) = 0 OR max(toxic) = 1 THEN 1 ELSE 0 END AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-    o AS (SELECT host, bad FROM q JOIN known ON doc_id = try_cast(nullif(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1), '') AS BIGINT)),
+    o AS (SELECT host, bad FROM q JOIN outcome ON doc_id = try_cast(nullif(regexp_extract(path, '([0-9]{{1,18}})[^0-9]*$', 1), '') AS BIGINT)),
     hosts AS (
         SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
             sum(bad) AS bad, count(*) AS n, 0 AS sfx_of, string_split(host, '.')[-1] AS dom_of,
@@ -169,8 +170,15 @@ ORACLE_SQL = f"""
             WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
             WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
             WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
-        FROM q)
+        FROM q),
+    firm AS (SELECT (SELECT max(firm) FROM hst) AS h, (SELECT max(firm) FROM dom) AS d, (SELECT max(firm) FROM sfx) AS s),
+    known AS (
+        SELECT r.page_id, coalesce(hst.mean, dom.mean, sfx.mean, everything.mean) AS mean, CASE
+            WHEN hst.k IS NOT NULL THEN 1 / (hst.weight + 1) WHEN dom.k IS NOT NULL THEN 1 - firm.h
+            WHEN sfx.k IS NOT NULL THEN 1 - firm.h * firm.d ELSE 1 - firm.h * firm.d * firm.s END AS share
+        FROM ruled r LEFT JOIN hst ON hst.k = host LEFT JOIN dom ON dom.k = array_to_string(string_split(host, '.')[-2:], '.')
+        LEFT JOIN sfx ON sfx.k = string_split(host, '.')[-1] LEFT JOIN everything ON true CROSS JOIN firm)
     SELECT page_id, host, path, rule, CASE
         WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-        WHEN mean - {Z} * sqrt(mean * (1 - mean) / (weight + 1)) > {THRESHOLD} THEN 'block' ELSE 'allow' END AS verdict
-    FROM ruled LEFT JOIN hst ON hst.k = ruled.host"""
+        WHEN mean - {Z} * sqrt(mean * (1 - mean) * share) > {THRESHOLD} THEN 'block' ELSE 'allow' END AS verdict
+    FROM ruled JOIN known USING (page_id)"""

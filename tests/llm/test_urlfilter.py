@@ -45,3 +45,20 @@ def test_odd_rows(spark):
 
 def test_against_sql(spark):
     cases.against_sql(spark, urlfilter.op10_url_filter, urlfilter.ORACLE_SQL)
+
+
+def test_bounds_against_sql(spark):
+    """The bounds themselves, of hosts known and unknown, against the SQL's."""
+    import duckdb
+
+    urls = [f"http://h{i % 9}.d{i % 3}.x{i % 2}/{i}" for i in range(400)] + ["http://new.d0.x0/a", "http://a.new.x1/", "http://a.b.c/", "http://h1.d1.x1/b"]
+    labels = [(i, int((i * 7) % 9 < 4), int(i % 11 == 0)) for i in range(400)]
+    got = {i: r.lower for i, r in judged(spark, urls, labels).items()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
+    con.execute("CREATE TABLE labels (doc_id BIGINT, quality INTEGER, toxic INTEGER)")
+    con.executemany("INSERT INTO labels VALUES (?, ?, ?)", labels)
+    cut = urlfilter.ORACLE_SQL.index("    SELECT page_id, host, path, rule, CASE\n        WHEN rule IN")
+    want = con.execute(urlfilter.ORACLE_SQL[:cut] + f"SELECT page_id, mean - {urlfilter.Z} * sqrt(mean * (1 - mean) * share) FROM known").fetchall()
+    assert len(want) == len(got) and all(abs(got[i] - x) < 1e-9 for i, x in want)

@@ -1,10 +1,11 @@
 """Exact top-k search by inner product, block at a time.
 
-Rows are sorted into ranges of their ids and cut into blocks. A block keeps the largest and the smallest value of each
-dimension; for a query, the sum of the larger products is a bound on every score in the block. Each query takes its blocks
-by falling bounds and scores whole blocks through their forward index, the block's vectors, until the next bound falls
-below its k-th score. Queries go to the executors in chunks of bounded size; each chunk is one pass over all rows, in which
-every task gives its own k best of each query.
+Rows are sorted into ranges of their ids; a task takes its range HELD rows at a time and numbers them anew, so that rows
+with like vectors stand together: it halves them along their main direction until they are blocks. A block keeps the largest
+and the smallest value of each dimension; for a query, the sum of the larger products is a bound on every score in the block.
+Each query takes its blocks by falling bounds and scores whole blocks through their forward index, the block's vectors,
+until the next bound falls below its k-th score so far. Queries go to the executors in chunks of bounded size; each chunk is
+one pass over all rows, in which every task gives its own k best of each query.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.shared import written
+from quern.llm.shared import removed, written
 from quern.sources.tables import table
 
 BLOCK = 256
+#: Rows that a task orders at once.
+HELD = 16_384
 #: Queries sent to the executors at once, on average.
 QUERIES = 16_384
 SCALE = 256
@@ -44,33 +47,57 @@ def matrix(vectors: pa.Array, width: int = 0) -> np.ndarray:
     return out
 
 
+def like_together(rows: np.ndarray) -> np.ndarray:
+    """An order of the rows in which each BLOCK of them is the half of a half ... along the direction in which they differ most."""
+    parts, done = [np.arange(len(rows))], []
+    while parts:
+        part = parts.pop()
+        if len(part) <= BLOCK:
+            done.append(part)
+            continue
+        off = rows[part] - rows[part].mean(axis=0)
+        way = np.ones(rows.shape[1])
+        for _ in range(6):
+            way = off.T @ (off @ way)
+            way /= max(np.linalg.norm(way), 1e-300)
+        order = part[np.argsort(off @ way, kind="stable")]
+        half = BLOCK * -(-len(part) // (2 * BLOCK))
+        parts += [order[half:], order[:half]]
+    return np.concatenate(done) if done else np.zeros(0, np.int64)
+
+
 class Search:
-    """The k best rows so far of each query."""
+    """The k best rows so far of each query; seen and scored count blocks, once for each query."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
         self.scores = np.zeros((0,), np.int64)
         self.of, self.found = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.least = np.full(len(ids), np.iinfo(np.int64).min)
+        self.seen = self.scored = 0
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        """Search some rows, in blocks of consecutive ones."""
+        """Search some rows, in blocks."""
         width = max(vectors.shape[1], self.vectors.shape[1])
         rows, queries = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (vectors, self.vectors))
         largest = max(1, int(np.abs(rows).max(initial=0))) * max(1, int(np.abs(queries).max(initial=0))) * max(1, width)
         if largest < 1 << 53:  # products and sums are exact as doubles, which numpy multiplies faster
             rows, queries = rows.astype(np.float64), queries.astype(np.float64)
+        order = like_together(rows.astype(np.float64))
+        ids, rows = ids[order], rows[order]
         starts = np.arange(0, len(ids), BLOCK)
         top, bottom = np.maximum.reduceat(rows, starts, axis=0), np.minimum.reduceat(rows, starts, axis=0)
         bounds = (np.maximum(queries, 0) @ top.T + np.minimum(queries, 0) @ bottom.T).astype(np.int64)
         order = np.argsort(-bounds, axis=1, kind="stable")
         open_ = np.arange(len(queries))
+        self.seen += len(queries) * len(starts)
         for turn in range(len(starts)):
             block = order[open_, turn]
             going = bounds[open_, block] >= self.least[open_]  # an equal score may have a smaller id
             open_, block = open_[going], block[going]
             if not len(open_):
                 return
+            self.scored += len(open_)
             new = []
             for b in np.unique(block):
                 mine = open_[block == b]
@@ -97,13 +124,33 @@ class Search:
         self.of, self.scores, self.found = of[best], scores[best], found[best]
 
 
+def held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of about HELD rows at a time."""
+    ids, vectors, n = [], [], 0
+    for batch in batches:
+        ids.append(batch.column("vec_id").to_numpy())
+        vectors.append(matrix(batch.column("v")))
+        n += batch.num_rows
+        if n >= HELD:
+            yield joined(ids, vectors)
+            ids, vectors, n = [], [], 0
+    if n:
+        yield joined(ids, vectors)
+
+
+def joined(ids: list, vectors: list) -> tuple[np.ndarray, np.ndarray]:
+    width = max(v.shape[1] for v in vectors)
+    return np.concatenate(ids), np.concatenate([np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in vectors])
+
+
 def top_k(rows: DataFrame, is_query: str, k: int = 5, chunk: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query with all rows of other ids.
 
     rows: vec_id, v (array of long). is_query: SQL condition on vec_id. Ties go to smaller ids; a query has fewer rows if
     there are fewer other rows. Of vectors of unlike lengths the shorter ends in zeros. Rows that repeat an id are
     candidates each, but never of a query of their id; a query that repeats is answered once for each distinct vector's
-    first row. An empty table gives no rows. Scores are exact as long as they fit in 64 bits.
+    first row. Other columns of rows are not carried. An empty table gives no rows. Scores are exact as long as they fit in 64
+    bits.
     """
     rows = written(rows.repartitionByRange(F.col("vec_id"), F.xxhash64("v")).sortWithinPartitions("vec_id"))
     queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -115,13 +162,15 @@ def top_k(rows: DataFrame, is_query: str, k: int = 5, chunk: int = QUERIES) -> D
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             search = Search(*sent.value, k)
-            for batch in batches:
-                if batch.num_rows and len(search.ids):
-                    search.add(batch.column("vec_id").to_numpy(), matrix(batch.column("v")))
+            for ids, vectors in held(batches):
+                if len(search.ids):
+                    search.add(ids, vectors)
             yield pa.RecordBatch.from_pydict({"query_id": search.ids[search.of], "vec_id": search.found, "score": search.scores})
 
-        best = rows.mapInArrow(run, "query_id long, vec_id long, score long")
+        best = written(rows.mapInArrow(run, "query_id long, vec_id long, score long"))
+        sent.unpersist()
         found = best if found is None else found.union(best)
+    removed(rows)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

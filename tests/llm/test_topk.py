@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from llm import cases
 
@@ -26,6 +27,34 @@ def test_against_brute_force(spark, spread, chunk):
     assert got == brute(rows, lambda i: i % 10 == 0, 5)
 
 
+def test_most_blocks_are_skipped():
+    """Of clustered vectors in any order, a query scores the blocks of its own cluster; the answers are those of a full scan."""
+    rng = np.random.default_rng(7)
+    centres = rng.integers(-4000, 4000, (40, 16))
+    vectors = np.concatenate([c + rng.integers(-60, 60, (400, 16)) for c in centres])[rng.permutation(16_000)]
+    ids = np.arange(len(vectors))
+    search = topk.Search(ids[::50], vectors[::50], 5)
+    for lo in range(0, len(ids), 8000):
+        search.add(ids[lo : lo + 8000], vectors[lo : lo + 8000])
+    assert search.scored < 0.2 * search.seen
+    scores = vectors[::50] @ vectors.T
+    scores[np.arange(320), ids[::50]] = -(1 << 62)
+    want = np.lexsort((np.broadcast_to(ids, scores.shape), -scores))[:, :5]
+    assert (search.found.reshape(-1, 5) == want).all()
+
+
+def test_like_together():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 256, 257, 1000, 5000):
+        assert sorted(topk.like_together(rng.normal(size=(n, 4)))) == list(range(n))
+    assert sorted(topk.like_together(np.zeros((1000, 3)))) == list(range(1000))
+
+
+def test_other_columns(spark):
+    frame = spark.createDataFrame([(0, [1], 5, 7), (1, [2], 6, 8)], "vec_id long, v array<long>, score long, query_id long")
+    assert [tuple(r) for r in topk.top_k(frame, "vec_id = 0").collect()] == [(0, 1, 1, 2)]
+
+
 def test_odd_rows(spark):
     rows = [(0, [0.5, -0.5]), (1, None), (2, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, [None, 1.0]), (5, [1.0, 2.0]), (None, [1.0, 1.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

@@ -8,9 +8,9 @@ with K = 5 and M = 36 a pair of similarity 0.75 is missed with a chance of 1.2e-
 A pair is in one of the M * M tables if and only if it shares a key of U and a key of V, so tables are not written out:
 candidates come from buckets of U and must share a key of V. No bucket is expanded into all of its pairs. Equal sets are
 one node from the start. In a bucket of U, members are first compared with the smallest one only; a bucket whose members
-these links join into one class needs nothing more. The others are split by the keys of V into their tables, and in a table
-members of different classes are paired only if their sizes and a bound from the parities of their shingles' hashes allow a
-link. Every candidate is confirmed on full sets.
+these links join into one class needs nothing more. In the others, members outside the largest class are paired with those
+of other classes, if their sizes and a bound from the parities of their shingles' hashes allow a link. Every candidate is
+confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -136,20 +136,29 @@ def full_set(texts: list) -> dict:
     return made | {f"p{i}": pa.array(longs[:, i]) for i in range(PARITIES // 64)}
 
 
+def open_buckets(members: DataFrame) -> DataFrame:
+    """The rows (id, class, u) of buckets that hold several classes, with `main`, the class with the most members there."""
+    by_class = members.groupBy("u", "class").agg(F.count("*").alias("n"))
+    main = by_class.groupBy("u").agg(F.max(F.struct("n", "class"))["class"].alias("main"), F.count("*").alias("classes")).where("classes > 1")
+    return members.join(main.drop("classes"), "u")
+
+
 def open_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of different classes that share a table (U_i, V_j) and are not excluded by their sizes and parities.
+    """The pairs (a, b) of different classes that share a bucket of U and are not excluded by their sizes and parities.
 
     Sets that differ in d parities differ in d shingles or more, so |union| - |intersection| >= d. The join makes no row
-    for a pair whose similarity this bound puts below the threshold. members: id, class, u, v.
+    for a pair whose similarity this bound puts below the threshold. A pair of two classes has a member outside the
+    bucket's main class, so only these are tested against all members. members: id, class, u, main.
     """
     rows = members.join(sets.drop("found"), "id")
-    other = rows.select("u", "v", *[F.col(c).alias(f"{c}_b") for c in rows.columns if c not in "uv"])
+    other = rows.drop("main").select("u", *[F.col(c).alias(f"{c}_b") for c in rows.columns if c not in ("u", "main")])
     apart = sum(F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITIES // 64))
     # |union| = (|a| + |b| + apart) / 2 and |intersection| = (|a| + |b| - apart) / 2 at best
     both = F.col("size") + F.col("size_b")
     fits = 100 * (both - apart) >= PERCENT * (both + apart)
-    pairs = rows.join(other, ["u", "v"]).where((F.col("id") < F.col("id_b")) & (F.col("class") != F.col("class_b")) & fits)
-    return pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+    once = (F.col("class_b") == F.col("main")) | (F.col("id") < F.col("id_b"))
+    pairs = rows.where("class != main").join(other, "u").where((F.col("class") != F.col("class_b")) & once & fits)
+    return pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
 
 
 def classed(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -195,10 +204,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = in_u.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     links = written(confirmed(meeting(stars, colliding), sets).union(own))
     classes = components(links)
-    open_u = written(shared_keys(classed(in_u.select("id", "u"), classes), ["u"], "class").select("id", "class", "u"))
-    tables = open_u.join(colliding.select("id", F.explode("v").alias("v")), "id")
-    open_uv = shared_keys(tables, ["u", "v"], "class").select("id", "class", "u", "v")
-    rest = confirmed(open_pairs(open_uv, sets), sets)
+    open_u = written(open_buckets(classed(in_u.select("id", "u"), classes)))
+    rest = confirmed(meeting(open_pairs(open_u, sets), colliding), sets)
     # classes are links already, of each member with its smallest
     classes = components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).union(rest))
     removed(in_u, colliding, sets, links, open_u)

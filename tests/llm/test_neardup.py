@@ -53,11 +53,21 @@ def test_bound_loses_no_link(spark):
     rows = made(5, families=8, size=4)
     sets = {i: set(neardup.shingle_sets([t])[0].tolist()) for i, t in rows}
     frame = over_texts(spark.createDataFrame(rows, "id long, text string"), "text", neardup.full_set, "found binary, size long, " + ", ".join(f"p{i} long" for i in range(16)))
-    found = {tuple(r) for r in neardup.open_pairs(frame.selectExpr("id", "id as class", "0L as u", "0L as v"), frame).collect()}
+    found = {tuple(r) for r in neardup.open_pairs(frame.selectExpr("id", "id as class", "0L as u", "1L as main"), frame).collect()}
     links = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
     assert links <= found and len(found) < len(links) + 20
 
 
+def test_open_buckets(spark):
+    """Buckets of one class are left out; of others the largest class is the main one, and pairs come once."""
+    members = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 1, 0), (4, 4, 0), (5, 5, 0), (6, 6, 1), (7, 6, 1)], "id long, class long, u long")
+    opened = neardup.open_buckets(members)
+    assert {(r.id, r.main) for r in opened.collect()} == {(i, 1) for i in range(1, 6)}
+    text = " ".join(f"w{i}" for i in range(30))
+    sets = over_texts(spark.createDataFrame([(i, text) for i in range(1, 8)], "id long, text string"), "text", neardup.full_set, "found binary, size long, " + ", ".join(f"p{i} long" for i in range(16)))
+    assert cases.sorted_rows(neardup.open_pairs(opened, sets)) == [(i, j) for i, j in ((1, 4), (1, 5), (2, 4), (2, 5), (3, 4), (3, 5), (4, 5))]
+
+
 def test_ids_with_several_texts(spark):
     """An id's texts are one document: through it, what is near the one is linked with what is near the other."""
     a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")

@@ -55,11 +55,11 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rows = whole(docs, "doc_id", "text").withColumn("who", F.coalesce(F.col("doc_id"), null_id)).drop("doc_id")
     found = written(neardup.near_duplicates(rows.select(F.col("who").alias("doc_id"), "text")).select("doc_id", "n_shingles", "kept"))
     gone = found.where("not kept").select(F.col("doc_id").alias("who")).distinct()
-    left = rows.join(gone, "who", "left_anti")
+    left = rows.join(gone.hint("merge"), "who", "left_anti")  # not broadcast: ids that grow with the documents
     again = found.where("kept and n_shingles > 0").groupBy(F.col("doc_id").alias("who")).agg(F.count("*").alias("n")).where("n > 1").select("who", F.lit(True).alias("again"))
     if not again.isEmpty():
         again = written(again)
-        marked = left.join(again, "who", "left").withColumn("again", F.col("again").isNotNull() & F.col("text").rlike(HAS_WORDS))
+        marked = left.join(again.hint("merge"), "who", "left").withColumn("again", F.col("again").isNotNull() & F.col("text").rlike(HAS_WORDS))
         one = marked.where("again").groupBy("who").agg(F.min_by("whole", F.xxhash64("text", "whole")).alias("whole"))
         left = marked.where("not again").select("whole").union(one.select("whole"))
     return left.select("whole.*")

@@ -191,7 +191,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     in_u = written(shared_keys(nodes.select("id", F.explode("u").alias("u")), ["u"]))
     ids = in_u.select("id").distinct()
     colliding = written(nodes.join(ids, "id", "left_semi").select("id", "size", "u", "v"))
-    wanted = texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    # these ids grow with the documents, so they are not broadcast, however few they are
+    wanted = texts.join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi")
     parities = ", ".join(f"p{i} long" for i in range(PARITIES // 64))
     sets = over_texts(wanted.withColumnRenamed("doc_id", "id"), "text", full_set, f"found binary, size long, {parities}")
     sets = written(sets.where("size > 0").dropDuplicates(["id", "found"]))

@@ -1,5 +1,9 @@
 """Held-out accuracy of the two learned scores, and their odd rows."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from llm import cases
@@ -93,6 +97,54 @@ def test_grams_stay_within_words():
     assert set(owner.tolist()) == {0, 3}
 
 
+def plain_kneser_ney(texts, labels):
+    """The two models as their formulas read, over tuples of bytes: llr(context and symbol)."""
+    order, d = toxicity.ORDER, toxicity.DISCOUNT
+    count = [Counter(), Counter()]
+    for text, label in zip(texts, labels, strict=True):
+        for word in words(text):
+            count[label].update(word)
+    seen = {order: Counter(set(count[0]) | set(count[1]))}
+    for k in range(order - 1, 0, -1):
+        seen[k] = Counter(g[1:] for g in seen[k + 1])
+
+    def shared(g):
+        k = len(g)
+        if not k:
+            return 1 / 256
+        same = [n for h, n in seen[k].items() if h[:-1] == g[:-1]]
+        return (max(seen[k][g] - d, 0) + d * len(same) * shared(g[1:])) / sum(same) if same else shared(g[1:])
+
+    def chance(g, c):
+        same = [n for h, n in c.items() if h[:-1] == g[:-1]]
+        return (max(c[g] - d, 0) + d * len(same) * shared(g[1:])) / sum(same) if same else shared(g[1:])
+
+    return lambda g: math.log(chance(g, count[1]) / chance(g, count[0]))
+
+
+def words(text):
+    """Of each word the n-grams of its bytes and its end."""
+    order = toxicity.ORDER
+    for word in re.findall(rb"[a-z\x80-\xff]+", text.lower().encode()):
+        whole = (0,) * order + tuple(word) + (0,)
+        yield [whole[i + 1 - order : i + 1] for i in range(order, len(whole))]
+
+
+def test_against_plain_kneser_ney(spark):
+    """Counts, shared backoff, class-conditional likelihoods and the three figures of a text, on a few texts."""
+    texts = ["you are a damned fool and a fool", "what a fine day it is today", "damn the foolish day", "It is Fine, é and ß too", "", "fool fool fool"]
+    labels = [1, 0, 1, 0, 0, 1]
+    frame = spark.createDataFrame(list(zip(texts, labels, strict=True)), "text string, label int").withColumn("late", F.lit(False))
+    tables = [toxicity.keyed(t) for t in toxicity.tables_of(toxicity.counts(frame).drop("late"))]
+    llr = plain_kneser_ney(texts, labels)
+    for text in [*texts, "a foolish damned day", "unheard zzz words é"]:
+        of_words = [[llr(g) for g in word] for word in words(text)]
+        sums = [sum(w) for w in of_words]
+        n = sum(map(len, of_words))
+        want = [sum(sums) / n, sum(max(x - toxicity.CLEAR, 0) for x in sums) / len(sums) ** 0.5, max(sums)] if n else [0, 0, 0]
+        assert toxicity.figures([text], *tables)[0] == pytest.approx(want, abs=1e-5)
+
+
 def test_no_two_grams_share_a_value(spark):
     """With more n-grams than 2^21 none gets another's value, and one never counted gets none."""
     n = 2_300_000

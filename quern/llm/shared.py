@@ -38,11 +38,16 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def removed(*tables: DataFrame) -> None:
-    """Deletes tables of written() that nothing is read from any more."""
+    """Deletes tables of written() that nothing is read from any more, and lets Spark's cleaner delete the shuffle files behind them.
+
+    The cleaner goes by what the driver's garbage collection finds, which else may not run for half an hour.
+    """
     for df in tables:
         spark = df.sparkSession
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.quern_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def fold(doc_id: str = "doc_id") -> Column:

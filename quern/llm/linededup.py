@@ -46,6 +46,11 @@ def lines(docs: DataFrame) -> DataFrame:
     clean = F.transform(F.transform(F.split("text", "\n"), tidy), masked)
     counted = F.transform(clean, lambda line: F.struct(line.alias("line"), F.size(F.split(line, " ")).alias("n")))
     found = docs.select("doc_id", row, F.posexplode(counted).alias("pos", "l")).select("doc_id", "row", "pos", "l.n", "l.line").where("line != ''")
+    return hashed(found)
+
+
+def hashed(found: DataFrame) -> DataFrame:
+    """`found`, which has n and line, with their hash as key and that of the leaf."""
     leaf = F.expr(f"xxhash64(n, substring_index(line, ' ', int(least({DEPTH}, greatest(1, n div 3)))))")
     return found.withColumn("key", F.xxhash64("n", "line")).withColumn("leaf", leaf)
 
@@ -60,8 +65,8 @@ def generalised(found: DataFrame) -> DataFrame:
     distinct = written(found.where(f"n >= {LEAST}").select("leaf", "key", place).groupBy("leaf", "key").agg(F.min("at").alias("at")))
     several = written(distinct.groupBy("leaf").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least != most").select("leaf"))
     chosen = distinct.join(several, "leaf", "left_semi").select("at")
-    text = found.select("leaf", "key", "n", place, "line").join(chosen, "at", "left_semi").distinct()
-    words = written(text.select("leaf", "key", "n", F.posexplode(F.split("line", " ")).alias("place", "word")).withColumn("word", F.xxhash64("word")))
+    text = found.where(f"n >= {LEAST}").select("n", place, "line").join(chosen, "at", "left_semi").distinct()
+    words = written(hashed(text).select("leaf", "key", "n", F.posexplode(F.split("line", " ")).alias("place", "word")).withColumn("word", F.xxhash64("word")))
     support = written(words.groupBy("leaf", "place", "word").agg(F.count("*").alias("support")).where("support > 1"))
     supported = words.join(support, ["leaf", "place", "word"]).select("leaf", "key", "n", F.struct("place", "word", "support").alias("w"))
     # a line's own words; the first one's support is that of the leaf
@@ -100,7 +105,8 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_docs_short: int =
     parts = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "drop")
     text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
-    found = found.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"))
+    # counted without cutting the text up
+    found = found.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long"))
     found = found.withColumn("n_dropped", F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("long"))
     return together(found.withColumn("text", text), rest, "doc_id", "text", "n_lines", "n_dropped")
 

@@ -31,7 +31,7 @@ def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder: computed once, its lineage cut, whole if an executor is lost."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quern-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.quern_path = path
     return made

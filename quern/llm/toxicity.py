@@ -18,11 +18,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bytesweep import LETTERS, Sweep, chunks
-from quern.llm.shared import apart, fold, labelled, over_texts, together, written
+from quern.llm.shared import apart, fold, labelled, over_texts, together, with_fields, written
 from quern.sources.tables import table
 
 ORDER = 5
@@ -31,6 +32,11 @@ DISCOUNT = 0.75
 MAX_CALIBRATION = 20_000
 #: A word counts as clearly toxic above this difference of log-likelihoods.
 CLEAR = 4.0
+#: N-grams whose values are broadcast at most, 12 bytes each; beyond, texts meet their n-grams' values in a join.
+MAX_BROADCAST = 4_000_000
+#: Each n-gram's value is in so many copies for the join, since common n-grams are asked for by every chunk of texts.
+SALTS = 16
+FIGURES = "x0 double, x1 double, x2 double"
 
 
 def grams(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -151,13 +157,69 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     return w
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def chunked(df: DataFrame, limit: int) -> DataFrame:
+    """`df` with `chunk`, the same for texts of about `limit` bytes of one task. To be written: another run may cut elsewhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for lo, hi in chunks(pc.binary_length(batch.column("text")).to_pylist(), limit):
+                part = batch.slice(lo, hi - lo)
+                yield part.append_column("chunk", pa.array(np.full(hi - lo, chunk), pa.int64()))
+                chunk += 1
+
+    return df.mapInArrow(run, with_fields(df, df.columns, "chunk long"))
+
+
+def asked_grams(rows: DataFrame) -> DataFrame:
+    """(chunk, gram) of the distinct n-grams of each chunk; a chunk that is read in pieces may ask twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk = batch.column("chunk").to_numpy()
+            edge = np.flatnonzero(np.diff(chunk)) + 1
+            for lo, hi in zip([0, *edge], [*edge, len(chunk)], strict=True):
+                gram = np.unique(grams(batch.column("text").slice(lo, hi - lo).to_pylist())[0]).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(gram), chunk[lo] if hi > lo else 0), pa.int64()), "gram": gram})
+
+    return rows.select("chunk", "text").mapInArrow(run, "chunk long, gram long")
+
+
+def joined_figures(df: DataFrame, seen: DataFrame, new: DataFrame, limit: int = 1 << 20) -> DataFrame:
+    """What over_texts() with figures() gives, with tables of any size: each chunk of texts meets the values of its own n-grams.
+
+    A chunk asks once for each of its n-grams, so that what is shuffled grows with the texts; requests for a common n-gram
+    are dealt out to SALTS keys.
+    """
+    rows = written(chunked(df, limit))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    asked = asked_grams(rows).withColumn("salt", F.pmod("chunk", F.lit(SALTS)).cast("int")).withColumn("context", F.shiftright("gram", 8))
+    of_seen = seen.select("gram", F.col("llr").cast("float").alias("of_seen"), salts)
+    of_new = new.select(F.col("gram").alias("context"), F.col("llr").cast("float").alias("of_new"), salts)
+    found = asked.join(of_seen.hint("merge"), ["gram", "salt"], "left").join(of_new.hint("merge"), ["context", "salt"], "left")
+    found = found.select("chunk", "gram", F.coalesce("of_seen", "of_new").alias("llr")).where("llr is not null")
+    kept = [c for c in df.columns if c != "text"]
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+
+    def run(texts: pa.Table, values: pa.Table) -> pa.Table:
+        gram = values.column("gram").to_numpy().astype(np.uint64)
+        order = np.argsort(gram)
+        x = figures(texts.column("text").to_pylist(), (gram[order], values.column("llr").to_numpy()[order]), none)
+        return pa.table({c: texts.column(c) for c in kept} | {f"x{k}": pa.array(x[:, k], pa.float64()) for k in range(3)})
+
+    return rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(run, with_fields(rows, kept, FIGURES))
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, most_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """`docs` without its text and with `score`, the chance that a document is toxic, and `llr`, the difference a letter.
 
     docs: doc_id, text and any other columns; those named score or llr are replaced. labels: doc_id, toxic. The logistic
     curve is fitted on fold 4 of the ids with counts of folds 1 to 3 (or on these folds, if fold 4 lacks a class); the
-    counts that scores come from are of folds 1 to 4. Fold 0 is never learned from. Null and empty texts have figures of 0 and the score that follows from these. Where labelled rows lack a class, every
-    score is the share of that class. Rows that repeat are scored alike; an empty table stays empty.
+    counts that scores come from are of folds 1 to 4. Fold 0 is never learned from.
+
+    Tables of more than `most_broadcast` n-grams are not broadcast but joined, with the same scores. Null and empty texts
+    have figures of 0 and the score that follows from these. Where labelled rows lack a class, every score is the share
+    of that class. Rows that repeat are scored alike; an empty table stays empty.
     """
     known = written(labelled(labels, "toxic"))
     seen = known.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
@@ -172,21 +234,26 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     in_all = counted.groupBy("gram").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     early = counted.where("not late").drop("late")
 
-    def scorer(of: DataFrame) -> Callable[[list], dict]:
-        tables = docs.sparkSession.sparkContext.broadcast([keyed(t) for t in tables_of(of)])  # 12 bytes an n-gram counted
+    def measurer(of: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        """Gives texts their figures by the counts `of`; by a broadcast if there are few n-grams, else by a join, to the same result."""
+        seen, new = tables_of(of)
+        if of.count() > most_broadcast:  # as many n-grams as `seen` has rows, and no fewer than `new` has
+            seen, new = written(seen), written(new)
+            return lambda df: joined_figures(df, seen, new)
+        tables = docs.sparkSession.sparkContext.broadcast([keyed(t) for t in (seen, new)])
 
         def run(texts: list) -> dict:
             found = figures(texts, *tables.value)
             return {f"x{k}": pa.array(found[:, k], pa.float64()) for k in range(3)}
 
-        return run
+        return lambda df: over_texts(df, "text", run, FIGURES)
 
-    run = scorer(early)  # the curve's fold is not in the counts that the curve is fitted on
+    measured = measurer(early)  # the curve's fold is not in the counts that the curve is fitted on
 
     def sample(where: str) -> tuple[np.ndarray, np.ndarray]:
         # at most MAX_CALIBRATION ids and labels of some 16 bytes: small enough to broadcast
         chosen = known.where(where).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_CALIBRATION).select("doc_id", "label")
-        rows = over_texts(texts.join(F.broadcast(chosen), "doc_id"), "text", run, "x0 double, x1 double, x2 double").limit(MAX_CALIBRATION).toArrow()
+        rows = measured(texts.join(F.broadcast(chosen), "doc_id")).limit(MAX_CALIBRATION).toArrow()
         return np.column_stack([rows.column(f"x{k}").to_numpy() for k in range(3)]), rows.column("label").to_numpy()
 
     x, y = sample("fold = 4")
@@ -200,7 +267,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     w[0] -= float(w[1:] @ mean)
     score = F.lit(float(w[0])) + sum(F.lit(float(w[k + 1])) * F.col(f"x{k}") for k in range(3))
     found, rest = apart(docs, "text")
-    made = over_texts(found, "text", scorer(in_all), "x0 double, x1 double, x2 double")
+    made = measurer(in_all)(found)
     made = made.select("carried", F.round(1 / (1 + F.exp(-score)), 9).alias("score"), F.col("x0").alias("llr"))
     return together(made, rest, "score", "llr")
 

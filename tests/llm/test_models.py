@@ -167,3 +167,25 @@ def test_counts_cover_the_curves_fold(spark):
     labels = spark.createDataFrame([(i, t) for i, _, t in texts], "doc_id long, toxic int")
     llr = {r.doc_id: r.llr for r in toxicity.toxicity_scores(docs, labels).where("doc_id > 90000").collect()}
     assert llr[90001] > 0.1 and llr[90002] < -0.1
+
+
+def test_joined_figures_are_the_broadcast_ones(spark):
+    """With tables above the bound of a broadcast every row, odd ones too, has the same score by a join."""
+    docs, labels = (table(spark, cases.SF, t) for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text", "lang").union(cases.odd_docs(spark).select("doc_id", "text", F.lit("x").alias("lang")))
+    docs = docs.withColumnRenamed("lang", "chunk")
+    same = [cases.sorted_rows(toxicity.toxicity_scores(docs, labels, n).select("doc_id", "chunk", "score")) for n in (1 << 40, 0)]
+    assert len(same[0]) == docs.count() and same[0] == same[1]
+    assert toxicity.toxicity_scores(docs.limit(0), labels, 0).count() == 0
+
+
+def test_joined_figures_of_small_chunks(spark):
+    """Chunks of a few bytes, and a hot text, give the figures of one table that holds all."""
+    frame = spark.createDataFrame([("you fool", 1), ("fine day", 0), ("foolish fine day", 1)], "text string, label int").withColumn("late", F.lit(False))
+    seen, new = toxicity.tables_of(toxicity.counts(frame).drop("late"))
+    texts = ["you fool"] * 50 + ["a foolish day", "", None, "unheard zzz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = toxicity.figures(texts, toxicity.keyed(seen), toxicity.keyed(new))
+    got = sorted(tuple(r) for r in toxicity.joined_figures(docs, seen, new, limit=10).collect())
+    assert [r[0] for r in got] == list(range(len(texts)))
+    assert np.array([r[1:] for r in got]) == pytest.approx(want, abs=1e-6)

@@ -78,7 +78,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with `copies`, how often; sources come near their target weights."""
     taken = mixing.mixed(docs).where("copies > 0").groupBy("who").agg(F.map_from_entries(F.collect_list(F.struct("copy", "copies"))).alias("taken"))
     # one shuffle of the texts, by who: rows of one id are numbered as they were for the mix
-    found = mixing.numbered(mixing.sized(whole(docs, "doc_id", "source", "text"), "whole").join(taken, "who"))
+    found = mixing.numbered(mixing.sized(whole(docs, "doc_id", "source", "text"), "whole").join(taken.hint("merge"), "who"))
     found = found.withColumn("times", F.col("taken")[F.col("copy")]).where("times is not null")
     return found.select(*[F.col(f"whole.`{c}`").alias(c) for c in docs.columns if c != "copies"], F.col("times").alias("copies"))
 

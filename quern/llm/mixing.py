@@ -120,7 +120,8 @@ def copies(items: DataFrame, share: Column) -> DataFrame:
     split = items.withColumn("share", share).withColumn("whole", F.floor(F.col("share") + TINY)).withColumn("p", F.greatest(F.col("share") - F.col("whole"), F.lit(0.0)))
     split = written(split)
     open_ = split.where(f"p > {TINY} and size > 0").select("source", "key", F.col("size").cast("double").alias("size"), "p")
-    return split.join(rounded(open_), "key", "left").withColumn("copies", (F.col("whole") + F.coalesce(F.col("take").cast("int"), F.lit(0))).cast("int")).drop("share", "whole", "p", "take")
+    # keys grow with the documents: not broadcast, however few they are
+    return split.join(rounded(open_).hint("merge"), "key", "left").withColumn("copies", (F.col("whole") + F.coalesce(F.col("take").cast("int"), F.lit(0))).cast("int")).drop("share", "whole", "p", "take")
 
 
 def sized(docs: DataFrame, *kept: str) -> DataFrame:

@@ -6,9 +6,9 @@ Kneser-Ney continuation counts that both classes share. So a rare expression tha
 in both and leaves the comparison alone, while inflected forms of a toxic stem still meet the stem's n-grams.
 
 The counts are exact, over all labelled rows that may be learned from, and are aggregated by Spark. A logistic curve
-fitted on a fold of its own, with counts that leave this fold out, turns three figures of a text into a score: the length-normalised difference of the two
-log-likelihoods, the summed differences of its clearly toxic words over the root of its words, and the largest difference
-of one word.
+fitted on a fold of its own, with counts that leave this fold out, turns three figures of a text into a score: the
+length-normalised difference of the two log-likelihoods, the summed differences of its clearly toxic words over the root
+of its words, and the largest difference of one word.
 """
 
 from __future__ import annotations

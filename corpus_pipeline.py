@@ -75,12 +75,17 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with `copies`, how often; sources come near their target weights."""
-    taken = mixing.mixed(docs).where("copies > 0").groupBy("who").agg(F.map_from_entries(F.collect_list(F.struct("copy", "copies"))).alias("taken"))
-    # one shuffle of the texts, by who: rows of one id are numbered as they were for the mix
-    found = mixing.numbered(mixing.sized(whole(docs, "doc_id", "source", "text"), "whole").join(taken.hint("merge"), "who"))
-    found = found.withColumn("times", F.col("taken")[F.col("copy")]).where("times is not null")
-    return found.select(*[F.col(f"whole.`{c}`").alias(c) for c in docs.columns if c != "copies"], F.col("times").alias("copies"))
+    """The documents that the mix takes, with `copies`, how often; sources come near their target weights.
+
+    Null and empty texts have no words; rows of one id are documents of their own. Rows alike in all columns are one text
+    here with their number, and leave as the rows that are taken. An empty table stays empty.
+    """
+    taken = mixing.mixed(docs).where("copies > 0").groupBy("variant", "copies").agg(F.count("*").alias("n"))
+    taken = written(taken)
+    # one shuffle of the texts, by variant, after equal rows of a task have become one
+    texts = mixing.sized(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")).groupBy("variant").agg(F.first("whole").alias("whole"))
+    found = mixing.repeated(texts.join(taken.hint("merge"), "variant"), "n", taken.agg(F.max("n")).first()[0] or 0)
+    return found.select(*[F.col(f"whole.`{c}`").alias(c) for c in docs.columns if c != "copies"], "copies")
 
 
 STAGES = [

@@ -27,6 +27,8 @@ GROUP = 128
 #: A document is in the first tier above target / TIERS[0] words, in the second above target / TIERS[1], and so on.
 TIERS = (8, 32, 128)
 SEED = 6
+#: Rows that a task makes of one repeated row; more are dealt out.
+AT_ONCE = 4096
 WORDS = r"[^\x20\x09-\x0D]+"
 TINY = 1e-9
 
@@ -124,33 +126,46 @@ def copies(items: DataFrame, share: Column) -> DataFrame:
     return split.join(rounded(open_).hint("merge"), "key", "left").withColumn("copies", (F.col("whole") + F.coalesce(F.col("take").cast("int"), F.lit(0))).cast("int")).drop("share", "whole", "p", "take")
 
 
-def sized(docs: DataFrame, *kept: str) -> DataFrame:
-    """The kept columns with who (the id, or what stands for a null one), size (words of the text) and digest (of the text)."""
-    digest = F.xxhash64("text")
-    who = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.xxhash64("source", "text").cast("string")))
+def sized(docs: DataFrame, *kept: Column) -> DataFrame:
+    """doc_id, source, size (words of the text) and variant, with what is kept. Rows alike in all columns share a variant.
+
+    Columns with maps, which Spark does not hash, are left out of that comparison.
+    """
+    compared = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    return docs.select(*kept, "source", who.alias("who"), size.alias("size"), digest.alias("digest"))
+    who = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    variant = F.concat_ws(":", who, F.xxhash64(*compared), F.hash(*compared))
+    return docs.select(*kept, "doc_id", "source", size.alias("size"), variant.alias("variant"))
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """`rows` with `copy`, which numbers the rows of one who."""
-    return rows.withColumn("copy", F.row_number().over(Window.partitionBy("who").orderBy("source", "size", "digest")))
+def repeated(rows: DataFrame, n: str, largest: int) -> DataFrame:
+    """Each row of `rows` n times, numbered by `copy`; where a row repeats more than AT_ONCE times, its pieces go to many tasks.
+
+    largest: the largest value of the column n.
+    """
+    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(AT_ONCE).cast("long"))))
+    if largest > AT_ONCE:
+        pieces = pieces.repartition("variant", "piece")
+    return pieces.withColumn("copy", F.explode(F.sequence("piece", F.least(F.col("piece") + AT_ONCE, F.col(n)) - 1))).drop("piece", n)
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
-    """(doc_id, who, copy, size, source, source_size, target, copies) of every row of `docs`, which has doc_id, source, text.
+    """(doc_id, variant, copy, size, source, source_size, target, copies) of every row of `docs`, which has doc_id, source, text.
 
-    size: words of the whole text, 0 for a null. copies: how often the mix takes the document, from 0 to `most`. copy
-    numbers rows of one doc_id, which are documents of their own; null ids too. Documents without words are taken no
-    times beyond the whole part of their share. A source without words has the target 0. An empty table stays empty.
+    size: words of the whole text, 0 for a null. copies: how often the mix takes the document, from 0 to `most`. Rows that
+    share a doc_id, or have none, are documents of their own; those alike in all columns share a variant and are numbered
+    by copy. They are counted before any shuffle of rows, so one id or row on a large share of the table is nobody's burden.
+    Documents without words are taken no times beyond the whole part of their share. A source without words has the
+    target 0. An empty table stays empty.
     """
-    rows = written(numbered(sized(docs, "doc_id")).drop("digest").withColumn("key", F.concat_ws(":", "who", "copy")))
+    rows = written(sized(docs).groupBy("variant", "doc_id", "source", "size").agg(F.count("*").alias("n")))
+    largest = rows.agg(F.max("n")).first()[0] or 0
     # one row a source; spread over the rows by a join on the source that is split where a source is hot
-    goals = written(targets(rows, weights, most))
+    goals = written(targets(rows.select("source", (F.col("size") * F.col("n")).alias("size")), weights, most))
     of = goals.withColumnRenamed("source", "of")
     items = rows.join(of, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     tier = sum((F.col("size") * b <= F.col("target")).cast("int") for b in TIERS)
-    items = items.withColumn("tier", tier)
+    items = repeated(items.withColumn("tier", tier), "n", largest).withColumn("key", F.concat_ws(":", "variant", "copy"))
     done = None
     for t in range(len(TIERS) + 1):
         now = items.where(F.col("tier") == t)

@@ -67,3 +67,25 @@ def test_odd_rows(spark):
     assert found.count() == docs.count() and found.where("size = 0 and size * copies > 0").count() == 0
     assert mixing.mixed(cases.docs(spark, [])).count() == 0
     assert mixing.mixed(cases.docs(spark, [(1, None), (2, "")])).where("target != 0").count() == 0
+
+
+def test_rows_that_repeat(spark, monkeypatch):
+    """A third of the rows are one row, a third share an id: all are documents of their own, and sources meet their targets."""
+    monkeypatch.setattr(mixing, "AT_ONCE", 64)
+    rows = [(1, "one row again and again", "a")] * 500 + [(2, f"word{i} " * (1 + i % 9), "b") for i in range(500)] + [(3 + i, "x y z " * (i % 7), "c") for i in range(500)]
+    docs = cases.docs(spark, rows + [(None, None, "c")] * 200)
+    found = mixing.mixed(docs).collect()
+    assert len(found) == 1700 and len({(r.variant, r.copy) for r in found}) == 1700
+    assert sum(r.doc_id == 1 for r in found) == sum(r.doc_id == 2 for r in found) == 500 and sum(r.doc_id is None for r in found) == 200
+    for s in "abc":
+        of = [r for r in found if r.source == s]
+        assert sum(r["size"] for r in of) == of[0].source_size
+        assert abs(sum(r["size"] * r.copies for r in of) - of[0].target) <= 0.02 * of[0].target
+
+
+def test_repeated(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "AT_ONCE", 64)
+    rows = spark.createDataFrame([("a", 1), ("b", 64), ("c", 65), ("d", 1000)], "variant string, n long")
+    for largest in (1000, 10):  # dealt out or not
+        got = mixing.repeated(rows, "n", largest).collect()
+        assert sorted((r.variant, r.copy) for r in got) == [(v, i) for v, n in (("a", 1), ("b", 64), ("c", 65), ("d", 1000)) for i in range(n)]

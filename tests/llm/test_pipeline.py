@@ -87,3 +87,18 @@ def test_large_groups(spark):
     assert ids(p.near_duplicates_stage(spark, docs, cases.SF)) == [1, *range(401, 1201)]
     lines = p.line_dedup_stage(spark, docs, cases.SF)
     assert ids(lines.where("doc_id <= 400")) == [1] and ids(lines.where(F.col("text").contains("many documents"))) == [401]
+
+
+def test_mix_takes_each_row_by_itself(spark):
+    """Rows of one id that differ in any column leave as they came; the mix's row counts are those of its operator."""
+    rows = [(1, "a b c", "s")] * 30 + [(1, f"d{i} e f", "s") for i in range(30)] + [(None, "g h", "t")] * 20 + [(9, None, "t")]
+    docs = cases.docs(spark, rows).withColumn("lang", F.when(F.rand(1) < 0.5, "en").otherwise("de"))
+    docs = written(docs)
+    out = p.mix_stage(spark, docs, cases.SF)
+    got = out.groupBy(*COLUMNS, "copies").count().withColumnRenamed("count", "n")
+    came = docs.groupBy(*COLUMNS).count()
+    held = got.groupBy(*COLUMNS).agg(F.sum("n").alias("n")).alias("got")
+    held = held.join(came.alias("came"), [F.col(f"got.{c}").eqNullSafe(F.col(f"came.{c}")) for c in COLUMNS])
+    assert held.where("n > count").count() == 0 and held.count() == got.select(*COLUMNS).distinct().count()
+    want = mixing.mixed(docs).where("copies > 0").groupBy("doc_id", "copies").count().orderBy("doc_id", "copies").collect()
+    assert out.groupBy("doc_id", "copies").count().orderBy("doc_id", "copies").collect() == want

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate, htmltext, linededup, mixing, neardup, quality, tokencount, topk, toxicity, urlfilter
+from quern.llm import bytepairs, decontaminate, fillmiddle, htmltext, linededup, mixing, neardup, quality, tokencount, topk, toxicity, urlfilter, vectorcode
 from quern.llm.shared import ready
 
 
@@ -31,6 +31,9 @@ QUERIES = {
         quality.op8_quality,
         neardup.op9_near_duplicates,
         urlfilter.op10_url_filter,
+        vectorcode.op11_vector_codes,
+        bytepairs.op12_bpe_round_trip,
+        fillmiddle.op13_fill_in_middle,
     )
 }
 
@@ -40,4 +43,6 @@ ORACLE_SQL = {
     "op7_line_dedup": linededup.ORACLE_SQL,
     "op9_near_duplicates": neardup.ORACLE_SQL,
     "op10_url_filter": urlfilter.ORACLE_SQL,
+    "op11_vector_codes": vectorcode.ORACLE_SQL,
+    "op13_fill_in_middle": fillmiddle.ORACLE_SQL,
 }

@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,27 +30,103 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: computed once, its lineage cut, whole if an executor is lost."""
+#: Of each call of an operator that is under way, its written tables and whether its result reads them.
+_open: ContextVar[tuple[dict, ...]] = ContextVar("open", default=())
+#: Tables that results handed out read, until clear().
+_handed_out: dict[str, SparkSession] = {}
+#: Lets Spark delete the shuffle files of a query as soon as that has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, kept: bool = False) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: computed once, its lineage cut, whole if an executor is lost.
+
+    Within a call of an owned() function the table goes when this ends, unless it is kept: a result reads it later.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quern-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    if scopes := _open.get():
+        scopes[-1][path] = kept
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     made = spark.read.schema(df.schema).parquet(path)
     made.quern_path = path
     return made
 
 
-def removed(*tables: DataFrame) -> None:
-    """Deletes tables of written() that nothing is read from any more, and lets Spark's cleaner delete the shuffle files behind them.
+def _deleted(spark: SparkSession, paths: Iterable[str]) -> None:
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    The cleaner goes by what the driver's garbage collection finds, which else may not run for half an hour.
-    """
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing is read from any more, before the call that made them ends."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.quern_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        _deleted(df.sparkSession, [df.quern_path])
+        for scope in _open.get():
+            scope.pop(df.quern_path, None)
+
+
+@contextmanager
+def owner(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that are written within, but for the kept ones, which pass to the owner around this; if it fails, all."""
+    mine: dict[str, bool] = {}
+    outer = _open.get()
+    token = _open.set((*outer, mine))
+    try:
+        yield
+    except BaseException:
+        _deleted(spark, mine)
+        raise
+    finally:
+        _open.reset(token)
+    _deleted(spark, [path for path, kept in mine.items() if not kept])
+    handed = [path for path, kept in mine.items() if kept]
+    if outer:
+        outer[-1].update(dict.fromkeys(handed, True))
+    else:
+        _handed_out.update(dict.fromkeys(handed, spark))
+
+
+def owned(fn: Callable) -> Callable:
+    """`fn`, whose first argument is a session or a DataFrame, as the owner of the tables that it writes."""
+
+    @wraps(fn)
+    def run(first: SparkSession | DataFrame, *args, **named):
+        with owner(first.sparkSession if isinstance(first, DataFrame) else first):
+            return fn(first, *args, **named)
+
+    return run
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], kept: bool = False) -> DataFrame:
+    """What `make` gives, written; all other tables that it wrote on the way are deleted, those its result read too."""
+    mine: dict[str, bool] = {}
+    token = _open.set((*_open.get(), mine))
+    try:
+        found = written(make())
+    except BaseException:
+        _deleted(spark, mine)
+        raise
+    finally:
+        _open.reset(token)
+    mine.pop(found.quern_path)
+    _deleted(spark, mine)
+    if scopes := _open.get():
+        scopes[-1][found.quern_path] = kept
+    return found
+
+
+def clear() -> None:
+    """Deletes the tables that results handed out so far read. Those results can't be used any more."""
+    for path, spark in list(_handed_out.items()):
+        _deleted(spark, [path])
+        del _handed_out[path]
 
 
 def fold(doc_id: str = "doc_id") -> Column:

@@ -1,0 +1,88 @@
+import hashlib
+import random
+import re
+
+from llm import cases
+from pyspark.sql import functions as F
+
+from quern.llm import fillmiddle
+
+
+def brute(doc_id, text, unit=fillmiddle.LINES, rate=100, first=50):
+    """(n, form, prefix, middle, suffix) with all units in a list."""
+    text = text or ""
+    digest = hashlib.sha256(f"7:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
+    units = re.findall(unit, text)
+    n = len(units)
+    low, high = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    plain = not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= rate
+    form = "plain" if plain else "spm" if h[3] % 100 < first else "psm"
+    return n, form, "".join(units[:low]), "".join(units[low:high]), "".join(units[high:])
+
+
+def expected(doc_id, text, **how):
+    n, form, p, m, s = brute(doc_id, text, **how)
+    out = {"plain": text or "", "psm": f"<P>{p}<S>{s}<M>{m}", "spm": f"<S>{s}<P>{p}<M>{m}"}[form]
+    lengths = (None, None) if form == "plain" else (len(p), len(m))
+    return (n, form, *lengths, out, text or "")
+
+
+def found(frame, **how):
+    made = fillmiddle.fill_in_middle(frame, **how)
+    back = fillmiddle.restored(F.col("output"), F.col("form")).alias("back")
+    return sorted((r.doc_id is not None, r.doc_id or 0, r.n, r.form, r.prefix_chars or 0, r.middle_chars or 0, r.output, r.back) for r in made.select("*", back).collect())
+
+
+def wanted(rows, **how):
+    out = []
+    for i, text in rows:
+        n, form, p, m, output, back = expected(i, text, **how)
+        out.append((i is not None, i or 0, n, form, p or 0, m or 0, output, back))
+    return sorted(out)
+
+
+def texts(seed, count):
+    rnd = random.Random(seed)
+    pieces = ["a", "bc", " ", "\n", "\n\n", "\r\n", "é", "漢", "😀", "<", "P>", "<P", "<S", "<M", ">", "x" * 50]
+    return [(i, "".join(rnd.choice(pieces) for _ in range(rnd.randrange(40)))) for i in range(count)]
+
+
+def test_against_brute_force(spark):
+    rows = texts(1, 400)
+    assert found(cases.docs(spark, rows).repartition(3)) == wanted(rows)
+    assert {r[3] for r in wanted(rows)} == {"plain", "psm", "spm"}
+
+
+def test_other_units_and_rates(spark):
+    rows = texts(2, 200)
+    words = r"\s*\S+|\s+"
+    assert found(cases.docs(spark, rows), unit=words, rate=40, suffix_first=10) == wanted(rows, unit=words, rate=40, first=10)
+
+
+def test_odd_rows(spark):
+    frame = cases.odd_docs(spark).withColumnRenamed("lang", "output").withColumnRenamed("source", "form")
+    rows = [(r.doc_id, r.text) for r in frame.collect()]
+    assert found(frame) == wanted(rows)
+    assert fillmiddle.fill_in_middle(frame.limit(0)).count() == 0
+    marked = [(1, "a\n<M>\nb"), (2, "<P>"), (3, "line\n" * 100_000)]
+    assert found(cases.docs(spark, marked)) == wanted(marked)
+
+
+def test_no_list_of_units():
+    """The peak beside text and result does not grow with the number of units."""
+    import tracemalloc
+
+    unit = re.compile(fillmiddle.LINES)
+    peaks = []
+    for n in (10_000, 200_000):
+        text = "ab\n" * n
+        tracemalloc.start()
+        assert fillmiddle.boundaries(unit, text, n // 2, n - 1) == (n, 3 * (n // 2), 3 * (n - 1))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < peaks[0] + 10_000
+
+
+def test_against_sql(spark):
+    cases.against_sql(spark, fillmiddle.op13_fill_in_middle, fillmiddle.ORACLE_SQL)

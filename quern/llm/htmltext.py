@@ -18,14 +18,15 @@ The element article (or main) stays.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from hashlib import blake2b
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import apart, over_texts, together, with_fields, written
+from quern.llm.shared import apart, over_texts, owned, together, with_fields, written
 from quern.sources.tables import table
 
 #: Nodes below these importances are low: in general, and inside an article.
@@ -46,19 +47,40 @@ ENDS_P = BLOCK - {"html", "head", "body", "title", "caption", "tbody", "thead",
 HOLD_P = ("button", "table", "td", "article", "div", "section", "body")
 OF_HEAD = frozenset("base link meta noscript script style template title".split())
 #: Never text of a page, whatever the tree says.
-NO_TEXT = frozenset("head title script style noscript template iframe object svg button select textarea canvas".split())
-DROPPED = frozenset("nav footer aside dialog menu".split())
+NO_TEXT = frozenset("head title script style noscript noembed noframes template iframe object svg button select textarea datalist canvas".split())
+DROPPED = frozenset("nav footer aside dialog menu label".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Whole names of classes and ids that leave no doubt.
 DROPPED_NAMES = frozenset(
     "ad ads advert advertisement advertising adsense sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar side-bar footer "
     "site-footer site-header masthead cookie cookies cookie-banner cookie-notice cookie-consent consent gdpr notice newsletter subscribe signup "
-    "popup modal comment comments comment-list comment-section disqus disqus_thread related related-articles related-posts share share-buttons "
+    "popup modal comment comments comment-list commentlist comment-section comments-section comments-area comment-area comments-list comment-body "
+    "comment-content comment-text comment-form comment-respond comment-thread user-comments reader-comments disqus disqus_thread related related-articles related-posts share share-buttons "
     "social social-links widget".split()
 )
 #: What HTML says of an element: nothing; that it goes; that it is a form; that it is, or is within, an article; that it has no text.
 OPEN, GOES, FORM, INSIDE, EMPTY = range(5)
 ROOT = 0
+#: Each node of a site's tree is in so many copies when pages look up their own.
+SALTS = 8
+
+#: Attributes that are looked at.
+WANTED = frozenset(("class", "id", "role", "hidden", "style"))
+NOT_SHOWN = re.compile(r"(?:display\s*+:\s*+none|visibility\s*+:\s*+hidden)", re.I)
+#: Tags as most are: attributes without a value, or with one that ends as it should.
+PLAIN = re.compile(r"""<([a-zA-Z][^\t\n\f\r />]*+)((?:[\t\n\f\r ]++[^\t\n\f\r />="'<]++(?:=(?:"[^"]*+"|'[^']*+'|[^\t\n\f\r "'<>=`]++))?+)*+)[\t\n\f\r ]*+(/?)>""")
+PLAIN_END = re.compile(r"</([a-zA-Z][^\t\n\f\r />]*+)[\t\n\f\r ]*+>")
+ATTRIBUTE = re.compile(r"""([^\t\n\f\r />="'<]++)(?:=(?:"([^"]*+)"|'([^']*+)'|([^\t\n\f\r "'<>=`]++)))?+""")
+#: Any tag up to its name, and what stands between and in attributes.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\t\n\f\r />]*+)")
+BETWEEN = re.compile(r"[\t\n\f\r /]*+")
+NAME = re.compile(r"=?[^\t\n\f\r />=]*+")
+EQUALS = re.compile(r"[\t\n\f\r ]*+=[\t\n\f\r ]*+")
+UNQUOTED = re.compile(r"[^\t\n\f\r >]*+")
+EMPTY_COMMENT, COMMENT_END = re.compile("<!--(?:>|->)"), re.compile("--!?>")
+#: Elements whose contents are no tags, with what ends them.
+RAW = {tag: re.compile(rf"</{tag}(?=[\t\n\f\r />])", re.I) for tag in "script style textarea title iframe noembed noframes".split()}
+LEADING_ZEROS, LONG_NUMBER = re.compile("(&#[xX]?+)0++(?=[0-9a-fA-F])"), re.compile("&#(?:[0-9]{8,}+|[xX][0-9a-fA-F]{8,}+);?+")
 #: Names of hosts, and numbers.
 ALIKE = re.compile(r"[\w-]+(?:\.[\w-]+)+|[0-9]+")
 
@@ -67,21 +89,132 @@ def digest(*parts: str | int) -> int:
     return int.from_bytes(blake2b("\0".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-class Page(HTMLParser):
+def unescaped(text: str) -> str:
+    """Character references decoded; numbers too long for any character count as unknown ones."""
+    if "&#" in text:
+        text = LONG_NUMBER.sub("\ufffd", LEADING_ZEROS.sub(r"\1", text))
+    return unescape(text) if "&" in text else text
+
+
+def attributes(html: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes WANTED of a tag, from behind its name on, and where it ends: -1 if it never does. Of a repeated one the first counts."""
+    found: dict[str, str] = {}
+    while True:
+        at = BETWEEN.match(html, at).end()
+        if at == len(html):
+            return found, -1
+        if html[at] == ">":
+            return found, at + 1
+        name = NAME.match(html, at)
+        value, at = "", name.end()
+        if equals := EQUALS.match(html, at):
+            at = equals.end()
+            if (quote := html[at : at + 1]) in ('"', "'"):
+                end = html.find(quote, at + 1)
+                if end < 0:
+                    return found, -1
+                value, at = html[at + 1 : end], end + 1
+            else:
+                end = UNQUOTED.match(html, at).end()
+                value, at = html[at:end], end
+        if (name := name.group().lower()) in WANTED:
+            found.setdefault(name, value)
+
+
+class Page:
     """A page's nodes, each after the one it is in, and its pieces of text.
 
     keys, above, says: of each node a hash of the names from the root, the node it is in, what HTML says of it. looks: the
     names of its children. pieces: (node, text); None for a text is a border between blocks.
+
+    One scan from left to right reads the page, as the HTML standard says: a tag or comment that is not finished ends with
+    the page and counts for nothing, and so does an unfinished script. No place is read more than twice.
     """
 
     def __init__(self, html: str | None):
-        super().__init__(convert_charrefs=True)
         self.keys, self.above, self.says, self.looks = [ROOT], [0], [OPEN], [[]]
         self.pieces: list[tuple[int, str | None]] = []
+        self.now: list[str] = []  # text of the node now_in that is not among the pieces yet
+        self.now_in = 0
         self.open: list[tuple[str, int]] = []  # tags with their nodes
         self.places: dict[str, list[int]] = {}  # of each tag, where it is open
-        self.feed(html or "")
-        self.close()
+        self.read(html or "")
+        self.settle()
+
+    def read(self, html: str) -> None:
+        at = 0
+        while at < len(html):
+            less = html.find("<", at)
+            if less < 0:
+                less = len(html)
+            if less > at:
+                self.data(unescaped(html[at:less]))
+            if less == len(html):
+                return
+            if plain := PLAIN.match(html, less):
+                tag, given, closes = plain.groups()
+                found = {}
+                for name, *values in ATTRIBUTE.findall(given) if given else ():
+                    if (name := name.lower()) in WANTED:
+                        found.setdefault(name, "".join(values))
+                at = self.start(html, tag.lower(), found, plain.end(), closes)
+            elif end := PLAIN_END.match(html, less):
+                self.end_tag(end[1].lower())
+                at = end.end()
+            elif tag := TAG.match(html, less):
+                found, at = attributes(html, tag.end())
+                if at < 0:
+                    return
+                if tag[1]:
+                    self.end_tag(tag[2].lower())
+                else:
+                    at = self.start(html, tag[2].lower(), found, at, html[at - 2] == "/")
+            elif html.startswith(("<!", "<?", "</"), less):
+                at = self.after_comment(html, less)
+                if at < 0:
+                    return
+            else:
+                self.data("<")
+                at = less + 1
+
+    @staticmethod
+    def after_comment(html: str, at: int) -> int:
+        """Where a comment, or what counts as one, ends; -1 if it never does."""
+        if not html.startswith("<!--", at):
+            return html.find(">", at) + 1 or -1
+        if empty := EMPTY_COMMENT.match(html, at):
+            return empty.end()
+        end = COMMENT_END.search(html, at + 4)
+        return end.end() if end else -1
+
+    def start(self, html: str, tag: str, given: dict, at: int, closes: object) -> int:
+        """Takes a start tag; gives where to read on, which is behind the contents of an element that holds no tags."""
+        self.start_tag(tag, given)
+        if tag in RAW:
+            end = RAW[tag].search(html, at)
+            return end.start() if end else len(html)
+        if closes and tag not in VOID:
+            self.end_tag(tag)
+        return at
+
+    def settle(self) -> None:
+        if self.now:
+            self.pieces.append((self.now_in, "".join(self.now)))
+            self.now = []
+
+    def data(self, text: str) -> None:
+        node = self.node()
+        if self.says[node] == EMPTY:
+            return
+        if node != self.now_in:
+            self.settle()
+            self.now_in = node
+        self.now.append(text)
+
+    def border(self) -> None:
+        self.settle()
+        if self.pieces and self.pieces[-1][1] is not None:
+            self.pieces.append((0, None))
 
     def node(self) -> int:
         return self.open[-1][1] if self.open else 0
@@ -98,9 +231,9 @@ class Page(HTMLParser):
         if place > self.nearest(holders):
             self.end(place)
 
-    def meaning(self, tag: str, names: list[str], role: str) -> int:
+    def meaning(self, tag: str, names: list[str], role: str, hidden: bool) -> int:
         above = self.says[self.node()]
-        if above == EMPTY or tag in NO_TEXT:
+        if above == EMPTY or tag in NO_TEXT or hidden:
             return EMPTY
         if above == GOES:
             return GOES
@@ -112,7 +245,7 @@ class Page(HTMLParser):
             return GOES
         return above
 
-    def handle_starttag(self, tag, attrs):
+    def start_tag(self, tag: str, given: dict) -> None:
         if tag not in OF_HEAD:
             self.end_nearest(("head",), ())
         if tag in ("html", "body"):  # pages may leave them out
@@ -123,11 +256,11 @@ class Page(HTMLParser):
             self.end_nearest(("p",), HOLD_P)
         if tag in ENDED_BY:
             self.end_nearest(ENDED_BY[tag], HOLD)
-        given = dict(attrs)
-        named = {k: (given.get(k) or "").strip().lower() for k in ("class", "id", "role")}
+        named = {k: unescaped(given[k]).strip().lower() for k in ("class", "id", "role") if k in given} if given else {}
         name = tag + "".join(f"[{k}={v}]" for k, v in named.items() if v)
         at = self.node()
-        says = self.meaning(tag, [*named["class"].split(), named["id"]], named["role"])
+        hidden = "hidden" in given or ("style" in given and NOT_SHOWN.search(unescaped(given["style"])) is not None)
+        says = self.meaning(tag, [*named.get("class", "").split(), named.get("id", "")], named.get("role", ""), hidden)
         self.looks[at].append(name)
         if says != self.says[at] or (tag in BLOCK and tag not in VOID and (tag in HOLDERS or name != tag)):
             self.keys.append(digest(self.keys[at], name))
@@ -136,26 +269,20 @@ class Page(HTMLParser):
             self.looks.append([])
             at = len(self.keys) - 1
         if tag in BLOCK:
-            self.pieces.append((at, None))
+            self.border()
         elif tag == "br":
-            self.pieces.append((at, " "))
+            self.data(" ")
         if tag not in VOID:
             self.places.setdefault(tag, []).append(len(self.open))
             self.open.append((tag, at))
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
+    def end_tag(self, tag: str) -> None:
         if tag in BLOCK:
-            self.pieces.append((self.node(), None))
+            self.border()
+        elif tag == "br":
+            self.data(" ")
         self.end_nearest((tag,), ())
 
-    def handle_data(self, data):
-        self.pieces.append((self.node(), data))
-
     def own_texts(self) -> dict[int, str]:
         """The text of each node that has any, without that of the nodes in it."""
         own: dict[int, list[str]] = {}
@@ -164,53 +291,68 @@ class Page(HTMLParser):
                 own.setdefault(node, []).append(" ".join(data.split()))
         return {node: "\n".join(texts) for node, texts in own.items()}
 
-    def text(self, low: set, meanings: bool = True) -> str:
-        """The blocks outside the branches that have low nodes only, and outside what HTML says goes."""
-        n = len(self.keys)
-        all_low = [key in low for key in self.keys]
-        all_low[0] = False
-        for i in range(n - 1, 0, -1):
-            if not all_low[i]:
-                all_low[self.above[i]] = False
-        gone = [False] * n
-        for i in range(1, n):
-            gone[i] = all_low[i] or self.says[i] == EMPTY or (meanings and self.says[i] in (GOES, FORM))
-            gone[i] |= gone[self.above[i]] and not (meanings and self.says[i] == INSIDE)
-        blocks, now = [], []
-        for node, data in [*self.pieces, (0, None)]:
-            if data is None:
-                if text := " ".join("".join(now).split()):
-                    blocks.append(text)
-                now = []
-            elif not gone[node]:
-                now.append(data)
-        return "\n\n".join(blocks)
-
-
-def nodes(htmls: list) -> dict:
-    """Of each page its nodes, those of one key merged: key, digests of the run of children and of the own text, whether it is inside an article."""
-    out = []
-    for html in htmls:
-        page = Page(html)
-        own = page.own_texts()
+    def nodes(self) -> list[dict]:
+        """The nodes, those of one key merged: key, digests of the run of children and of the own text, whether it is inside an article."""
+        own = self.own_texts()
         merged: dict[int, tuple[list, list, bool]] = {}
-        for i in range(1, len(page.keys)):
-            if page.says[i] != EMPTY:
-                inside = page.says[i] == INSIDE
-                run, texts, _ = merged.setdefault(page.keys[i], ([], [], inside))
-                run += [x for j, x in enumerate(page.looks[i]) if not j or page.looks[i][j - 1] != x]
+        for i in range(1, len(self.keys)):
+            if self.says[i] != EMPTY:
+                run, texts, _ = merged.setdefault(self.keys[i], ([], [], self.says[i] == INSIDE))
+                run += [x for j, x in enumerate(self.looks[i]) if not j or self.looks[i][j - 1] != x]
                 if i in own:
                     texts.append(ALIKE.sub("#", own[i]))
-        out.append([{"key": k, "look": digest(*run), "content": digest(*texts) if texts else None, "inside": inside} for k, (run, texts, inside) in merged.items()])
-    kind = pa.list_(pa.struct([("key", pa.int64()), ("look", pa.int64()), ("content", pa.int64()), ("inside", pa.bool_())]))
-    return {"nodes": pa.array(out, kind)}
+        return [{"key": k, "look": digest(*run), "content": digest(*texts) if texts else None, "inside": inside} for k, (run, texts, inside) in merged.items()]
+
+    def text(self, low: set, meanings: bool = True) -> str:
+        return main_text(self.keys, self.above, self.says, *map(list, zip(*self.pieces, (0, None), strict=True)), low, meanings)
+
+
+def main_text(keys: list, above: list, says: list, of: list, texts: list, low: set, meanings: bool = True) -> str:
+    """The blocks outside the branches that have low nodes only, and outside what HTML says goes. of, texts: the pieces of a page."""
+    n = len(keys)
+    all_low = [key in low for key in keys]
+    all_low[0] = False
+    for i in range(n - 1, 0, -1):
+        if not all_low[i]:
+            all_low[above[i]] = False
+    gone = [False] * n
+    for i in range(1, n):
+        gone[i] = all_low[i] or says[i] == EMPTY or (meanings and says[i] in (GOES, FORM))
+        gone[i] |= gone[above[i]] and not (meanings and says[i] == INSIDE)
+    blocks, now = [], []
+    for node, data in zip([*of, 0], [*texts, None], strict=True):
+        if data is None:
+            if text := " ".join("".join(now).split()):
+                blocks.append(text)
+            now = []
+        elif not gone[node]:
+            now.append(data)
+    return "\n\n".join(blocks)
+
+
+#: What one parse of a page leaves: its nodes as the trees see them, and all that its main text is made of.
+PARSED = "nodes array<struct<key:long,look:long,content:long,inside:boolean>>, keys array<long>, above array<int>, says array<tinyint>, of array<int>, texts array<string>"
+SKELETON = ("keys", "above", "says", "of", "texts")
+
+
+def parsed(htmls: list) -> dict:
+    """Columns PARSED of each page."""
+    pages = list(map(Page, htmls))
+    node = pa.struct([("key", pa.int64()), ("look", pa.int64()), ("content", pa.int64()), ("inside", pa.bool_())])
+    return {
+        "nodes": pa.array([p.nodes() for p in pages], pa.list_(node)),
+        "keys": pa.array([p.keys for p in pages], pa.list_(pa.int64())),
+        "above": pa.array([p.above for p in pages], pa.list_(pa.int32())),
+        "says": pa.array([p.says for p in pages], pa.list_(pa.int8())),
+        "of": pa.array([[node for node, _ in p.pieces] for p in pages], pa.list_(pa.int32())),
+        "texts": pa.array([[text for _, text in p.pieces] for p in pages], pa.list_(pa.string())),
+    }
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
-    """(site, page, key, look, content, inside) of every node of every distinct page of a host and of its domain. pages: host, page, html."""
-    made = over_texts(pages.select("host", "page", "html"), "html", nodes, "nodes array<struct<key:long,look:long,content:long,inside:boolean>>")
+    """(site, page, key, look, content, inside) of every node of every distinct page of a host and of its domain. pages: host, page, nodes."""
     sites = F.array_distinct(F.array("host", F.substring_index("host", ".", -2)))
-    return made.select("page", F.explode(sites).alias("site"), "nodes").select("site", "page", F.explode("nodes").alias("n")).select("site", "page", "n.*").distinct()
+    return pages.select("page", F.explode(sites).alias("site"), "nodes").select("site", "page", F.explode("nodes").alias("n")).select("site", "page", "n.*").distinct()
 
 
 def style_tree(found: DataFrame) -> DataFrame:
@@ -239,29 +381,37 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"://([^/?#]*)", 1), F.lit("")))
 
 
-def extracted(pages: DataFrame, meanings: bool = True) -> DataFrame:
+@owned
+def extracted(pages: DataFrame, meanings: bool = True, trees: bool = True) -> DataFrame:
     """`pages` without html and with text, the main text, and n_chars, its code points.
 
     pages: url, html and any other columns; those of the names made are replaced. A null or empty html gives an empty text.
-    A null url is of the empty host. Pages are taken whole, however long or deep. Equal pages of a host count as one for its
-    tree, and give the same text. An empty table stays empty. With meanings=False only the tree decides, but for what never
-    is text.
+    A null url is of the empty host; urls and pages are taken whole, however long or deep. Equal pages of a host count as one
+    for its tree, and give the same text. Of a repeated attribute the first counts; nodes of equal importance are judged
+    alike. An empty table stays empty. With meanings=False only the tree decides, but for what never is text; with
+    trees=False only what HTML says.
     """
     pages, rest = apart(pages, "url", "html")
     hosted = pages.withColumn("host", host_of(F.col("url"))).withColumn("page", F.xxhash64("host", "html"))
-    found = written(page_nodes(hosted))
-    low = written(low_nodes(style_tree(found), meanings))
-    # a page's own low nodes: no more than it has
-    low = found.select("site", "page", "key").join(low, ["site", "key"]).select("page", "key").groupBy("page").agg(F.collect_set("key").alias("low"))
+    # each page is parsed once
+    found = written(over_texts(hosted, "html", parsed, PARSED), kept=True)
     kept = ["url", "carried"]
-    joined = hosted.join(low, "page", "left").select(*kept, "low", "html")
-
-    def run(batches):
+    if trees:
+        of_pages = written(page_nodes(found))
+        low = low_nodes(style_tree(of_pages), meanings).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        # a page's own low nodes: no more than it has; a large site's nodes go to several tasks
+        salted = of_pages.select("site", "page", "key").withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int"))
+        low = salted.join(low, ["site", "key", "salt"]).groupBy("page").agg(F.collect_set("key").alias("low"))
+        joined = found.join(written(low, kept=True), "page", "left").select(*kept, "low", *SKELETON)
+    else:
+        joined = found.select(*kept, F.array().cast("array<long>").alias("low"), *SKELETON)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                pairs = zip(part.column("html"), part.column("low"), strict=True)
-                text = [Page(html.as_py()).text(set(low.as_py() or ()), meanings) for html, low in pairs]
+                rows = zip(*(part.column(c).to_pylist() for c in (*SKELETON, "low")), strict=True)
+                text = [main_text(*skeleton, set(low or ()), meanings) for *skeleton, low in rows]
                 yield pa.RecordBatch.from_pydict({c: part.column(c) for c in kept} | {"text": pa.array(text, pa.string())})
 
     made = joined.mapInArrow(run, with_fields(joined, kept, "text string")).withColumn("n_chars", F.length("text").cast("long"))

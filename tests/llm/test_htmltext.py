@@ -1,6 +1,12 @@
 import html
+import math
+import random
 import re
+import time
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from llm import cases
 from pyspark.sql import functions as F
 
@@ -67,14 +73,90 @@ def test_omitted_tags():
 
 def test_deep_pages():
     """Many nested elements, open tags that never end and end tags that never began: time and memory in proportion."""
-    import time
-
     began = time.time()
     for html in ("<div>" * 20_000 + "deep", "<b>" * 20_000 + "<hr>" * 20_000 + "deep", "<p><button>" + "<b>" * 20_000 + "</i><hr>" * 20_000 + "deep", "<div class=a><p>" * 20_000 + "deep" + "</div>" * 20_000):
-        assert htmltext.Page(html).text(set()) == "deep" and len(htmltext.nodes([html])["nodes"]) == 1
+        assert htmltext.Page(html).text(set()) == "deep" and len(htmltext.parsed([html])["nodes"]) == 1
     assert time.time() - began < 20
 
 
+HOSTILE = ["<a ", '<a b="', "<a b='", "<!--", "<!-->", "<", "</", "</a ", "<script>", "<script></scrip", "<a =", "<a b=c d", "<p class=x>", "<![CDATA[", "<?", "&", "&amp;", "&#", '<a "', "<title>", "<style><", "x<b>y</i>"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_parsing_time_grows_with_length(piece):
+    began = time.time()
+    htmltext.Page(piece * (1_000_000 // len(piece))).text(set())
+    htmltext.Page("<a" + "\n" * 500_000 + "<p style='display" + " " * 500_000).text(set())
+    assert time.time() - began < 15
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from([*HOSTILE, ">", "/>", '"', "'", " ", "x", "<p>", "</p>", "-->", "--!>", "<b c=1 c='2'>", "<br/>", "<div/>", "</script>", "<svg>", "&lt;", "&#x41;", "\x00"]), max_size=30))
+def test_any_markup(pieces):
+    """Nothing fails, and the quick way through common tags and the general one agree."""
+    html = "".join(pieces)
+    page = htmltext.Page(html)
+    quick, htmltext.PLAIN = htmltext.PLAIN, re.compile("(?!)")
+    quick_end, htmltext.PLAIN_END = htmltext.PLAIN_END, re.compile("(?!)")
+    try:
+        slow = htmltext.Page(html)
+    finally:
+        htmltext.PLAIN, htmltext.PLAIN_END = quick, quick_end
+    assert (page.keys, page.above, page.says, page.looks, page.pieces) == (slow.keys, slow.above, slow.says, slow.looks, slow.pieces)
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("a<!-- b > c -->d<!-->e<!--->f<!-- g --!>h<!x>i<?y>j</ z>k", "adefhijk"),
+        ("a<b title='x>y' class=z>c</b>d<p", "acd"),
+        ("a <b", "a"),
+        ("1 < 2 <3 <= 4", "1 < 2 <3 <= 4"),
+        ("<p class=\"x\" class=\"ad\">one<p class='ad' class=x>two", "one"),
+        ("<p>a<p hidden>b<p style='Display : none'>c<div style=\"visibility:hidden\"><p>d</div><p style='color:red'>e", "a\n\ne"),
+        ("<article>a<ol class=commentlist><li>b</ol><div class='comments-area x'><div class=comment-body>c</div></div><div class=commentary>d</div></article>", "a\n\nd"),
+        ("a<label for=q>Your name</label><input id=q><select><option>b</select>", "a"),
+        ("&#0065;&#x00042;&#" + "9" * 5000 + ";&#xFFFFFFFFFFFF;&copy &unknown; &#150;", "AB\ufffd\ufffd© &unknown; –"),
+        ("a<script>if (x < y) '</p>'</script >b<STYLE>c</Style>d<textarea><p>e</textarea>f", "abdf"),
+        ("a<script>never closed <p>b", "a"),
+        ("<div/>a<br/>b<svg><text>c</text></svg>", "a b"),
+    ],
+)
+def test_markup(html, want):
+    assert htmltext.Page(html).text(set()) == want
+
+
+def test_importances(spark):
+    """style_tree() against a plain computation of both entropies, to the base of the number of pages."""
+    rnd = random.Random(9)
+    rows = [(s, p, k, rnd.randrange(3), rnd.choice([None, 1, 2, p]), k % 2 == 0) for s in ("a", "b.a") for p in range(12) for k in range(6) if rnd.random() < 0.7] + [("c", 1, 1, 1, 1, False)]
+    found = htmltext.style_tree(spark.createDataFrame(rows, "site string, page long, key long, look long, content long, inside boolean"))
+    got = {(r.site, r.key): (r.inside, r.pages, r.importance) for r in found.collect()}
+    want = {}
+    for site, key in {(r[0], r[2]) for r in rows}:
+        mine = [r for r in rows if (r[0], r[2]) == (site, key)]
+        m = len(mine)
+        entropy = lambda xs: -sum(xs.count(x) / len(xs) * math.log(xs.count(x) / len(xs), m) for x in set(xs))  # noqa: B023, E731
+        looks, texts = [r[3] for r in mine], [r[4] for r in mine if r[4] is not None]
+        shared = [math.log(texts.count(x), m) if m > 1 else 0.0 for x in set(texts)]  # of each distinct text
+        of_look = entropy(looks) if m > 1 else 1.0
+        of_text = 1 - sum(shared) / len(shared) if texts and m > 1 else float(bool(texts))
+        want[site, key] = (mine[0][5], m, 1 - (1 - of_look) * (1 - of_text))
+    assert got.keys() == want.keys()
+    for k, (inside, m, importance) in want.items():
+        assert got[k][:2] == (inside, m) and got[k][2] == pytest.approx(importance, abs=1e-9)
+
+
+def test_the_tree_changes_the_result(spark):
+    """Boilerplate under names that no list has stays if only lists are asked, and goes by the tree; texts of the pages' own stay both ways."""
+    rows = [("http://h.org/x", f"<main><div class=qx1>Follow our channel for news</div><div class=body7><p>Report {a}{b} of the day</p><p>By the desk in {b}{a}</p></div><div class=qx2><p>All rights are with the publisher</p></div></main>") for a in "abcdef" for b in "ghijkl"]
+    by_tree = [r.text for r in htmltext.extracted(pages(spark, rows)).orderBy("page_id").collect()]
+    by_lists = [r.text for r in htmltext.extracted(pages(spark, rows), trees=False).orderBy("page_id").collect()]
+    own = [f"Report {a}{b} of the day\n\nBy the desk in {b}{a}" for a in "abcdef" for b in "ghijkl"]
+    assert by_tree == own
+    assert by_lists == [f"Follow our channel for news\n\n{t}\n\nAll rights are with the publisher" for t in own]
+
+
 def test_whole_table(spark):
     """The pages' article elements, cut by plain patterns."""
     for r in htmltext.op5_html_text(spark, cases.SF).join(table(spark, cases.SF, "pages").select("page_id", "html"), "page_id").collect():

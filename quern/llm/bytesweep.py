@@ -13,6 +13,8 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 MASK64 = (1 << 64) - 1
+#: Bytes that are hashed at once.
+SLAB = 1 << 18
 
 #: A-Z to a-z, every other byte to itself.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -45,10 +47,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    up, down = np.full(n, BASE, np.uint64), np.full(n, BASE_INVERSE, np.uint64)
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(SLAB, BASE, np.uint64), np.full(SLAB, BASE_INVERSE, np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
@@ -60,8 +61,8 @@ class Sweep:
     each text's first word, and the number of words last.
     """
 
-    def __init__(self, texts: Sequence[str | None], word_bytes: np.ndarray):
-        raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    def __init__(self, texts: Sequence[str | bytes | None], word_bytes: np.ndarray):
+        raw = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         self.data = LOWER[np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)]
         inside = word_bytes[self.data]
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
@@ -83,12 +84,23 @@ class Sweep:
         return np.repeat(np.arange(len(self)), self.words)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        n = len(self.data)
-        up, down = _powers(max(21, int(n).bit_length()))
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        """A 64-bit hash of each word: a polynomial of its bytes, from sums up to its end and its start, slab by slab."""
+        up, down = _powers()
+        upto_end, upto_start, inverse = (np.zeros(len(self.start), np.uint64) for _ in range(3))
+        total, power, power_inverse = 0, 1, 1  # the sum before the slab, and the powers of the base and its inverse there
+        for lo in range(0, len(self.data), SLAB):
+            hi = min(lo + SLAB, len(self.data))
+            sums = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum((self.data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=sums[1:])
+            sums = sums * np.uint64(power) + np.uint64(total)
+            i, j = np.searchsorted(self.end, (lo, hi))
+            upto_end[i:j] = sums[self.end[i:j] - lo]
+            i, j = np.searchsorted(self.start, (lo, hi))
+            upto_start[i:j] = sums[self.start[i:j] - lo]
+            inverse[i:j] = down[self.start[i:j] - lo] * np.uint64(power_inverse)
+            total = int(sums[-1])
+            power, power_inverse = power * pow(BASE, SLAB, 1 << 64) & MASK64, power_inverse * pow(BASE_INVERSE, SLAB, 1 << 64) & MASK64
+        return mix((upto_end - upto_start) * inverse + (self.end - self.start).astype(np.uint64))
 
 
 def runs(words: np.ndarray, k: int) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index for each shard of training documents.
 
-A Spark task cuts its documents into shards of bounded size. A shard's text is the sequence of its words over the
+A Spark task cuts its documents into shards of bounded size, long texts too. A shard's text is the sequence of its words over the
 benchmark's alphabet: a word that no benchmark item has can be in no occurrence, so it parts the sequence, and stretches
 shorter than the shortest window are left out. Over what remains stands an FM-index: the suffix array's Burrows-Wheeler
 transform in a wavelet matrix with rank counts, and every SAMPLE-th text position of the suffix array. The distinct
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bytesweep import ALNUM, Sweep, chunks, runs
-from quern.llm.shared import apart, together, with_fields, written
+from quern.llm.shared import apart, owned, together, with_fields, written
 from quern.sources.tables import table
 
 WINDOW = 13
@@ -91,24 +91,42 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         k *= 2
 
 
+class Bits:
+    """A row of bits that counts the ones before a place: 64 bits to a word, and the ones before each word."""
+
+    def __init__(self, bits: np.ndarray):
+        packed = np.packbits(bits, bitorder="little")
+        self.words = np.zeros(len(bits) // 64 + 1, np.uint64)
+        self.words.view(np.uint8)[: len(packed)] = packed
+        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)[:-1])).astype(np.int32)
+        self.ones = int(self.before[-1]) + int(np.bitwise_count(self.words[-1]))
+
+    def rank(self, place: np.ndarray) -> np.ndarray:
+        word = place >> 6
+        below = (np.uint64(1) << (place & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word] + np.bitwise_count(self.words[word] & below).astype(np.int64)
+
+    def at(self, place: np.ndarray) -> np.ndarray:
+        return (self.words[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64)
+
+
 class FmIndex:
     """Backward search and location in a sequence of small numbers that ends with its only 0."""
 
     def __init__(self, text: np.ndarray):
         order = suffix_array(text)
-        transformed = text[order - 1]
+        symbols = text[order - 1].astype(np.int32)
         self.levels = max(1, int(text.max()).bit_length())
         self.ones, self.zeros = [], []
-        symbols = transformed
         for level in range(self.levels - 1, -1, -1):  # a wavelet matrix: each level's bits, then zeros before ones
-            bit = (symbols >> level) & 1
-            self.ones.append(np.concatenate(([0], np.cumsum(bit))))
-            self.zeros.append(int(len(bit) - bit.sum()))
-            symbols = np.concatenate((symbols[bit == 0], symbols[bit == 1]))
+            bit = (symbols >> level) & 1 == 1
+            self.ones.append(Bits(bit))
+            self.zeros.append(len(bit) - self.ones[-1].ones)
+            symbols = np.concatenate((symbols[~bit], symbols[bit]))
         self.smaller = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=1 << self.levels))))
         sampled = order % SAMPLE == 0
-        self.before = np.concatenate(([0], np.cumsum(sampled)))
-        self.sample = order[sampled]
+        self.sampled = Bits(sampled)
+        self.sample = order[sampled].astype(np.int32)
         self.size = len(text)
 
     def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -116,16 +134,16 @@ class FmIndex:
         low = np.zeros_like(place)
         for ones, zeros, level in zip(self.ones, self.zeros, range(self.levels - 1, -1, -1), strict=True):
             bit = (symbol >> level) & 1 == 1
-            low, place = (np.where(bit, zeros + ones[x], x - ones[x]) for x in (low, place))
+            low, place = (np.where(bit, zeros + r, x - r) for x, r in ((x, ones.rank(x)) for x in (low, place)))
         return place - low
 
     def symbol(self, place: np.ndarray) -> np.ndarray:
         """What stands at the place of the transform."""
         out = np.zeros_like(place)
         for ones, zeros in zip(self.ones, self.zeros, strict=True):
-            bit = ones[place + 1] - ones[place]
+            bit, r = ones.at(place), ones.rank(place)
             out = 2 * out + bit
-            place = np.where(bit == 1, zeros + ones[place], place - ones[place])
+            place = np.where(bit == 1, zeros + r, place - r)
         return out
 
     def search(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,8 +167,8 @@ class FmIndex:
         """Text positions of suffixes, by steps towards the front until a sampled one."""
         out, steps, open_ = np.zeros_like(place), 0, np.arange(len(place))
         while len(open_):
-            found = self.before[place + 1] > self.before[place]
-            out[open_[found]] = self.sample[self.before[place[found]]] + steps
+            found = self.sampled.at(place) == 1
+            out[open_[found]] = self.sample[self.sampled.rank(place[found])] + steps
             open_, place = open_[~found], place[~found]
             symbol = self.symbol(place)
             place = self.smaller[symbol] + self.rank(symbol, place)
@@ -194,37 +212,86 @@ def shard_hits(sweep: Sweep, phrases: Phrases) -> Iterator[tuple[np.ndarray, np.
         yield window[which], word[index.locate(low[which] + place - upto[which])]
 
 
-def hits(texts: list, phrases: Phrases, spans: list | None = None) -> dict:
-    """Of each text its number of words, the ids of the items found, and the merged spans [from, to) of hit words."""
-    sweep = Sweep(texts, ALNUM)
-    edge = np.zeros(len(sweep.start) + 1, np.int64)
+def hit_words(sweep: Sweep, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word whether it is hit; the distinct pairs of a text and a window that occurs in it."""
+    edge = np.zeros(len(sweep.start) + 1, np.int32)
     many = max(1, len(phrases.at))
-    pairs = np.zeros(0, np.int64)  # distinct, of text and window
+    pairs = np.zeros(0, np.int64)
     for window, at in shard_hits(sweep, phrases):
         np.add.at(edge, at, 1)
         np.add.at(edge, at + phrases.size[window], -1)
         owner = np.searchsorted(sweep.first, at, side="right") - 1
         pairs = np.union1d(pairs, owner * many + window)
-    hit = np.cumsum(edge)[:-1] > 0
-    for i, old in enumerate(spans or []):
-        for lo, hi in old or []:
-            hit[sweep.first[i] + lo : sweep.first[i] + hi] = True
-    owner = pairs // many
-    items = [phrases.items(pairs[lo:hi] % many) for lo, hi in (np.searchsorted(owner, [i, i + 1]) for i in range(len(texts)))]
-    out = []
-    for lo, hi in zip(sweep.first[:-1], sweep.first[1:], strict=True):
-        turn = np.flatnonzero(np.diff(np.concatenate(([0], hit[lo:hi].astype(np.int8), [0]))))
-        out.append([turn[i : i + 2].tolist() for i in range(0, len(turn), 2)])
-    return {"n_words": sweep.words.tolist(), "items": items, "spans": out}
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    return np.cumsum(edge)[:-1] > 0, pairs // many, pairs % many
+
+
+def spans_of(hit: np.ndarray) -> list[list[int]]:
+    """The runs of hit words, as [from, to)."""
+    turn = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
+    return turn.reshape(-1, 2).tolist()
+
+
+def merged(spans: list[list[int]]) -> list[list[int]]:
+    """The union of spans, those that touch joined."""
+    out: list[list[int]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
+
+
+def hits(texts: list, phrases: Phrases) -> tuple[list, list, list]:
+    """Of each text its number of words, the ids of the items found, and the merged spans [from, to) of hit words."""
+    sweep = Sweep(texts, ALNUM)
+    hit, owner, window = hit_words(sweep, phrases)
+    items = [phrases.items(window[lo:hi]) for lo, hi in (np.searchsorted(owner, [i, i + 1]) for i in range(len(texts)))]
+    return sweep.words.tolist(), items, [spans_of(hit[lo:hi]) for lo, hi in zip(sweep.first[:-1], sweep.first[1:], strict=True)]
+
+
+def border(text: np.ndarray, at: int) -> int:
+    """The first place from `at` on that is in no word."""
+    while at < len(text):
+        apart = np.flatnonzero(~ALNUM[text[at : at + 65_536]])
+        if len(apart):
+            return at + int(apart[0])
+        at += 65_536
+    return len(text)
+
+
+def hits_of_long(text: np.ndarray, phrases: Phrases, shard: int) -> tuple[list, list, list]:
+    """What hits() gives for one text, the UTF-8 bytes `text`, which is cut into shards of about `shard` bytes.
+
+    A shard ends between words, and the next one begins with its last words, one fewer than the longest window has; so
+    each occurrence lies whole in one shard, and those that lie in two make the same spans.
+    """
+    overlap = max(0, int(phrases.size.max(initial=0)) - 1)
+    begin, at, before = 0, 0, 0  # a shard's first byte, its first new byte, the words in front of it
+    spans: list[list[int]] = []
+    windows = np.zeros(0, np.int64)
+    while True:
+        end = border(text, at + shard)
+        sweep = Sweep([text[begin:end].tobytes()], ALNUM)
+        hit, _, window = hit_words(sweep, phrases)
+        spans += [[before + lo, before + hi] for lo, hi in spans_of(hit)]
+        windows = np.union1d(windows, window)
+        n = len(sweep.start)
+        if end >= len(text):
+            return [before + n], [phrases.items(windows)], [merged(spans)]
+        again = min(overlap, n)
+        before += n - again
+        begin, at = (begin + int(sweep.start[n - again]) - 1 if again else end), end
+
+
+@owned
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES, shard: int = SHARD) -> DataFrame:
     """`docs` without its text and with n_words, n_hit, items (ids as text, sorted), spans (arrays [from, to) of words).
 
     docs: text and any other columns; those of the names made are replaced. benchmark: item_id, text. Null and empty texts
     have no words and no hits; an item without words has no window; a null item_id is the empty text. Items of one id count
-    once; a window that several items have counts for each of them. Texts are taken whole, however long. Rows that repeat
-    are treated alike; an empty benchmark gives no hits, an empty table stays empty. The benchmark goes to the executors in
+    once; a window that several items have counts for each of them. Texts are taken whole, however long; one of more than
+    `shard` bytes is in several shards, which overlap. Rows that repeat are treated alike; an empty benchmark gives no hits, an empty table stays empty. The benchmark goes to the executors in
     parts of about `part_bytes`; beyond one part the documents are passed once for each.
     """
     items = benchmark.select("item_id", "text").where(F.length("text") > 0)
@@ -235,7 +302,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).toArrow()
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), window))
         if part:
-            found = written(found)
+            found = written(found, kept=part == parts - 1)
             sent.unpersist()
         sent = phrases
 
@@ -244,13 +311,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
 
         def run(batches, phrases=phrases, later=part > 0, kept=kept):
             for batch in batches:
-                for lo, hi in chunks(pc.binary_length(batch.column("text")).to_pylist(), SHARD):
+                sizes = pc.binary_length(batch.column("text")).to_pylist()
+                for lo, hi in chunks(sizes, shard):
                     b = batch.slice(lo, hi - lo)
-                    made = hits(b.column("text").to_pylist(), phrases.value, b.column("spans").to_pylist() if later else None)
+                    if (sizes[lo] or 0) > shard:
+                        n_words, items, spans = hits_of_long(np.frombuffer(b.column("text")[0].as_buffer(), np.uint8), phrases.value, shard)
+                    else:
+                        n_words, items, spans = hits(b.column("text").to_pylist(), phrases.value)
                     if later:
-                        made["items"] = [sorted({*x, *y}) for x, y in zip(made["items"], b.column("items").to_pylist(), strict=True)]
+                        items = [sorted({*x, *y}) for x, y in zip(items, b.column("items").to_pylist(), strict=True)]
+                        spans = [merged(x + y) for x, y in zip(spans, b.column("spans").to_pylist(), strict=True)]
                     out = {c: b.column(c) for c in kept}
-                    yield pa.RecordBatch.from_pydict(out | {"n_words": pa.array(made["n_words"], pa.int64()), "items": pa.array(made["items"], pa.list_(pa.string())), "spans": pa.array(made["spans"], pa.list_(pa.list_(pa.int64())))})
+                    yield pa.RecordBatch.from_pydict(out | {"n_words": pa.array(n_words, pa.int64()), "items": pa.array(items, pa.list_(pa.string())), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64())))})
 
         found = found.mapInArrow(run, with_fields(found, kept, "n_words long, items array<string>, spans array<array<long>>"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])

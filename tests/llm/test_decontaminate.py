@@ -50,7 +50,7 @@ def test_repeated_words_stay_small():
     found = d.hits(["a " * 20_000, "x b c b c", ""], phrases)
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert found["spans"] == [[[0, 20_000]], [[1, 5]], []] and found["items"] == [["1", "2"], ["3"], []] and most < 60e6
+    assert found[2] == [[[0, 20_000]], [[1, 5]], []] and found[1] == [["1", "2"], ["3"], []] and most < 60e6
 
 
 def test_slices_agree(monkeypatch):
@@ -58,7 +58,65 @@ def test_slices_agree(monkeypatch):
     texts = ["a b a b a b a a b", "b a x b a b a", None]
     whole = d.hits(texts, phrases)
     monkeypatch.setattr(d, "SLICE", 2)
-    assert d.hits(texts, phrases) == whole and whole["items"][0] == ["1", "2"]
+    assert d.hits(texts, phrases) == whole and whole[1][0] == ["1", "2"]
+
+
+def test_bits():
+    rng = np.random.default_rng(4)
+    for n in (1, 63, 64, 65, 1000):
+        bits = rng.random(n) < 0.4
+        packed = d.Bits(bits)
+        assert packed.rank(np.arange(n + 1)).tolist() == [0, *np.cumsum(bits).tolist()] and packed.ones == bits.sum()
+        assert packed.at(np.arange(n)).tolist() == bits.astype(int).tolist()
+
+
+def test_any_cut_gives_the_same():
+    """Shards inside a text, of any size, against the text as one shard."""
+    rnd = random.Random(6)
+    words = ["a", "b", "c", "é", "zz"]
+    for turn in range(60):
+        text = "".join(rnd.choice(words) + rnd.choice([" ", ", ", "\n\n", "-"]) for _ in range(rnd.randrange(1, 120)))
+        items = [" ".join(rnd.choice(words[:4]) for _ in range(rnd.randrange(1, 9))) for _ in range(4)]
+        phrases = d.Phrases([1, 2, 3, 4], items, 5)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        for shard in (1, 7, 30, 100, 10_000):
+            assert d.hits_of_long(raw, phrases, shard) == d.hits([text], phrases), (turn, shard)
+
+
+def test_shards_inside_texts(spark):
+    """The whole table with shards smaller than most texts."""
+    from quern.sources.tables import table
+
+    docs, bench = table(spark, cases.SF, "documents").select("doc_id", "text"), table(spark, cases.SF, "benchmark")
+    assert cases.sorted_rows(d.contamination(docs, bench, shard=500)) == cases.sorted_rows(d.contamination(docs, bench))
+
+
+def test_memory_of_one_long_text():
+    import tracemalloc
+
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(500)]
+    phrases = d.Phrases([1], [" ".join(words)], 13)
+    raw = np.frombuffer(" ".join(rnd.choice(words) for _ in range(4_000_000)).encode(), np.uint8)
+    tracemalloc.start()
+    n_words, _, _ = d.hits_of_long(raw, phrases, d.SHARD)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n_words == [4_000_000] and most < 8 * len(raw)
+
+
+def test_hashes_do_not_depend_on_slabs(monkeypatch):
+    from quern.llm import bytesweep
+
+    texts = ["alpha beta gamma alpha", "x" * 300 + " beta", "", "alpha"]
+    whole = Sweep(texts, ALNUM).hashes()
+    assert len(set(whole.tolist())) == 4
+    monkeypatch.setattr(bytesweep, "SLAB", 16)
+    bytesweep._powers.cache_clear()
+    try:
+        assert (Sweep(texts, ALNUM).hashes() == whole).all()
+    finally:
+        bytesweep._powers.cache_clear()
 
 
 def test_spans_and_odd_rows(spark):

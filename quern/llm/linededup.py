@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import apart, removed, together, written
+from quern.llm.shared import apart, owned, removed, together, written
 from quern.sources.tables import table
 
 #: A template recurs if so many documents have it: one of over LONG words, of fewer than SHORT ones, any other.
@@ -81,6 +81,7 @@ def generalised(found: DataFrame) -> DataFrame:
     return general
 
 
+@owned
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_docs_short: int = MIN_DOCS_SHORT, min_docs_long: int = MIN_DOCS_LONG) -> DataFrame:
     """`docs` with the recurring lines gone from text, and with n_lines and n_dropped.
 
@@ -93,12 +94,12 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_docs_short: int =
     found = written(lines(docs))
     general = generalised(found)
     placed = found.select("doc_id", "row", "pos", "n", "key").join(general, "key", "left")
-    placed = written(placed.select("doc_id", "row", "pos", "n", F.coalesce("general", "key").alias("template")))
+    placed = written(placed.select("doc_id", "row", "pos", "n", F.coalesce("general", "key").alias("template")), kept=True)
     removed(found, general)
     by_doc = placed.groupBy("template", "n", "doc_id", "row").agg(F.lit(1).alias("one"))
     often = by_doc.groupBy("template", "n").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_id", "row")).alias("first"))
     enough = F.when(F.col("n") < SHORT, min_docs_short).when(F.col("n") > LONG, min_docs_long).otherwise(min_docs)
-    often = written(often.where(F.col("n_docs") >= enough).select("template", F.col("first.row").alias("first_row")))
+    often = written(often.where(F.col("n_docs") >= enough).select("template", F.col("first.row").alias("first_row")), kept=True)
     drops = placed.select("template", "row", "pos").join(often, "template").where("row != first_row")
     drops = drops.groupBy("row").agg(F.collect_set("pos").alias("drop"))
     found = docs.withColumn("row", F.xxhash64("doc_id", "text")).join(drops, "row", "left").drop("row")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.shared import written
+from quern.llm.shared import owned, written
 from quern.sources.tables import table
 
 WEIGHTS = (5, 2, 1)
@@ -149,6 +149,7 @@ def repeated(rows: DataFrame, n: str, largest: int) -> DataFrame:
     return pieces.withColumn("copy", F.explode(F.sequence("piece", F.least(F.col("piece") + AT_ONCE, F.col(n)) - 1))).drop("piece", n)
 
 
+@owned
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
     """(doc_id, variant, copy, size, source, source_size, target, copies) of every row of `docs`, which has doc_id, source, text.
 
@@ -177,7 +178,7 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST_COPIES)
         left = F.col("source_size") - of_done
         share = F.when(left > 0, (F.col("target") - have) / left).otherwise(0.0)
         found = copies(now, F.least(F.greatest(share, F.lit(0.0)), F.lit(float(most)))).drop("have", "of_done")
-        found = written(found)
+        found = written(found, kept=True)
         done = found if done is None else done.unionByName(found)
     return done.drop("tier", "key")
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bytesweep import NOT_SPACE, Sweep, mix, runs
-from quern.llm.shared import over_texts, removed, written
+from quern.llm.shared import over_texts, owned, removed, written
 from quern.sources.tables import table
 
 SHINGLE = 5
@@ -103,9 +103,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "found_a", "found_b").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, kept: bool = False) -> DataFrame:
     """(id, component) of every node but the smallest of each class, by alternating large and small stars."""
-    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
+    edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), kept)
     before = None
     while True:
         seen = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
@@ -117,7 +117,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.a", "e.b")
-        old, edges = edges, written(small.where("a != b").distinct())
+        old, edges = edges, written(small.where("a != b").distinct(), kept)
         removed(old)
 
 
@@ -174,6 +174,7 @@ def meeting(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     return both.where(F.arrays_overlap("u_a", "u_b") & F.arrays_overlap("v_a", "v_b")).select("a", "b").distinct()
 
 
+@owned
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of `docs`, which has doc_id and text.
 
@@ -183,8 +184,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the smallest id stands for all. Other columns are not carried. An empty table stays empty.
     """
     texts = docs.select("doc_id", "text")
-    sketches = written(over_texts(texts, "text", sketch, "n_shingles long, digest binary, u array<long>, v array<long>"))
-    same = written(sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
+    sketches = written(over_texts(texts, "text", sketch, "n_shingles long, digest binary, u array<long>, v array<long>"), kept=True)
+    same = written(sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), kept=True)
     nodes = sketches.join(same.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     nodes = nodes.dropDuplicates(["digest"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "u", "v")
 
@@ -208,7 +209,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_u = written(open_buckets(classed(in_u.select("id", "u"), classes)))
     rest = confirmed(meeting(open_pairs(open_u, sets), colliding), sets)
     # classes are links already, of each member with its smallest
-    classes = components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).union(rest))
+    classes = components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).union(rest), kept=True)
     removed(in_u, colliding, sets, links, open_u)
     of_set = same.join(classes, "id", "left").where("n > 1 or component is not null").select("digest", F.coalesce("component", "id").alias("component_id"))
     found = sketches.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")

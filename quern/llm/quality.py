@@ -8,14 +8,13 @@ non-negative unbiased risk of du Plessis et al. and Kiryo et al.:
 with the logistic loss l. No trusted negatives enter the risk. The prior pi is estimated from the share of positives
 among labelled rows, or, if these are all positive, by the Elkan-Noto ratio.
 
-All documents are the unlabelled text. They are dealt out to blocks of bounded size; each block's task minimises the risk of
+All documents are the unlabelled text. Hashes of their ids and texts deal them out to blocks of bounded size, the same for
+any order of the rows; each block's task minimises the risk of
 the trusted positives, of which there is a bounded number, against the block, and the blocks' linear models are averaged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -128,19 +127,36 @@ def unpacked(x: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(x.to_pylist()), np.float16).reshape(-1, N_FEATURES).astype(np.float32)
 
 
+def dealt(features_of: DataFrame, blocks: int) -> DataFrame:
+    """(block, h, x, n): the rows of `features_of` dealt out to blocks by their hashes, n alike in one row.
+
+    A row that repeats has about the same number of its copies in each of the blocks, so it is nobody's burden. What a block
+    holds depends on the rows alone, not on their order or partitions.
+    """
+    rows = features_of.groupBy("h").agg(F.count("*").alias("copies"), F.max("x").alias("x"))
+    rows = rows.withColumn("pieces", F.least("copies", F.lit(blocks))).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    n = F.floor(F.col("copies") / F.col("pieces")) + (F.col("piece") < F.col("copies") % F.col("pieces")).cast("int")
+    block = F.pmod(F.pmod(F.xxhash64("h", F.lit("block")), F.lit(blocks)) + F.col("piece"), F.lit(blocks))
+    return rows.select(block.alias("block"), "h", "x", n.cast("long").alias("n"))
+
+
 def averaged(features_of: DataFrame, positive: np.ndarray, prior: float | None, blocks: int) -> Model | None:
-    """The mean of the models of all blocks, each weighed by its rows. Every row of `features_of` is in one of the blocks."""
+    """The mean of the models of all blocks, each weighed by its rows. Every row of `features_of` is in one of the blocks.
+
+    The sums are of decimals, so that they are the same in any order.
+    """
     sent = features_of.sparkSession.sparkContext.broadcast(positive.astype(np.float16))  # MAX_POSITIVE rows at most
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            rows = pa.Table.from_batches(held).sort_by([("h", "ascending"), ("x", "ascending")])
-            found, w = fitted(sent.value.astype(np.float32), unpacked(rows.column("x")), prior)
-            yield pa.RecordBatch.from_pydict({"n": [rows.num_rows], "w": [[*w, found]]})
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("h", "ascending"), ("x", "ascending")])
+        n = rows.column("n").to_numpy()
+        unlabelled = np.repeat(unpacked(rows.column("x")), n, axis=0)  # as many rows as a block has, repeats counted
+        found, w = fitted(sent.value.astype(np.float32), unlabelled, prior)
+        return pa.table({"n": [int(n.sum())], "w": [[*w, found]]})
 
-    models = features_of.repartition(blocks).mapInArrow(run, "n long, w array<double>")
-    means = models.select("n", F.posexplode("w").alias("place", "w")).groupBy("place").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w"))
+    models = dealt(features_of, blocks).groupBy("block").applyInArrow(run, "n long, w array<double>")
+    weighed = F.sum((F.col("n") * F.col("w")).cast("decimal(38,12)")) / F.sum("n")
+    means = models.select("n", F.posexplode("w").alias("place", "w")).groupBy("place").agg(weighed.cast("double").alias("w"))
     w = [r.w for r in sorted(means.collect())]  # one row a feature
     sent.unpersist()
     return Model(w[-1], np.array(w[:-1])) if w else None
@@ -149,7 +165,7 @@ def averaged(features_of: DataFrame, positive: np.ndarray, prior: float | None,
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, block: int = BLOCK) -> Model:
     """The model, from at most `max_positive` trusted positives, chosen by hashes of their ids, and all of `docs` as unlabelled text.
 
-    The rows are dealt out evenly to blocks of about `block`; the risk is minimised on each, and the models are averaged.
+    The rows are dealt out evenly to blocks of about `block`, which their hashes choose; the risk is minimised on each, and the models are averaged.
     """
     known = labelled(labels, "quality")
     seen = known.agg(F.count("*").alias("n"), F.sum("label").alias("positive")).first()
@@ -165,15 +181,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, bl
     return averaged(packed(docs), positive, prior, max(1, -(-docs.count() // block)))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, block: int = BLOCK) -> DataFrame:
     """`docs` without its text and with `score`, the chance that a document is good.
 
     docs: doc_id, text and any other columns; one named score is replaced. labels: doc_id, quality. Null and empty texts
     get a score like others (all shares are 0); with no labelled row every score is 0.5, with no positive one 0. Texts are
     taken whole, however long. Rows that repeat are scored alike and each count as unlabelled; equal scores stay equal. An
-    empty table stays empty. Labels are learned from folds 1 to 4 of the id only.
+    empty table stays empty. Labels are learned from folds 1 to 4 of the id only. Neither the order of the rows nor their
+    partitions change a score.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # some 5 KB
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, block=block))  # some 5 KB
     found, rest = apart(docs, "text")
     found = over_texts(found, "text", lambda texts: {"score": pa.array(np.round(model.value.score(texts), 9), pa.float64())}, "score double")
     return together(found, rest, "score")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.shared import removed, written
+from quern.llm.shared import owned, written
 from quern.sources.tables import table
 
 BLOCK = 256
@@ -143,6 +143,7 @@ def joined(ids: list, vectors: list) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate([np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in vectors])
 
 
+@owned
 def top_k(rows: DataFrame, is_query: str, k: int = 5, chunk: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query with all rows of other ids.
 
@@ -167,10 +168,9 @@ def top_k(rows: DataFrame, is_query: str, k: int = 5, chunk: int = QUERIES) -> D
                     search.add(ids, vectors)
             yield pa.RecordBatch.from_pydict({"query_id": search.ids[search.of], "vec_id": search.found, "score": search.scores})
 
-        best = written(rows.mapInArrow(run, "query_id long, vec_id long, score long"))
+        best = written(rows.mapInArrow(run, "query_id long, vec_id long, score long"), kept=True)
         sent.unpersist()
         found = best if found is None else found.union(best)
-    removed(rows)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.bytesweep import LETTERS, Sweep, chunks
-from quern.llm.shared import apart, fold, labelled, over_texts, together, with_fields, written
+from quern.llm.shared import apart, fold, labelled, over_texts, owned, together, with_fields, written
 from quern.sources.tables import table
 
 ORDER = 5
@@ -185,31 +185,32 @@ def asked_grams(rows: DataFrame) -> DataFrame:
     return rows.select("chunk", "text").mapInArrow(run, "chunk long, gram long")
 
 
-def joined_figures(df: DataFrame, seen: DataFrame, new: DataFrame, limit: int = 1 << 20) -> DataFrame:
+def joined_figures(df: DataFrame, seen: DataFrame, new: DataFrame, limit: int = 1 << 20, kept: bool = False) -> DataFrame:
     """What over_texts() with figures() gives, with tables of any size: each chunk of texts meets the values of its own n-grams.
 
     A chunk asks once for each of its n-grams, so that what is shuffled grows with the texts; requests for a common n-gram
     are dealt out to SALTS keys.
     """
-    rows = written(chunked(df, limit))
+    rows = written(chunked(df, limit), kept)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     asked = asked_grams(rows).withColumn("salt", F.pmod("chunk", F.lit(SALTS)).cast("int")).withColumn("context", F.shiftright("gram", 8))
     of_seen = seen.select("gram", F.col("llr").cast("float").alias("of_seen"), salts)
     of_new = new.select(F.col("gram").alias("context"), F.col("llr").cast("float").alias("of_new"), salts)
     found = asked.join(of_seen.hint("merge"), ["gram", "salt"], "left").join(of_new.hint("merge"), ["context", "salt"], "left")
     found = found.select("chunk", "gram", F.coalesce("of_seen", "of_new").alias("llr")).where("llr is not null")
-    kept = [c for c in df.columns if c != "text"]
+    others = [c for c in df.columns if c != "text"]
     none = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
 
     def run(texts: pa.Table, values: pa.Table) -> pa.Table:
         gram = values.column("gram").to_numpy().astype(np.uint64)
         order = np.argsort(gram)
         x = figures(texts.column("text").to_pylist(), (gram[order], values.column("llr").to_numpy()[order]), none)
-        return pa.table({c: texts.column(c) for c in kept} | {f"x{k}": pa.array(x[:, k], pa.float64()) for k in range(3)})
+        return pa.table({c: texts.column(c) for c in others} | {f"x{k}": pa.array(x[:, k], pa.float64()) for k in range(3)})
 
-    return rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(run, with_fields(rows, kept, FIGURES))
+    return rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(run, with_fields(rows, others, FIGURES))
 
 
+@owned
 def toxicity_scores(docs: DataFrame, labels: DataFrame, most_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """`docs` without its text and with `score`, the chance that a document is toxic, and `llr`, the difference a letter.
 
@@ -219,7 +220,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most_broadcast: int = MA
 
     Tables of more than `most_broadcast` n-grams are not broadcast but joined, with the same scores. Null and empty texts
     have figures of 0 and the score that follows from these. Where labelled rows lack a class, every score is the share
-    of that class. Rows that repeat are scored alike; an empty table stays empty.
+    of that class. Texts are taken whole, however long; equal figures give equal scores. Rows that repeat are scored alike;
+    an empty table stays empty.
     """
     known = written(labelled(labels, "toxic"))
     seen = known.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
@@ -227,19 +229,19 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most_broadcast: int = MA
         share = float((seen.toxic or 0) / max(seen.n, 1))
         found, rest = apart(docs, "text")
         return together(found.withColumn("score", F.lit(share)).withColumn("llr", F.lit(0.0)), rest, "score", "llr")
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).where(F.col("text").isNotNull())
     # labels grow with the documents, so they are not broadcast, however small they are
     learned = known.select("doc_id", "label", (F.col("fold") == 4).alias("late"))
     counted = written(counts(texts.where(fold() > 0).join(learned.hint("merge"), "doc_id")))
     in_all = counted.groupBy("gram").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     early = counted.where("not late").drop("late")
 
-    def measurer(of: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    def measurer(of: DataFrame, kept: bool = False) -> Callable[[DataFrame], DataFrame]:
         """Gives texts their figures by the counts `of`; by a broadcast if there are few n-grams, else by a join, to the same result."""
         seen, new = tables_of(of)
         if of.count() > most_broadcast:  # as many n-grams as `seen` has rows, and no fewer than `new` has
-            seen, new = written(seen), written(new)
-            return lambda df: joined_figures(df, seen, new)
+            seen, new = written(seen, kept), written(new, kept)
+            return lambda df: joined_figures(df, seen, new, kept=kept)
         tables = docs.sparkSession.sparkContext.broadcast([keyed(t) for t in (seen, new)])
 
         def run(texts: list) -> dict:
@@ -253,7 +255,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most_broadcast: int = MA
     def sample(where: str) -> tuple[np.ndarray, np.ndarray]:
         # at most MAX_CALIBRATION ids and labels of some 16 bytes: small enough to broadcast
         chosen = known.where(where).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_CALIBRATION).select("doc_id", "label")
-        rows = measured(texts.join(F.broadcast(chosen), "doc_id")).limit(MAX_CALIBRATION).toArrow()
+        # where ids repeat there are more rows than ids; their hashes say which are taken
+        rows = measured(texts.join(F.broadcast(chosen), "doc_id")).orderBy("h", "doc_id").limit(MAX_CALIBRATION).toArrow()
         return np.column_stack([rows.column(f"x{k}").to_numpy() for k in range(3)]), rows.column("label").to_numpy()
 
     x, y = sample("fold = 4")
@@ -267,7 +270,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most_broadcast: int = MA
     w[0] -= float(w[1:] @ mean)
     score = F.lit(float(w[0])) + sum(F.lit(float(w[k + 1])) * F.col(f"x{k}") for k in range(3))
     found, rest = apart(docs, "text")
-    made = measurer(in_all)(found)
+    made = measurer(in_all, kept=True)(found)
     made = made.select("carried", F.round(1 / (1 + F.exp(-score)), 9).alias("score"), F.col("x0").alias("llr"))
     return together(made, rest, "score", "llr")
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import apart, together, written
+from quern.llm.shared import apart, owned, together, written
 from quern.sources.tables import table
 
 #: (rule, verdict): the host up to the first slash, then the path.
@@ -114,18 +114,20 @@ def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(known, "doc_id").select("host", "bad")
 
 
+@owned
 def judged(pages: DataFrame, labels: DataFrame, rules: tuple = RULES) -> DataFrame:
     """`pages` with host, path, rule, verdict and lower, the bound of the host's reputation (null without any labels).
 
     pages: url and any other columns; those of the names made are replaced. A null url, or one without ://, has an empty host and path, fits no rule
     and is judged by the empty host's reputation. Hosts without labelled pages are judged by their domain, suffix or all
-    pages. Rows that repeat are judged alike; without labels only rules count; an empty table stays empty.
+    pages. Urls are taken whole, however long; of rules of one
+    length the later one wins, and a bound that equals the threshold blocks nothing. Rows that repeat are judged alike; without labels only rules count; an empty table stays empty.
     """
     host, path = host_and_path(F.col("url"))
     pages, rest = apart(pages, "url")
     parted = pages.withColumn("host", host).withColumn("path", path)
     # one row a host; the join on it is split where a host is hot
-    known = written(reputation(parted, outcomes(parted, labels)))
+    known = written(reputation(parted, outcomes(parted, labels)), kept=True)
     found = parted.join(known, "host", "left").withColumn("fits", rule_of(F.col("host"), F.col("path"), rules))
     by_method = F.when(F.col("lower") > THRESHOLD, "block").otherwise("allow")
     found = found.withColumn("rule", F.col("fits.rule")).withColumn("verdict", F.coalesce(F.col("fits.verdict"), by_method))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.shared import apart, owned, together, with_fields, written
+from quern.llm.shared import apart, owned, settled, together, with_fields, written
 from quern.llm.topk import matrix
 from quern.sources.tables import table
 
@@ -277,9 +277,15 @@ def digest(books: np.ndarray) -> str:
 @owned
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query of operator 11."""
-    codes, books = compressed(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
-    found = with_sum(written(codes, kept=True), "label", "error", "label_error")
-    return found.select("vec_id", "code", "error", "label_error", F.lit(digest(books)).alias("codebooks_sha256"))
+    books = []
+
+    def codes() -> DataFrame:
+        found, made = compressed(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+        books.append(made)
+        return found
+
+    found = with_sum(settled(spark, codes, kept=True), "label", "error", "label_error")
+    return found.select("vec_id", "code", "error", "label_error", F.lit(digest(*books)).alias("codebooks_sha256"))
 
 
 def _sql() -> str:

@@ -83,6 +83,24 @@ def test_every_row_is_in_a_block(spark):
     assert quality.packed(docs).count() == len(texts)
 
 
+def test_order_of_rows_changes_no_score(spark):
+    """Several blocks, rows in another order and other partitions, some of them repeated: equal scores."""
+    docs, labels = (table(spark, cases.SF, t) for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").union(docs.select("doc_id", "text").where("doc_id % 7 = 0")).union(docs.select("doc_id", "text").where("doc_id = 3"))
+    other = docs.repartition(7).orderBy(F.xxhash64("text", F.lit(5)))
+    one, two = (cases.sorted_rows(quality.quality_scores(d, labels, block=40)) for d in (docs, other))
+    assert one == two and len({r[1] for r in one}) > 50
+
+
+def test_blocks_are_even(spark):
+    """Every row is in a block; a row that repeats is spread over all of them."""
+    rows = spark.createDataFrame([(i, b"x") for i in range(500)] + [(-1, b"y")] * 700, "h long, x binary")
+    found = quality.dealt(rows, 10).groupBy("block").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("h") == -1, F.col("n"))).alias("same"))
+    found = found.collect()
+    assert len(found) == 10 and sum(r.n for r in found) == 1200 and {r.same for r in found} == {70}
+    assert all(80 < r.n < 170 for r in found)
+
+
 def test_elkan_noto_when_no_negative_is_labelled(spark):
     docs, labels = (table(spark, SF, t) for t in ("documents", "labels"))
     model = quality.fit(docs, labels.where("quality = 1"))

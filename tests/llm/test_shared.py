@@ -1,0 +1,72 @@
+import os
+
+import pytest
+from llm import cases
+from pyspark.sql import functions as F
+
+from quern.llm import registry, shared
+
+
+def folders(spark):
+    path = shared.shared_folder(spark).removeprefix("file://")
+    return {x for x in os.listdir(path) if x.startswith("quern-")}
+
+
+@pytest.mark.parametrize("name", registry.QUERIES)
+def test_tables_left(spark, name):
+    """A query leaves no table but those that its result reads, and these go with clear()."""
+    shared.clear()
+    before = folders(spark)
+    found = registry.QUERIES[name](spark, cases.SF)
+    left = folders(spark) - before
+    read = {part for f in found.inputFiles() for part in f.split("/") if part.startswith("quern-")}
+    assert left == read
+    found.write.format("noop").mode("overwrite").save()
+    shared.clear()
+    assert folders(spark) == before
+
+
+def test_failure_leaves_nothing(spark):
+    before = folders(spark)
+
+    @shared.owned
+    def fails(df):
+        shared.written(df)
+        shared.written(df, kept=True)
+        shared.settled(spark, lambda: shared.written(df).select(F.lit(1)))
+        raise KeyError("x")
+
+    with pytest.raises(KeyError):
+        fails(spark.range(3))
+    assert folders(spark) == before
+
+
+def test_owners_within_owners(spark):
+    before = folders(spark)
+
+    @shared.owned
+    def inner(df):
+        shared.written(df)
+        return shared.written(df, kept=True)
+
+    @shared.owned
+    def outer(df):
+        return shared.settled(spark, lambda: inner(df).select("id"), kept=True).union(inner(df))
+
+    found = outer(spark.range(3))
+    assert len(folders(spark) - before) == 2 and found.count() == 6
+    shared.clear()
+    assert folders(spark) == before
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    """The shuffle files of a written table are deleted when it is written, and the session's setting stays as it was."""
+    from pathlib import Path
+
+    top = Path(spark.sparkContext._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf()))
+    size = lambda: sum(f.stat().st_size for f in top.rglob("shuffle_*.data"))
+    before = size()
+    setting = spark.conf.get(shared.CLEANUP, None)
+    found = shared.written(spark.range(200_000).select(F.sha2(F.col("id").cast("string"), 256).alias("x"), F.col("id")).groupBy("x").agg(F.max("id")))
+    assert found.count() == 200_000 and spark.conf.get(shared.CLEANUP, None) == setting
+    assert size() - before < 1_000_000

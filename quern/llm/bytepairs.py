@@ -38,8 +38,9 @@ from quern.sources.tables import table
 VOCABULARY = "byte_bpe_50k.json"
 #: Words whose ids a task remembers, and the longest such word.
 REMEMBERED, LONGEST = 400_000, 64
-#: Characters of a text that are cut at once, bytes of words that are merged at once, ids that are decoded at once.
-PIECE, INDEXED, DECODED = 1 << 18, 1 << 20, 1 << 18
+#: Bytes of texts in a chunk, of new words that are indexed at once; characters of a text that are cut at once, words that
+#: are held at once, ids that are decoded at once.
+CHUNK, INDEXED, PIECE, HELD, DECODED = 1 << 22, 1 << 20, 1 << 18, 1 << 19, 1 << 18
 #: Fixed value of the vocabulary's kind: how it cuts a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space below U+0250.
@@ -47,6 +48,8 @@ BLANK = "\t-\r \x85\xa0"
 #: Where a long text may be cut.
 BORDER = re.compile(r"(?<=\S)[ \n]")
 GAP, GONE = -1, -2
+#: From so many places on, numpy merges them.
+MANY = 64
 
 
 class Codec:
@@ -67,6 +70,8 @@ class Codec:
         #: Of each rank the two symbols and what they make; of each pair its rank.
         self.merges = [(vocab[x], vocab[y], vocab[x + y]) for x, y in merges]
         self.ranks = {x << bits | y: rank for rank, (x, y, _) in enumerate(self.merges)}
+        self.pairs = np.array(sorted(self.ranks), np.int64)
+        self.rank_of = np.array([self.ranks[pair] for pair in self.pairs.tolist()], np.int64)
         self.first = np.array([vocab[letters[b]] for b in range(256)], np.int32)
         of_letter = {letter: b for b, letter in letters.items()}
         special = {t["content"]: t["id"] for t in file["added_tokens"]}
@@ -77,7 +82,9 @@ class Codec:
         self.words = regex.compile(low)
         self.beyond = re.compile("[^\x00-\u024f]")
         self.cutter = pre_tokenizers.Split(Regex(PATTERN), "isolated")
+        #: Ids of words met before: lately, and before that.
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merged(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as 32-bit integers."""
@@ -99,9 +106,18 @@ class Codec:
         heapify(heap)
         symbol = array("i", start.tobytes())
         after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        whole = tuple(np.frombuffer(x, np.int32) for x in (symbol, after, before))  # the same numbers, for many places at once
         while heap:
             rank = heappop(heap)
             left, right, new = self.merges[rank]
+            if len(places[rank]) >= MANY and left != right:
+                for made, at in self.applied(np.sort(np.frombuffer(places.pop(rank), np.int32)), left, right, new, *whole):
+                    if made in places:
+                        places[made].frombytes(at)
+                    else:
+                        places[made] = array("i", at)
+                        heappush(heap, made)
+                continue
             for i in sorted(places.pop(rank)):
                 j = after[i]
                 if symbol[i] != left or symbol[j] != right:
@@ -122,6 +138,28 @@ class Codec:
         gaps = np.flatnonzero(left_over == GAP).tolist()
         return [left_over[lo + 1 : hi].tobytes() for lo, hi in zip(gaps[:-1], gaps[1:], strict=True)]
 
+    def applied(self, place: np.ndarray, left: int, right: int, new: int, symbol: np.ndarray, after: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """Merges a pair of unlike symbols at many places; gives the ranks that the neighbours have now, and their places."""
+        then = after[place]
+        there = (symbol[place] == left) & (symbol[then] == right)
+        there[1:] &= place[1:] != place[:-1]
+        place, then = place[there], then[there]
+        symbol[place], symbol[then] = new, GONE
+        following = after[place] = after[then]
+        before[following] = place
+        preceding = before[place]
+        at, x, y = np.concatenate((preceding, place)), np.concatenate((symbol[preceding], symbol[place])), np.concatenate((symbol[place], symbol[following]))
+        pair = np.where((x >= 0) & (y >= 0), x.astype(np.int64) << self.bits | y, -1)
+        found = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        known = self.pairs[found] == pair
+        made, at = self.rank_of[found[known]], at[known]
+        order = np.argsort(made, kind="stable")
+        made, at = made[order], at[order]
+        edges = [0, *(np.flatnonzero(made[1:] != made[:-1]) + 1).tolist(), len(made)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if lo < hi:
+                yield int(made[lo]), at[lo:hi].tobytes()
+
     def cut(self, text: str) -> Iterator[list[str]]:
         """The words of a text without special strings, PIECE characters or so at a time."""
         at = 0
@@ -144,22 +182,23 @@ class Codec:
 
     def encode(self, texts: list) -> list[bytes]:
         """The ids of each whole text, as 32-bit integers."""
-        known = self.known
         out: list[list[bytes]] = []
-        waiting: dict[str, bytes] = {}  # words that a merge is still to come for
+        waiting: set[str] = set()  # words that a merge is still to come for
         open_: list[tuple[int, list[str] | bytes]] = []
         size = 0
 
         def settle() -> None:
             nonlocal size
-            words = list(waiting)
+            known, words = self.known, list(waiting)
             for lo, hi in chunks([len(w) for w in words], INDEXED):
-                waiting.update(zip(words[lo:hi], self.merged([w.encode() for w in words[lo:hi]]), strict=True))
-            for i, words in open_:
-                out[i].append(words if isinstance(words, bytes) else b"".join([known.get(w) or waiting[w] for w in words]))
-            if len(known) + len(waiting) > REMEMBERED:
-                known.clear()
-            known.update((w, ids) for w, ids in waiting.items() if len(w) <= LONGEST)
+                known.update(zip(words[lo:hi], self.merged([w.encode() for w in words[lo:hi]]), strict=True))
+            for i, parts in open_:
+                out[i].append(parts if isinstance(parts, bytes) else b"".join(map(known.__getitem__, parts)))
+            for word in words:
+                if len(word) > LONGEST:
+                    del known[word]
+            if len(known) > REMEMBERED // 2:
+                self.old, self.known = known, {}
             waiting.clear()
             open_.clear()
             size = 0
@@ -168,11 +207,16 @@ class Codec:
             out.append([])
             for words in self.pieces(text):
                 open_.append((i, words))
-                if not isinstance(words, bytes):
-                    waiting.update((w, b"") for w in words if w not in known)
-                    size += sum(map(len, words))
-                    if size >= INDEXED:
-                        settle()
+                if isinstance(words, bytes):
+                    continue
+                for word in set(words).difference(self.known):
+                    if word in self.old:
+                        self.known[word] = self.old[word]
+                    else:
+                        waiting.add(word)
+                size += len(words)
+                if size >= HELD:
+                    settle()
         settle()
         return [b"".join(parts) for parts in out]
 
@@ -206,7 +250,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
         return {"n_tokens": pa.array(sizes), "ids": ids}
 
-    return together(over_texts(found, "text", run, "n_tokens long, ids array<int>"), rest, "n_tokens", "ids")
+    return together(over_texts(found, "text", run, "n_tokens long, ids array<int>", CHUNK), rest, "n_tokens", "ids")
 
 
 def over_ids(df: DataFrame, fn, name: str, kept: list[str]) -> DataFrame:

@@ -54,6 +54,7 @@ def test_low_code_points_in_pairs():
 def test_long_texts_are_cut_where_words_end(monkeypatch):
     monkeypatch.setattr(bytepairs, "PIECE", 7)
     monkeypatch.setattr(bytepairs, "INDEXED", 50)
+    monkeypatch.setattr(bytepairs, "HELD", 20)
     monkeypatch.setattr(bytepairs, "DECODED", 3)
     rnd = random.Random(5)
     codec = bytepairs.Codec(PATH)
@@ -71,6 +72,15 @@ def test_long_words():
         assert encode(texts) == library(texts)
 
 
+@pytest.mark.parametrize("many", [1, 3, 1 << 30])
+def test_many_places_at_once(monkeypatch, many):
+    """Merging by numpy, or place by place, or both: the same."""
+    monkeypatch.setattr(bytepairs, "MANY", many)
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("abcdeinrst ") for _ in range(n)) for n in (3, 50, 500, 5000)] + ["inininin the the" * 50, "abababab" * 99]
+    assert encode(texts, bytepairs.Codec(PATH)) == library(texts)
+
+
 def test_words_are_remembered_within_bounds(monkeypatch):
     monkeypatch.setattr(bytepairs, "REMEMBERED", 10)
     codec = bytepairs.Codec(PATH)

@@ -63,6 +63,8 @@ OPEN, GOES, FORM, INSIDE, EMPTY = range(5)
 ROOT = 0
 #: Each node of a site's tree is in so many copies when pages look up their own.
 SALTS = 8
+#: Low nodes of all sites that are broadcast at most, some 100 bytes each; beyond, pages meet their own in joins.
+MAX_BROADCAST = 300_000
 
 #: Attributes that are looked at.
 WANTED = frozenset(("class", "id", "role", "hidden", "style"))
@@ -335,12 +337,16 @@ PARSED = "nodes array<struct<key:long,look:long,content:long,inside:boolean>>, k
 SKELETON = ("keys", "above", "says", "of", "texts")
 
 
-def parsed(htmls: list) -> dict:
-    """Columns PARSED of each page."""
+def parsed(htmls: list, meanings: bool = True) -> dict:
+    """Columns PARSED of each page. With `meanings`, text that goes by what HTML says is left out of its pieces."""
     pages = list(map(Page, htmls))
+    nodes = [p.nodes() for p in pages]
+    if meanings:
+        for p in pages:
+            p.pieces = [piece for piece in p.pieces if p.says[piece[0]] not in (GOES, FORM)]
     node = pa.struct([("key", pa.int64()), ("look", pa.int64()), ("content", pa.int64()), ("inside", pa.bool_())])
     return {
-        "nodes": pa.array([p.nodes() for p in pages], pa.list_(node)),
+        "nodes": pa.array(nodes, pa.list_(node)),
         "keys": pa.array([p.keys for p in pages], pa.list_(pa.int64())),
         "above": pa.array([p.above for p in pages], pa.list_(pa.int32())),
         "says": pa.array([p.says for p in pages], pa.list_(pa.int8())),
@@ -382,36 +388,45 @@ def host_of(url):
 
 
 @owned
-def extracted(pages: DataFrame, meanings: bool = True, trees: bool = True) -> DataFrame:
+def extracted(pages: DataFrame, meanings: bool = True, trees: bool = True, most_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """`pages` without html and with text, the main text, and n_chars, its code points.
 
     pages: url, html and any other columns; those of the names made are replaced. A null or empty html gives an empty text.
     A null url is of the empty host; urls and pages are taken whole, however long or deep. Equal pages of a host count as one
     for its tree, and give the same text. Of a repeated attribute the first counts; nodes of equal importance are judged
-    alike. An empty table stays empty. With meanings=False only the tree decides, but for what never is text; with
+    alike. An empty table stays empty. More than `most_broadcast` low nodes are not broadcast but joined, to the same result. With meanings=False only the tree decides, but for what never is text; with
     trees=False only what HTML says.
     """
     pages, rest = apart(pages, "url", "html")
     hosted = pages.withColumn("host", host_of(F.col("url"))).withColumn("page", F.xxhash64("host", "html"))
     # each page is parsed once
-    found = written(over_texts(hosted, "html", parsed, PARSED), kept=True)
+    found = written(over_texts(hosted, "html", lambda htmls: parsed(htmls, meanings), PARSED), kept=True)
     kept = ["url", "carried"]
+    joined = found.select(*kept, "host", F.array().cast("array<long>").alias("low"), *SKELETON)
+    lows: dict[str, frozenset] = {}
     if trees:
         of_pages = written(page_nodes(found))
-        low = low_nodes(style_tree(of_pages), meanings).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        # a page's own low nodes: no more than it has; a large site's nodes go to several tasks
-        salted = of_pages.select("site", "page", "key").withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int"))
-        low = salted.join(low, ["site", "key", "salt"]).groupBy("page").agg(F.collect_set("key").alias("low"))
-        joined = found.join(written(low, kept=True), "page", "left").select(*kept, "low", *SKELETON)
-    else:
-        joined = found.select(*kept, F.array().cast("array<long>").alias("low"), *SKELETON)
+        low = written(low_nodes(style_tree(of_pages), meanings))
+        if low.count() <= most_broadcast:
+            for row in low.groupBy("site").agg(F.collect_set("key").alias("keys")).collect():
+                lows[row.site] = frozenset(row["keys"])
+        else:
+            low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            # a page's own low nodes: no more than it has; a large site's nodes go to several tasks
+            salted = of_pages.select("site", "page", "key").withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int"))
+            low = written(salted.join(low.hint("merge"), ["site", "key", "salt"]).groupBy("page").agg(F.collect_set("key").alias("low")), kept=True)
+            joined = found.join(low.hint("merge"), "page", "left").select(*kept, "host", "low", *SKELETON)
+    sent = pages.sparkSession.sparkContext.broadcast(lows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_site, none = sent.value, frozenset()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                rows = zip(*(part.column(c).to_pylist() for c in (*SKELETON, "low")), strict=True)
-                text = [main_text(*skeleton, set(low or ()), meanings) for *skeleton, low in rows]
+                text = []
+                for host, low, *skeleton in zip(*(part.column(c).to_pylist() for c in ("host", "low", *SKELETON)), strict=True):
+                    of_its_host, of_domain = of_site.get(host, none), of_site.get(".".join(host.split(".")[-2:]), none)
+                    text.append(main_text(*skeleton, {k for k in skeleton[0] if k in of_its_host or k in of_domain}.union(low or ()), meanings))
                 yield pa.RecordBatch.from_pydict({c: part.column(c) for c in kept} | {"text": pa.array(text, pa.string())})
 
     made = joined.mapInArrow(run, with_fields(joined, kept, "text string")).withColumn("n_chars", F.length("text").cast("long"))

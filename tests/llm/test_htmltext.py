@@ -53,6 +53,15 @@ def test_tree_of_the_domain(spark):
     assert found == [f"story {chr(97 + i)}" for i in range(20)]
 
 
+def test_joined_and_broadcast_nodes_agree(spark):
+    for sf in (cases.SF, "/root/testdata/sf0.01"):
+        for meanings in (True, False):
+            one, two = (htmltext.extracted(table(spark, sf, "pages"), meanings, most_broadcast=n) for n in (0, 10**6))
+            assert cases.sorted_rows(one) == cases.sorted_rows(two)
+    rows = [(f"http://h{i % 3}.site.org/", f"<div class=zq>One template for all of them</div><div class=x>story {chr(97 + i)}</div>") for i in range(20)]
+    assert [r.text for r in htmltext.extracted(pages(spark, rows), most_broadcast=0).orderBy("page_id").collect()] == [f"story {chr(97 + i)}" for i in range(20)]
+
+
 def test_tree_alone(spark):
     """With the lists off, the tree alone finds the article on most pages."""
     made = htmltext.extracted(table(spark, "/root/testdata/sf0.1", "pages"), meanings=False).select("page_id", "text")

@@ -126,15 +126,20 @@ def copies(items: DataFrame, share: Column) -> DataFrame:
     return split.join(rounded(open_).hint("merge"), "key", "left").withColumn("copies", (F.col("whole") + F.coalesce(F.col("take").cast("int"), F.lit(0))).cast("int")).drop("share", "whole", "p", "take")
 
 
+def compared(docs: DataFrame) -> list[str]:
+    """The columns that rows are compared by: all that Spark hashes, so none with maps."""
+    return [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+
+
 def sized(docs: DataFrame, *kept: Column) -> DataFrame:
     """doc_id, source, size (words of the text) and variant, with what is kept. Rows alike in all columns share a variant.
 
     Columns with maps, which Spark does not hash, are left out of that comparison.
     """
-    compared = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    columns = [F.col(f"`{c}`") for c in compared(docs)]
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
     who = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    variant = F.concat_ws(":", who, F.xxhash64(*compared), F.hash(*compared))
+    variant = F.concat_ws(":", who, F.xxhash64(*columns), F.hash(*columns))
     return docs.select(*kept, "doc_id", "source", size.alias("size"), variant.alias("variant"))
 
 

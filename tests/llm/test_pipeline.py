@@ -70,6 +70,34 @@ def test_odd_rows(spark, name, stage):
         assert ids(out.where("doc_id is not null")) == [1, 2, 3, 4, 5, 7, 8] and out.where("doc_id is null").count() == 1
 
 
+@pytest.mark.parametrize("name,stage", p.STAGES)
+def test_map_and_array_columns(spark, name, stage):
+    """Columns that Spark does not hash or order, with ids that repeat."""
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, words), (1, words + " more"), (1, words), (2, None), (2, ""), (None, "a b c d e f"), (None, "a b c d e f")]
+    docs = cases.docs(spark, rows).withColumn("m", F.create_map(F.lit("k"), F.col("text"))).withColumn("a", F.array("text", "lang")).withColumn("s", F.struct(F.col("m").alias("in"), "doc_id"))
+    out = stage(spark, docs, cases.SF)
+    assert set(docs.columns) <= set(out.columns)
+    found = out.collect()
+    assert len(found) <= 3 * len(rows) and all(r.m == {"k": r.text} or name == "line dedup" for r in found)
+    if name == "MinHash near-dedup":
+        assert sorted((r.doc_id or 0, r.text or "") for r in found)[1:] == [(1, next(r.text for r in found if r.doc_id == 1)), (2, ""), (2, "")]
+
+
+def test_run_leaves_only_what_its_result_reads(spark):
+    import os
+
+    from quern.llm import shared
+
+    shared.clear()
+    path = shared.shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(path))
+    out = p.run(spark, cases.SF)
+    read = {part for f in out.inputFiles() for part in f.split("/") if part.startswith("quern-")}
+    assert {x for x in set(os.listdir(path)) - before if x.startswith("quern-")} == read
+    shared.clear()
+
+
 def test_near_duplicates_by_row(spark):
     """One row of each class stays: of repeated rows, of null ids, of an id with several texts."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, linededup, mixing, neardup, quality
-from quern.llm.shared import ready, removed, written
+from quern.llm.shared import owned, ready, removed, settled, written
 from quern.sources.tables import table
 
 
@@ -22,6 +22,7 @@ def whole(docs: DataFrame, *needed: str) -> DataFrame:
     return docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
 
 
+@owned
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; null and empty texts are judged like others, rows that repeat alike.
 
@@ -31,6 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return scored.where(F.col("score") >= quality.THRESHOLD).select("whole.*")
 
 
+@owned
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go, from all documents but the first; documents that this leaves without text go too.
 
@@ -45,26 +47,31 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return found.select(*[made[c].alias(c) for c in docs.columns])
 
 
+@owned
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates one row stays, of the smallest id; null ids come behind all others.
 
     Documents without words are like nothing and stay. Rows that share an id are one document; of those with words that
-    are kept, the one of the smallest hash stays. An empty table stays empty.
+    are kept, the one of the smallest hash stays, which maps do not enter. Texts are compared whole, however long. An empty
+    table stays empty.
     """
     null_id = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)  # the same for rows of one text
     rows = whole(docs, "doc_id", "text").withColumn("who", F.coalesce(F.col("doc_id"), null_id)).drop("doc_id")
-    found = written(neardup.near_duplicates(rows.select(F.col("who").alias("doc_id"), "text")).select("doc_id", "n_shingles", "kept"))
+    texts = rows.select(F.col("who").alias("doc_id"), "text")
+    found = settled(spark, lambda: neardup.near_duplicates(texts).select("doc_id", "n_shingles", "kept"), kept=True)
     gone = found.where("not kept").select(F.col("doc_id").alias("who")).distinct()
     left = rows.join(gone.hint("merge"), "who", "left_anti")  # not broadcast: ids that grow with the documents
     again = found.where("kept and n_shingles > 0").groupBy(F.col("doc_id").alias("who")).agg(F.count("*").alias("n")).where("n > 1").select("who", F.lit(True).alias("again"))
     if not again.isEmpty():
-        again = written(again)
+        again = written(again, kept=True)
         marked = left.join(again.hint("merge"), "who", "left").withColumn("again", F.col("again").isNotNull() & F.col("text").rlike(HAS_WORDS))
-        one = marked.where("again").groupBy("who").agg(F.min_by("whole", F.xxhash64("text", "whole")).alias("whole"))
+        of_row = F.xxhash64("text", *[F.col(f"whole.`{c}`") for c in mixing.compared(docs)])
+        one = marked.where("again").groupBy("who").agg(F.min_by("whole", of_row).alias("whole"))
         left = marked.where("not again").select("whole").union(one.select("whole"))
     return left.select("whole.*")
 
 
+@owned
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; null and empty texts have no words and stay, rows that repeat are judged alike.
 
@@ -74,14 +81,14 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return found.where(~decontaminate.is_contaminated()).select("whole.*")
 
 
+@owned
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with `copies`, how often; sources come near their target weights.
 
-    Null and empty texts have no words; rows of one id are documents of their own. Rows alike in all columns are one text
-    here with their number, and leave as the rows that are taken. An empty table stays empty.
+    Null and empty texts have no words, long ones count whole; rows of one id are documents of their own. Rows alike in all
+    columns but maps are one text here with their number, and leave as the rows that are taken. An empty table stays empty.
     """
-    taken = mixing.mixed(docs).where("copies > 0").groupBy("variant", "copies").agg(F.count("*").alias("n"))
-    taken = written(taken)
+    taken = settled(spark, lambda: mixing.mixed(docs).where("copies > 0").groupBy("variant", "copies").agg(F.count("*").alias("n")), kept=True)
     # one shuffle of the texts, by variant, after equal rows of a task have become one
     texts = mixing.sized(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")).groupBy("variant").agg(F.first("whole").alias("whole"))
     found = mixing.repeated(texts.join(taken.hint("merge"), "variant"), "n", taken.agg(F.max("n")).first()[0] or 0)
@@ -100,14 +107,13 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@owned
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to the table documents."""
     ready(spark)
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        before, docs = docs, stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = written(docs)
-            if name != STAGES[0][0]:
-                removed(before)
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, settled(spark, lambda of=docs, stage=stage: stage(spark, of, sf_dir), kept=i == len(STAGES) - 2)
+        if i:
+            removed(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

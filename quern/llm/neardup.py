@@ -9,8 +9,9 @@ A pair is in one of the M * M tables if and only if it shares a key of U and a k
 candidates come from buckets of U and must share a key of V. No bucket is expanded into all of its pairs. Equal sets are
 one node from the start. In a bucket of U, members are first compared with the smallest one only; a bucket whose members
 these links join into one class needs nothing more. In the others, members outside the largest class are paired with those
-of other classes, if their sizes and a bound from the parities of their shingles' hashes allow a link. Every candidate is
-confirmed on full sets.
+of other classes, if their sizes and a bound from the parities of their shingles' hashes allow a link. Where that would be
+too many tests, the bucket's members are dealt out anew by their rarest shingles, of which linked sets share one. Every
+candidate is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.bytesweep import NOT_SPACE, Sweep, mix, runs
+from quern.llm.bytesweep import NOT_SPACE, Sweep, chunks, mix, runs
 from quern.llm.shared import over_texts, owned, removed, written
 from quern.sources.tables import table
 
@@ -32,6 +34,8 @@ PERCENT = 75
 K, M = 5, 36
 #: Cells of the parity bound, a multiple of 64.
 PARITIES = 1024
+#: Tests of pairs that a bucket may need; beyond, its members are dealt out anew. Cells that shingles are counted in then.
+SPLIT, CELLS = 1 << 22, 1 << 20
 
 _rng = np.random.default_rng(20)
 FACTOR = (_rng.integers(0, 1 << 32, 2 * K * M, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -161,6 +165,53 @@ def open_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
 
 
+def rarest(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, class, u): of each member so many of its rarest shingles, as u, that any two sets that may be linked share one.
+
+    Of two linked sets each has PERCENT of its shingles in the other. So if all shingles are put into one order, and the
+    last ones of a set, PERCENT of them less one, are left out, the two share one of those that are left. The order is by
+    how often a shingle's cell occurs among the members, so that what only few of them have comes first. members: id, class.
+    """
+    mine = members.join(sets.select("id", "found"), "id")
+
+    def counted(batches):
+        count = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            sets = batch.column("found")
+            for lo, hi in chunks(pc.binary_length(sets).to_pylist(), 1 << 24):
+                shingles = np.concatenate([np.frombuffer(found.as_buffer(), np.uint64) for found in sets.slice(lo, hi - lo)])
+                count += np.bincount((shingles % CELLS).astype(np.int64), minlength=CELLS)
+        cell = np.flatnonzero(count)
+        yield pa.RecordBatch.from_pydict({"cell": cell, "n": count[cell]})
+
+    seen = mine.select("found").mapInArrow(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+    often = np.zeros(CELLS, np.int64)
+    often[seen.column("cell").to_numpy()] = seen.column("n").to_numpy()
+    sent = members.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches):
+        for batch in batches:
+            for i, found in enumerate(batch.column("found")):
+                shingles = np.frombuffer(found.as_buffer(), np.uint64)
+                n = sent.value[(shingles % CELLS).astype(np.int64)]
+                first = np.lexsort((shingles, n))[: len(shingles) - -(-PERCENT * len(shingles) // 100) + 1]
+                u = shingles[first[n[first] > 1]].astype(np.int64)  # a cell that occurs once is shared with nobody
+                yield pa.RecordBatch.from_pydict({"id": pa.array(np.full(len(u), batch.column("id")[i].as_py())), "class": pa.array(np.full(len(u), batch.column("class")[i].as_py())), "u": u})
+
+    return mine.select("id", "class", "found").mapInArrow(run, "id long, class long, u long")
+
+
+def pairs_of_open(open_u: DataFrame, sets: DataFrame, split: int) -> DataFrame:
+    """The pairs (a, b) of open_pairs(); buckets that would need more than `split` tests go by their members' rarest shingles."""
+    n_other = F.sum((F.col("class") != F.col("main")).cast("long"))
+    large = written(open_u.groupBy("u").agg((F.count("*") * n_other).alias("tests")).where(F.col("tests") > split).select("u"))
+    if large.isEmpty():
+        return open_pairs(open_u, sets)
+    direct = open_pairs(open_u.join(large.hint("merge"), "u", "left_anti"), sets)
+    members = written(open_u.join(large.hint("merge"), "u", "left_semi").select("id", "class").distinct())
+    return direct.union(open_pairs(open_buckets(written(rarest(members, sets))), sets))
+
+
 def classed(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """`rows` with the class of each id, itself where it has no link yet."""
     return rows.join(classes, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
@@ -175,7 +226,7 @@ def meeting(pairs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 @owned
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of `docs`, which has doc_id and text.
 
     A document without words, or with a null text, is linked with nothing. A row with a null id takes no part: its
@@ -207,7 +258,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = written(confirmed(meeting(stars, colliding), sets).union(own))
     classes = components(links)
     open_u = written(open_buckets(classed(in_u.select("id", "u"), classes)))
-    rest = confirmed(meeting(open_pairs(open_u, sets), colliding), sets)
+    rest = confirmed(meeting(pairs_of_open(open_u, sets, split), colliding), sets)
     # classes are links already, of each member with its smallest
     classes = components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).union(rest), kept=True)
     removed(in_u, colliding, sets, links, open_u)

@@ -48,6 +48,38 @@ def test_against_brute_force(spark):
     assert cases.sorted_rows(neardup.near_duplicates(cases.docs(spark, rows))) == sorted(brute(rows), key=lambda r: tuple((True, str(x)) for x in r))
 
 
+def templated(n, seed=1):
+    """Documents of one template, two thirds of their shingles the same, and some copies with a changed word: (id, text)."""
+    rnd = random.Random(seed)
+    frame = " ".join(f"frame{i}" for i in range(200))
+    rows = [(i, f"{frame} " + " ".join(f"own{i}x{j}" for j in range(80))) for i in range(n)]
+    return rows + [(n + i, rows[i][1].replace(f"own{i}x{rnd.randrange(80)}", "other")) for i in range(0, n, 10)]
+
+
+def test_split_buckets_lose_no_link(spark):
+    """Every open bucket is dealt out by rarest shingles: the same classes."""
+    rows = made(4) + [(i + 5000, t) for i, t in templated(60)]
+    docs = cases.docs(spark, rows)
+    whole = cases.sorted_rows(neardup.near_duplicates(docs))
+    assert whole == cases.sorted_rows(neardup.near_duplicates(docs, split=0)) == sorted(brute(rows), key=lambda r: tuple((True, str(x)) for x in r))
+
+
+def test_rarest_shingles_keep_tests_in_proportion(spark):
+    """In a bucket of n classes of one template, tests by the bucket grow with n squared, by rarest shingles with n."""
+
+    def tests(opened):
+        counts = opened.groupBy("u").agg(F.count("*").alias("n"), F.sum((F.col("class") != F.col("main")).cast("int")).alias("other"))
+        return counts.agg(F.sum(F.col("n") * F.col("other"))).first()[0] or 0
+
+    found = []
+    for n in (100, 400):
+        frame = over_texts(spark.createDataFrame(templated(n), "id long, text string"), "text", neardup.full_set, "found binary, size long, " + ", ".join(f"p{i} long" for i in range(16)))
+        members = frame.selectExpr("id", "id as class")
+        found.append((tests(neardup.open_buckets(members.withColumn("u", F.lit(0)))), tests(neardup.open_buckets(neardup.rarest(members, frame)))))
+    (whole_1, rare_1), (whole_4, rare_4) = found
+    assert whole_4 > 15 * whole_1 and rare_4 < 5 * rare_1 and rare_4 < whole_4 / 10
+
+
 def test_bound_loses_no_link(spark):
     """All documents in one bucket, each a class of its own: every link passes the bound, and most other pairs do not."""
     rows = made(5, families=8, size=4)

@@ -32,10 +32,10 @@ DISCOUNT = 0.75
 MAX_CALIBRATION = 20_000
 #: A word counts as clearly toxic above this difference of log-likelihoods.
 CLEAR = 4.0
-#: N-grams whose values are broadcast at most, 12 bytes each; beyond, texts meet their n-grams' values in a join.
+#: N-grams whose values are broadcast at most, 12 bytes each; beyond, chunks of texts ask for the values of their n-grams.
 MAX_BROADCAST = 4_000_000
-#: Each n-gram's value is in so many copies for the join, since common n-grams are asked for by every chunk of texts.
-SALTS = 16
+#: Then: bytes of texts in a chunk, n-grams in a range of the tables, and chunks that one copy of a range answers.
+CHUNK, RANGE, ASKED = 1 << 22, 1 << 20, 256
 FIGURES = "x0 double, x1 double, x2 double"
 
 
@@ -157,57 +157,130 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     return w
 
 
-def chunked(df: DataFrame, limit: int) -> DataFrame:
-    """`df` with `chunk`, the same for texts of about `limit` bytes of one task. To be written: another run may cut elsewhere."""
+def shut(column: pa.Array) -> bytes:
+    """A column in few bytes, for opened()."""
+    batch = pa.record_batch([column], names=["x"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def opened(data: bytes) -> pa.ChunkedArray:
+    return pa.ipc.open_stream(data).read_all().column(0)
+
+
+def packed_chunks(df: DataFrame, limit: int) -> DataFrame:
+    """(chunk, held, texts): a row for about `limit` bytes of texts of one task; held has the other columns. To be written: another run may cut elsewhere."""
+    others = [c for c in df.columns if c != "text"]
+    fields = with_fields(df.select(F.array(F.struct(*others)).alias("held")), ["held"], "chunk long, texts binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo, hi in chunks(pc.binary_length(batch.column("text")).to_pylist(), limit):
                 part = batch.slice(lo, hi - lo)
-                yield part.append_column("chunk", pa.array(np.full(hi - lo, chunk), pa.int64()))
+                rows = pa.StructArray.from_arrays([part.column(c) for c in others], names=others)
+                held = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+                yield pa.RecordBatch.from_pydict({"held": held, "chunk": pa.array([chunk], pa.int64()), "texts": pa.array([shut(part.column("text"))], pa.binary())})
                 chunk += 1
 
-    return df.mapInArrow(run, with_fields(df, df.columns, "chunk long"))
+    return df.select(*others, "text").mapInArrow(run, fields)
 
 
-def asked_grams(rows: DataFrame) -> DataFrame:
-    """(chunk, gram) of the distinct n-grams of each chunk; a chunk that is read in pieces may ask twice."""
+def asked_grams(rows: DataFrame, ranges: int) -> DataFrame:
+    """(range, chunk, grams) of the distinct n-grams of each chunk: steps from one to the next, packed, for each range that has some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chunk = batch.column("chunk").to_numpy()
-            edge = np.flatnonzero(np.diff(chunk)) + 1
-            for lo, hi in zip([0, *edge], [*edge, len(chunk)], strict=True):
-                gram = np.unique(grams(batch.column("text").slice(lo, hi - lo).to_pylist())[0]).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(gram), chunk[lo] if hi > lo else 0), pa.int64()), "gram": gram})
+            for chunk, texts in zip(batch.column("chunk").to_pylist(), batch.column("texts"), strict=True):
+                gram = np.unique(grams(opened(texts.as_buffer()).to_pylist())[0])
+                of = (gram >> np.uint64(8)) % np.uint64(ranges)
+                for r in np.unique(of).tolist():
+                    steps = np.diff(gram[of == r], prepend=np.uint64(0))
+                    yield pa.RecordBatch.from_pydict({"range": [r], "chunk": [chunk], "grams": pa.array([shut(pa.array(steps))], pa.binary())})
+
+    return rows.select("chunk", "texts").mapInArrow(run, "range long, chunk long, grams binary")
+
+
+def ungapped(data: bytes) -> np.ndarray:
+    return np.cumsum(opened(data).to_numpy())
+
+
+def packed_tables(seen: DataFrame, new: DataFrame, ranges: int) -> DataFrame:
+    """(range, keys, values, contexts, lefts): the n-grams of each range of contexts in order with their values, and its contexts with theirs."""
+    both = seen.select(F.pmod(F.shiftright("gram", 8), F.lit(ranges)).alias("range"), F.lit(True).alias("whole"), "gram", F.col("llr").cast("float").alias("llr"))
+    both = both.union(new.select(F.pmod("gram", F.lit(ranges)).alias("range"), F.lit(False), "gram", F.col("llr").cast("float")))
 
-    return rows.select("chunk", "text").mapInArrow(run, "chunk long, gram long")
+    def run(rows: pa.Table) -> pa.Table:
+        out = {"range": pa.array([rows.column("range")[0].as_py()], pa.int64())}
+        for names, kind in ((("keys", "values"), True), (("contexts", "lefts"), False)):
+            mine = rows.filter(pc.equal(rows.column("whole"), kind)).sort_by("gram")
+            out |= {names[0]: pa.array([mine.column("gram").to_numpy().tobytes()]), names[1]: pa.array([mine.column("llr").to_numpy().tobytes()])}
+        return pa.table(out)
 
+    return both.groupBy("range").applyInArrow(run, "range long, keys binary, values binary, contexts binary, lefts binary")
 
-def joined_figures(df: DataFrame, seen: DataFrame, new: DataFrame, limit: int = 1 << 20, kept: bool = False) -> DataFrame:
+
+def answered(asked: DataFrame, tables: DataFrame, salts: int) -> DataFrame:
+    """(chunk, grams, values): the values of what is asked, NaN where there is none.
+
+    A range's tables come first where its requests come together, and are kept while these pass. They are in so many copies
+    that no task has all requests of a range.
+    """
+    blank = F.lit(None).cast("binary")
+    left = tables.select("range", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(-1).cast("long").alias("chunk"), "keys", "values", "contexts", "lefts", blank.alias("grams"))
+    right = asked.select("range", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int"), "chunk", blank, blank, blank, blank, "grams")
+    together_ = left.union(right).repartition("range", "salt").sortWithinPartitions("range", "salt", "chunk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, kept = None, ()
+        for batch in batches:
+            chunk, of = batch.column("chunk").to_pylist(), batch.column("range").to_pylist()
+            for i in range(batch.num_rows):
+                if chunk[i] < 0:
+                    kinds = {"keys": np.uint64, "values": np.float32, "contexts": np.uint64, "lefts": np.float32}
+                    here, kept = of[i], tuple(np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in kinds.items())
+                    continue
+                data = batch.column("grams")[i].as_py()
+                gram = ungapped(data)
+                value = np.full(len(gram), np.nan, np.float32)
+                if here == of[i]:
+                    value = looked_up(gram, *kept[:2])
+                    unseen = np.isnan(value)
+                    value[unseen] = looked_up(gram[unseen] >> np.uint64(8), *kept[2:])
+                yield pa.RecordBatch.from_pydict({"chunk": [chunk[i]], "grams": pa.array([data], pa.binary()), "values": pa.array([value.tobytes()], pa.binary())})
+
+    return together_.drop("salt").mapInArrow(run, "chunk long, grams binary, values binary")
+
+
+def joined_figures(df: DataFrame, seen: DataFrame, new: DataFrame, limit: int = CHUNK, kept: bool = False, in_range: int = RANGE) -> DataFrame:
     """What over_texts() with figures() gives, with tables of any size: each chunk of texts meets the values of its own n-grams.
 
-    A chunk asks once for each of its n-grams, so that what is shuffled grows with the texts; requests for a common n-gram
-    are dealt out to SALTS keys.
+    A chunk asks once for each of its n-grams, packed by ranges of these; a range's tables fit in a task. What is shuffled
+    is the packed texts, once, and the requests and answers, which are small against them.
     """
-    rows = written(chunked(df, limit), kept)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    asked = asked_grams(rows).withColumn("salt", F.pmod("chunk", F.lit(SALTS)).cast("int")).withColumn("context", F.shiftright("gram", 8))
-    of_seen = seen.select("gram", F.col("llr").cast("float").alias("of_seen"), salts)
-    of_new = new.select(F.col("gram").alias("context"), F.col("llr").cast("float").alias("of_new"), salts)
-    found = asked.join(of_seen.hint("merge"), ["gram", "salt"], "left").join(of_new.hint("merge"), ["context", "salt"], "left")
-    found = found.select("chunk", "gram", F.coalesce("of_seen", "of_new").alias("llr")).where("llr is not null")
     others = [c for c in df.columns if c != "text"]
+    rows = written(packed_chunks(df, limit), kept)
+    ranges = max(1, -(-seen.count() // in_range)) | 1  # an odd number, since contexts of one last letter differ by 256
+    salts = max(1, -(-rows.count() // ASKED))
+    replies = written(answered(asked_grams(rows, ranges), packed_tables(seen, new, ranges), salts), kept)
+    got = replies.groupBy("chunk").agg(F.collect_list(F.struct("grams", "values")).alias("got"))  # one for each range at most
+    joined = rows.join(got.hint("merge"), "chunk", "left").select("held", "texts", "got")
     none = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
 
-    def run(texts: pa.Table, values: pa.Table) -> pa.Table:
-        gram = values.column("gram").to_numpy().astype(np.uint64)
-        order = np.argsort(gram)
-        x = figures(texts.column("text").to_pylist(), (gram[order], values.column("llr").to_numpy()[order]), none)
-        return pa.table({c: texts.column(c) for c in others} | {f"x{k}": pa.array(x[:, k], pa.float64()) for k in range(3)})
-
-    return rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(run, with_fields(rows, others, FIGURES))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                parts = batch.column("got")[i].as_py() or []
+                gram = np.concatenate([none[0], *(ungapped(p["grams"]) for p in parts)])
+                value = np.concatenate([none[1], *(np.frombuffer(p["values"], np.float32) for p in parts)])
+                order = np.argsort(gram)
+                x = figures(opened(batch.column("texts")[i].as_buffer()).to_pylist(), (gram[order], value[order]), none)
+                held = batch.column("held")[i].values
+                yield pa.RecordBatch.from_pydict({c: held.field(c) for c in others} | {f"x{k}": pa.array(x[:, k], pa.float64()) for k in range(3)})
+
+    return joined.mapInArrow(run, with_fields(df, others, FIGURES))
 
 
 @owned

@@ -197,13 +197,15 @@ def test_joined_figures_are_the_broadcast_ones(spark):
     assert toxicity.toxicity_scores(docs.limit(0), labels, 0).count() == 0
 
 
-def test_joined_figures_of_small_chunks(spark):
+def test_joined_figures_of_small_chunks(spark, monkeypatch):
     """Chunks of a few bytes, and a hot text, give the figures of one table that holds all."""
     frame = spark.createDataFrame([("you fool", 1), ("fine day", 0), ("foolish fine day", 1)], "text string, label int").withColumn("late", F.lit(False))
     seen, new = toxicity.tables_of(toxicity.counts(frame).drop("late"))
     texts = ["you fool"] * 50 + ["a foolish day", "", None, "unheard zzz"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = toxicity.figures(texts, toxicity.keyed(seen), toxicity.keyed(new))
-    got = sorted(tuple(r) for r in toxicity.joined_figures(docs, seen, new, limit=10).collect())
-    assert [r[0] for r in got] == list(range(len(texts)))
-    assert np.array([r[1:] for r in got]) == pytest.approx(want, abs=1e-6)
+    for limit, in_range, asked in ((10, 1 << 20, 256), (10, 7, 3), (1 << 20, 7, 256)):
+        monkeypatch.setattr(toxicity, "ASKED", asked)
+        got = sorted(tuple(r) for r in toxicity.joined_figures(docs, seen, new, limit=limit, in_range=in_range).collect())
+        assert [r[0] for r in got] == list(range(len(texts)))
+        assert np.array([r[1:] for r in got]) == pytest.approx(want, abs=1e-6)

@@ -1,6 +1,9 @@
+import random
 import re
+import struct
 
 import pytest
+import xxhash
 from llm import cases
 from pyspark.sql import functions as F
 
@@ -49,6 +52,41 @@ def test_every_source_meets_its_target(spark):
     assert cases.sorted_rows(mixing.op6_mix(spark, sf)) == cases.sorted_rows(found)
 
 
+def plain_fold(items):
+    """The open item and the decisions of a group, from the method's own words. items: (id, size, p), in order."""
+
+    def draw(*ids):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", mixing.SEED), 42)
+        for i in ids:
+            h = xxhash.xxh64_intdigest(i.encode(), h)
+        return h % (1 << 52) / (1 << 52)
+
+    open_, done = None, []
+    for b in items:
+        now = [b] if open_ is None else [open_, b]
+        if open_ is not None:
+            (a, size_a, p_a), (b, size_b, p_b) = now
+            to_a, to_b = min((1 - p_a) * size_a, p_b * size_b), min(p_a * size_a, (1 - p_b) * size_b)
+            moved = to_a if draw(a, b) * (to_a + to_b) < to_b else -to_b
+            now, open_ = [(a, size_a, p_a + moved / size_a), (b, size_b, p_b - moved / size_b)], None
+        for i, size, p in now:
+            if open_ is not None or p < 1e-9 or p > 1 - 1e-9:
+                done.append((i, p > 0.5))
+            else:
+                open_ = (i, size, p)
+    return open_, done
+
+
+def test_fold_against_a_plain_one(spark):
+    rnd = random.Random(11)
+    groups = {g: sorted((f"{g}:{i}", float(rnd.randrange(1, 60)), rnd.choice([0.25, 0.5, 0.75, rnd.random() * 0.98 + 0.01])) for i in range(rnd.randrange(1, 40))) for g in range(40)}
+    frame = spark.createDataFrame([(g, items) for g, items in groups.items()], "g int, items array<struct<id:string,size:double,p:double>>")
+    for r in frame.select("g", mixing.folded(F.col("items")).alias("s")).collect():
+        open_, done = plain_fold(groups[r.g])
+        assert [tuple(d) for d in r.s.done] == done
+        assert (r.s.open is None) == (open_ is None) and (open_ is None or (r.s.open.id == open_[0] and r.s.open.p == pytest.approx(open_[2])))
+
+
 def test_rounding_keeps_expectation_and_words(spark):
     """Over many groups of their own, the share of documents taken is near p, and each group's words near their sum."""
     rows = [(f"s{s}", f"{s}:{i}", float(1 + (i * 7) % 13), 0.3) for s in range(300) for i in range(25)]

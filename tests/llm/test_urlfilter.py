@@ -19,6 +19,14 @@ def test_rules(spark):
     assert (found[9].host, found[9].path) == ("h:80", "") and (found[10].host, found[10].path) == ("b:", "//c/d")
 
 
+def test_long_urls(spark):
+    """Hosts and paths of a megabyte are taken whole."""
+    host, path = "A" * 500_000 + ".example.net", "/en/" + "x/" * 250_000
+    found = judged(spark, [f"http://{host}{path}?q", "http://" + "/" * 10**6, "x" * 10**6])
+    assert (found[0].host, found[0].path, found[0].rule) == (host.lower(), path, "example.net/en/")
+    assert (found[1].host, found[1].path) == ("", "/" * 10**6) and found[2].host == ""
+
+
 def test_reputation(spark):
     """A host with bad pages only is blocked, one like it with few pages is drawn to its domain, a good one is allowed."""
     urls = [f"http://bad.one.com/{i}" for i in range(40)] + [f"http://good.two.com/{i}" for i in range(40, 80)] + ["http://new.two.com/80", "http://unseen.com/x"]

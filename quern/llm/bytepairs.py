@@ -52,12 +52,30 @@ GAP, GONE = -1, -2
 MANY = 64
 
 
-class Codec:
-    """encode(texts), decode(ids) by a vocabulary file."""
+class Decoder:
+    """decode(ids) by a vocabulary file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            file = json.load(f)
+            self.read(path, json.load(f))
+
+    def read(self, path: str, file: dict) -> None:
+        of_letter = {letter: b for b, letter in byte_letters().items()}
+        self.raw = {i: bytes(map(of_letter.__getitem__, token)) for token, i in file["model"]["vocab"].items()}
+        self.raw |= {t["id"]: t["content"].encode() for t in file["added_tokens"]}
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of some ids; unknown ids give nothing, bytes that are no UTF-8 the replacement character."""
+        get = self.raw.get
+        parts = [b"".join([get(i, b"") for i in ids[lo : lo + DECODED].tolist()]) for lo in range(0, len(ids), DECODED)]
+        return b"".join(parts).decode("utf-8", "replace")
+
+
+class Codec(Decoder):
+    """encode(texts), decode(ids) by a vocabulary file."""
+
+    def read(self, path: str, file: dict) -> None:
+        super().read(path, file)
         vocab = file["model"]["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in file["model"]["merges"]]
         letters = byte_letters()
@@ -73,9 +91,7 @@ class Codec:
         self.pairs = np.array(sorted(self.ranks), np.int64)
         self.rank_of = np.array([self.ranks[pair] for pair in self.pairs.tolist()], np.int64)
         self.first = np.array([vocab[letters[b]] for b in range(256)], np.int32)
-        of_letter = {letter: b for b, letter in letters.items()}
         special = {t["content"]: t["id"] for t in file["added_tokens"]}
-        self.raw = {i: bytes(map(of_letter.__getitem__, token)) for token, i in vocab.items()} | {i: s.encode() for s, i in special.items()}
         self.special = {s: array("i", [i]).tobytes() for s, i in special.items()}
         self.parts = re.compile("|".join(map(re.escape, special))) if special else None
         low = PATTERN.replace(r"\s+(?!\S)|\s+", f"[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+").replace(r"[^\s\p{L}\p{N}]", rf"[^{BLANK}\p{{L}}\p{{N}}]")
@@ -220,12 +236,6 @@ class Codec:
         settle()
         return [b"".join(parts) for parts in out]
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of some ids; unknown ids give nothing, bytes that are no UTF-8 the replacement character."""
-        get = self.raw.get
-        parts = [b"".join([get(i, b"") for i in ids[lo : lo + DECODED].tolist()]) for lo in range(0, len(ids), DECODED)]
-        return b"".join(parts).decode("utf-8", "replace")
-
 
 @lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
@@ -233,6 +243,11 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@lru_cache(maxsize=1)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """`docs` without its text and with n_tokens and ids, an array of the whole text's tokens.
 
@@ -270,7 +285,7 @@ def over_ids(df: DataFrame, fn, name: str, kept: list[str]) -> DataFrame:
 def decoded(rows: DataFrame, path: str) -> DataFrame:
     """`rows` with text, what their ids stand for; null ids give an empty text, ids that the vocabulary lacks nothing."""
     found, rest = apart(rows, "ids")
-    return together(over_ids(found, lambda ids: codec(path).decode(ids), "text", ["carried", "ids"]), rest, "ids", "text")
+    return together(over_ids(found, lambda ids: decoder(path).decode(ids), "text", ["carried", "ids"]), rest, "ids", "text")
 
 
 def with_digest(rows: DataFrame) -> DataFrame:

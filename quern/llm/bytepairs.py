@@ -253,7 +253,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     docs: text and any other columns; those of the names made are replaced. A null text counts as an empty one, which has no
     token. Special strings in a text are tokens of their own, as is the library's default. Texts are taken whole, however
-    long; one that has no white space needs some 40 bytes a byte. Of one pair the leftmost place merges first. Rows that
+    long; one that has no white space needs some 55 bytes a byte. Of one pair the leftmost place merges first. Rows that
     repeat are encoded alike; an empty table stays empty. path: the vocabulary file, which each executor has.
     """
     found, rest = apart(docs, "text")

@@ -36,6 +36,8 @@ CLEAR = 4.0
 MAX_BROADCAST = 4_000_000
 #: Then: bytes of texts in a chunk, n-grams in a range of the tables, and chunks that one copy of a range answers.
 CHUNK, RANGE, ASKED = 1 << 22, 1 << 20, 256
+#: Level of compression of packed texts, which are on disk twice, as a table and in a shuffle.
+LEVEL = 5
 FIGURES = "x0 double, x1 double, x2 double"
 
 
@@ -157,11 +159,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     return w
 
 
-def shut(column: pa.Array) -> bytes:
+def shut(column: pa.Array, level: int = 1) -> bytes:
     """A column in few bytes, for opened()."""
     batch = pa.record_batch([column], names=["x"])
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -182,20 +184,25 @@ def packed_chunks(df: DataFrame, limit: int) -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 rows = pa.StructArray.from_arrays([part.column(c) for c in others], names=others)
                 held = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-                yield pa.RecordBatch.from_pydict({"held": held, "chunk": pa.array([chunk], pa.int64()), "texts": pa.array([shut(part.column("text"))], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"held": held, "chunk": pa.array([chunk], pa.int64()), "texts": pa.array([shut(part.column("text"), LEVEL)], pa.binary())})
                 chunk += 1
 
     return df.select(*others, "text").mapInArrow(run, fields)
 
 
+def ranged(texts: list, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a chunk's texts, in order, and the range of the tables that each is in."""
+    gram = np.unique(grams(texts)[0])
+    return gram, (gram >> np.uint64(8)) % np.uint64(ranges)
+
+
 def asked_grams(rows: DataFrame, ranges: int) -> DataFrame:
     """(range, chunk, grams) of the distinct n-grams of each chunk: steps from one to the next, packed, for each range that has some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, texts in zip(batch.column("chunk").to_pylist(), batch.column("texts"), strict=True):
-                gram = np.unique(grams(opened(texts.as_buffer()).to_pylist())[0])
-                of = (gram >> np.uint64(8)) % np.uint64(ranges)
+                gram, of = ranged(opened(texts.as_buffer()).to_pylist(), ranges)
                 for r in np.unique(of).tolist():
                     steps = np.diff(gram[of == r], prepend=np.uint64(0))
                     yield pa.RecordBatch.from_pydict({"range": [r], "chunk": [chunk], "grams": pa.array([shut(pa.array(steps))], pa.binary())})
@@ -223,7 +230,7 @@ def packed_tables(seen: DataFrame, new: DataFrame, ranges: int) -> DataFrame:
 
 
 def answered(asked: DataFrame, tables: DataFrame, salts: int) -> DataFrame:
-    """(chunk, grams, values): the values of what is asked, NaN where there is none.
+    """(chunk, range, values): the values of what is asked, in its order, NaN where there is none.
 
     A range's tables come first where its requests come together, and are kept while these pass. They are in so many copies
     that no task has all requests of a range.
@@ -242,41 +249,42 @@ def answered(asked: DataFrame, tables: DataFrame, salts: int) -> DataFrame:
                     kinds = {"keys": np.uint64, "values": np.float32, "contexts": np.uint64, "lefts": np.float32}
                     here, kept = of[i], tuple(np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in kinds.items())
                     continue
-                data = batch.column("grams")[i].as_py()
-                gram = ungapped(data)
+                gram = ungapped(batch.column("grams")[i].as_py())
                 value = np.full(len(gram), np.nan, np.float32)
                 if here == of[i]:
                     value = looked_up(gram, *kept[:2])
                     unseen = np.isnan(value)
                     value[unseen] = looked_up(gram[unseen] >> np.uint64(8), *kept[2:])
-                yield pa.RecordBatch.from_pydict({"chunk": [chunk[i]], "grams": pa.array([data], pa.binary()), "values": pa.array([value.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"chunk": [chunk[i]], "range": [of[i]], "values": pa.array([value.tobytes()], pa.binary())})
 
-    return together_.drop("salt").mapInArrow(run, "chunk long, grams binary, values binary")
+    return together_.drop("salt").mapInArrow(run, "chunk long, range long, values binary")
 
 
 def joined_figures(df: DataFrame, seen: DataFrame, new: DataFrame, limit: int = CHUNK, kept: bool = False, in_range: int = RANGE) -> DataFrame:
     """What over_texts() with figures() gives, with tables of any size: each chunk of texts meets the values of its own n-grams.
 
     A chunk asks once for each of its n-grams, packed by ranges of these; a range's tables fit in a task. What is shuffled
-    is the packed texts, once, and the requests and answers, which are small against them.
+    is the packed texts, once, and the requests and answers, which are small against them. Answers are bare values: a chunk
+    finds its n-grams again in the order in which it asked.
     """
     others = [c for c in df.columns if c != "text"]
     rows = written(packed_chunks(df, limit), kept)
     ranges = max(1, -(-seen.count() // in_range)) | 1  # an odd number, since contexts of one last letter differ by 256
     salts = max(1, -(-rows.count() // ASKED))
-    replies = written(answered(asked_grams(rows, ranges), packed_tables(seen, new, ranges), salts), kept)
-    got = replies.groupBy("chunk").agg(F.collect_list(F.struct("grams", "values")).alias("got"))  # one for each range at most
+    replies = answered(asked_grams(rows, ranges), packed_tables(seen, new, ranges), salts)
+    got = replies.groupBy("chunk").agg(F.collect_list(F.struct("range", "values")).alias("got"))  # one for each range at most
     joined = rows.join(got.hint("merge"), "chunk", "left").select("held", "texts", "got")
     none = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                parts = batch.column("got")[i].as_py() or []
-                gram = np.concatenate([none[0], *(ungapped(p["grams"]) for p in parts)])
-                value = np.concatenate([none[1], *(np.frombuffer(p["values"], np.float32) for p in parts)])
-                order = np.argsort(gram)
-                x = figures(opened(batch.column("texts")[i].as_buffer()).to_pylist(), (gram[order], value[order]), none)
+                texts = opened(batch.column("texts")[i].as_buffer()).to_pylist()
+                gram, of = ranged(texts, ranges)
+                value = np.full(len(gram), np.nan, np.float32)
+                for part in batch.column("got")[i].as_py() or []:
+                    value[of == part["range"]] = np.frombuffer(part["values"], np.float32)
+                x = figures(texts, (gram, value), none)
                 held = batch.column("held")[i].values
                 yield pa.RecordBatch.from_pydict({c: held.field(c) for c in others} | {f"x{k}": pa.array(x[:, k], pa.float64()) for k in range(3)})
 

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -132,3 +134,53 @@ def test_odd_rows(spark):
     assert bytepairs.decoded(bytepairs.encoded(cases.docs(spark, []), PATH), PATH).count() == 0
     odd = spark.createDataFrame([(1, None, "x"), (2, [64, None, -5, 10**6, 65], "y")], "a int, ids array<int>, text string")
     assert [(r.a, r.text) for r in bytepairs.decoded(odd, PATH).orderBy("a").collect()] == [(1, ""), (2, LIBRARY.decode([64, 65]))]
+
+
+@pytest.mark.parametrize("letters", ["ab", "aetinosr", "abcdefghijklmnopqrstuvwxyz", "漢字仮名", "йцукен", "=", "-=", "0123456789", " ", "a漢é"])
+def test_words_beyond_a_window(monkeypatch, letters):
+    monkeypatch.setattr(bytepairs, "OVERLAP", 8)
+    rnd = random.Random(6)
+    codec = bytepairs.Codec(PATH)
+    for n in (60, 65, 300, 5_000):
+        text = "".join(rnd.choice(letters) for _ in range(n))
+        whole = codec.merged([text.encode()])[0]
+        for window in (16, 64, 257):
+            assert codec.long(text.encode(), window) == whole
+
+
+def test_words_that_repeat_one_thing_beyond_a_window(monkeypatch):
+    monkeypatch.setattr(bytepairs, "OVERLAP", 8)
+    codec = bytepairs.Codec(PATH)
+    for unit in ("a", "the", "ation", "=", "-=-", "漢", "0"):
+        for n in (100, 1_001):
+            assert codec.long(unit.encode() * n, 64) == codec.merged([unit.encode() * n])[0]
+
+
+def test_texts_without_white_space_are_cut_behind_letters(monkeypatch):
+    monkeypatch.setattr(bytepairs, "PIECE", 7)
+    monkeypatch.setattr(bytepairs, "INDEXED", 64)
+    monkeypatch.setattr(bytepairs, "OVERLAP", 8)
+    rnd = random.Random(7)
+    codec = bytepairs.Codec(PATH)
+    for pieces in (["the", "'s", "'", "ll", "1", "_", "."], ["漢", "字", "。", "，", "！", "a", "９", "'s"], ["я", "Я", "-", "ё", "'", "s"], ["a", "b", "c"]):
+        texts = ["".join(rnd.choice(pieces) for _ in range(n)) for n in (1, 20, 400, 4_000)]
+        assert encode(texts, codec) == library(texts)
+
+
+def test_a_long_text_without_white_space_needs_little_memory():
+    """A process of its own, so that the peak is of this text."""
+    code = """
+import random, resource, sys
+import public_tokenizers
+from quern.llm import bytepairs
+codec = bytepairs.Codec(public_tokenizers.path(bytepairs.VOCABULARY))
+codec.encode(["warm"])
+rnd = random.Random(8)
+text = "".join("".join(rnd.choices(sys.argv[1], k=10_000)) for _ in range(int(sys.argv[2]) // 10_000))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+codec.encode([text])
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 / len(text.encode()))
+"""
+    for letters, n in (("aetinosrhl", 16_000_000), ("漢字仮名交文", 6_000_000)):
+        made = subprocess.run([sys.executable, "-c", code, letters, str(n)], capture_output=True, text=True, check=True, timeout=600)
+        assert float(made.stdout) < 25

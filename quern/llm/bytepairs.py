@@ -314,30 +314,26 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     return together(over_texts(found, "text", run, "n_tokens long, ids array<int>", CHUNK), rest, "n_tokens", "ids")
 
 
-def over_ids(df: DataFrame, fn, name: str, kept: list[str]) -> DataFrame:
-    """The kept columns of `df` and what fn makes of the ids of each row, as a text."""
+def decoded(rows: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
+    """`rows` with text, what their ids stand for, and ids_sha256, of the ids as little-endian 32-bit integers.
+
+    rows: ids and any other columns; those of the names made are replaced. Null ids give an empty text and the digest of no
+    ids; ids that the vocabulary lacks give no text.
+    """
+    found, rest = apart(rows, "ids")
+    kept = ["carried", "ids"] if keep_ids else ["carried"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in chunks(pc.list_value_length(batch.column("ids")).to_pylist()):
                 part = batch.slice(lo, hi - lo)
-                ids = part.column("ids")
-                made = [fn(np.zeros(0, np.int32) if not x.is_valid else x.values.fill_null(-1).to_numpy()) for x in ids]
-                yield pa.RecordBatch.from_pydict({c: part.column(c) for c in kept} | {name: pa.array(made, pa.string())})
-
-    return df.select(*dict.fromkeys([*kept, "ids"])).mapInArrow(run, with_fields(df, kept, f"{name} string"))
-
+                ids = [np.zeros(0, np.int32) if not x.is_valid else x.values.fill_null(-1).to_numpy() for x in part.column("ids")]
+                texts = pa.array([decoder(path).decode(x) for x in ids], pa.string())
+                digests = pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string())
+                yield pa.RecordBatch.from_pydict({c: part.column(c) for c in kept} | {"text": texts, "ids_sha256": digests})
 
-def decoded(rows: DataFrame, path: str) -> DataFrame:
-    """`rows` with text, what their ids stand for; null ids give an empty text, ids that the vocabulary lacks nothing."""
-    found, rest = apart(rows, "ids")
-    return together(over_ids(found, lambda ids: decoder(path).decode(ids), "text", ["carried", "ids"]), rest, "ids", "text")
-
-
-def with_digest(rows: DataFrame) -> DataFrame:
-    """`rows` with ids_sha256, of the ids as little-endian 32-bit integers, in place of ids."""
-    found, rest = apart(rows, "ids")
-    return together(over_ids(found, lambda ids: hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), "ids_sha256", ["carried"]), rest, "ids_sha256")
+    found = found.mapInArrow(run, with_fields(found, kept, "text string, ids_sha256 string"))
+    return together(found, rest, *kept[1:], "text", "ids_sha256")
 
 
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,5 +341,5 @@ def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(VOCABULARY)
-    found = with_digest(decoded(encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path))
+    found = decoded(encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path, keep_ids=False)
     return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

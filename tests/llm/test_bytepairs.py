@@ -133,7 +133,11 @@ def test_odd_rows(spark):
     assert back == {r.doc_id: r.text or "" for r in docs.collect()}
     assert bytepairs.decoded(bytepairs.encoded(cases.docs(spark, []), PATH), PATH).count() == 0
     odd = spark.createDataFrame([(1, None, "x"), (2, [64, None, -5, 10**6, 65], "y")], "a int, ids array<int>, text string")
-    assert [(r.a, r.text) for r in bytepairs.decoded(odd, PATH).orderBy("a").collect()] == [(1, ""), (2, LIBRARY.decode([64, 65]))]
+    back = bytepairs.decoded(odd, PATH).orderBy("a").collect()
+    assert [(r.a, r.ids, r.text) for r in back] == [(1, None, ""), (2, [64, None, -5, 10**6, 65], LIBRARY.decode([64, 65]))]
+    digests = [hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest() for ids in ([], [64, -1, -5, 10**6, 65])]
+    assert [r.ids_sha256 for r in back] == digests
+    assert bytepairs.decoded(odd, PATH, keep_ids=False).columns == ["a", "text", "ids_sha256"]
 
 
 @pytest.mark.parametrize("letters", ["ab", "aetinosr", "abcdefghijklmnopqrstuvwxyz", "漢字仮名", "йцукен", "=", "-=", "0123456789", " ", "a漢é"])
